@@ -46,6 +46,12 @@ def as_double(df: DataFrame, name: str) -> Column:
     return c.cast("double")
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """The column with NaN read as null, type unchanged."""
+    c = col(name)
+    return F.when(~F.isnan(c), c) if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else c
+
+
 def div(num: Column, den: Column) -> Column:
     """Division that yields null for a zero denominator in ANSI mode too."""
     return F.when(den != 0, num / F.when(den != 0, den))

@@ -251,6 +251,22 @@ def mann_whitney_exact(u: float, n1: int, n2: int) -> float:
     return min(1.0, 2.0 * sum(counts) / math.comb(m + n, m))
 
 
+def omnibus(n: float, skew: float, kurt: float) -> tuple[float, float]:
+    """D'Agostino-Pearson K2 and p from n, population skewness and (non-excess) kurtosis."""
+    y = skew * math.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = math.sqrt(2 * (beta - 1)) - 1
+    z1 = math.asinh(y / math.sqrt(2 / (w2 - 1))) / math.sqrt(0.5 * math.log(w2))
+    var = 24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))
+    x = (kurt - 3 * (n - 1) / (n + 1)) / math.sqrt(var)
+    b = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * math.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / b * (2 / b + math.sqrt(1 + 4 / b**2))
+    d = 1 + x * math.sqrt(2 / (a - 4))
+    z2 = (1 - 2 / (9 * a) - math.copysign(((1 - 2 / a) / abs(d)) ** (1 / 3), d)) / math.sqrt(2 / (9 * a))
+    k2 = z1 * z1 + z2 * z2
+    return k2, math.exp(-k2 / 2)
+
+
 def _column(series: pd.Series) -> np.ndarray:
     return series.to_numpy(dtype=float, na_value=np.nan)
 

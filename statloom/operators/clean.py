@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.functions.frames import as_double, chunks, col, cut, is_numeric, is_text
+from statloom.functions.frames import as_double, chunks, col, cut, is_numeric, is_text, present
 from statloom.functions.missing import number_or_null
 from statloom.operators.profile import value_counts
 from statloom.operators.ranks import quantiles
@@ -26,21 +26,14 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
 
 
 def drop_null_rows(df: DataFrame, column: str) -> DataFrame:
-    return df.where(_present(df, column).isNotNull())
-
-
-def _present(df: DataFrame, name: str) -> Column:
-    c = col(name)
-    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(c), c)
-    return c
+    return df.where(present(df, column).isNotNull())
 
 
 def null_counts(df: DataFrame, cols: list[str] | None = None) -> dict[str, int]:
     cols = df.columns if cols is None else cols
     out: dict[str, int] = {}
     for part in chunks(cols, 100):
-        row = df.agg(*[F.count_if(_present(df, c).isNull()).alias(f"n{i}") for i, c in enumerate(part)]).first()
+        row = df.agg(*[F.count_if(present(df, c).isNull()).alias(f"n{i}") for i, c in enumerate(part)]).first()
         out.update(dict(zip(part, row)))
     return out
 
@@ -60,7 +53,7 @@ def column_modes(df: DataFrame, cols: list[str]) -> dict[str, str]:
     for c in cols:
         if c not in text:
             top = (
-                df.select(_present(df, c).alias("value")).where("value is not null")
+                df.select(present(df, c).alias("value")).where("value is not null")
                 .groupBy("value").agg(F.count(F.lit(1)).alias("n"))
                 .agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("value").alias("value"))).alias("top")).first()["top"]
             )
@@ -84,7 +77,7 @@ def fill_value(df: DataFrame, name: str, value) -> DataFrame:
     """Replace nulls by a literal; an integer column given a fraction becomes double."""
     dtype = df.schema[name].dataType
     lit = _literal(value, dtype, name)
-    c = _present(df, name)
+    c = present(df, name)
     if isinstance(dtype, INTEGRAL) and isinstance(value, float) and value != int(value):
         c = c.cast("double")
     return df.withColumn(name, F.coalesce(c, lit))
@@ -124,8 +117,8 @@ FILLS = {"drop": drop_null_rows, "mean": fill_mean, "median": fill_median, "mode
 def drop_sparse_rows(df: DataFrame, share: float = 0.5) -> DataFrame:
     """Keep rows with at least int(columns * share) non-null values."""
     need = int(len(df.columns) * share)
-    present = sum((_present(df, c).isNotNull().cast("int") for c in df.columns), F.lit(0))
-    return df.where(present >= need)
+    filled = sum((present(df, c).isNotNull().cast("int") for c in df.columns), F.lit(0))
+    return df.where(filled >= need)
 
 
 def auto_fill_numeric(df: DataFrame, skip=()) -> tuple[DataFrame, list[str]]:
@@ -161,7 +154,7 @@ DATE_FORMATS = ["M/d/yyyy", "M/d/yyyy H:mm:ss", "yyyy/M/d", "d-MMM-yyyy"]
 def convert_type(df: DataFrame, name: str, target: str) -> DataFrame:
     """int, float, str, datetime or category; a bad value becomes null."""
     dtype = df.schema[name].dataType
-    c = _present(df, name)
+    c = present(df, name)
     number = number_or_null(c) if is_text(dtype) else c.try_cast("double") if is_numeric(dtype) else c.cast("double")
     if target == "int":
         if isinstance(dtype, INTEGRAL):

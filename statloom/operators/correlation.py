@@ -8,23 +8,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.frames import (
-    TASK_ROWS, as_double, chunks, col, div, empty, union_all,
+    TASK_ROWS, as_double, chunks, col, empty, union_all,
 )
 from statloom.functions.special import t_pvalue
+from statloom.operators.gram import column_means, pair_sums
 from statloom.operators.normality import normality
 from statloom.operators.ranks import attach_ranks, non_null_counts
 from statloom.operators.roles import varying_numeric
 
 ALPHA = 0.05
-PAIRS_PER_PASS = 40
+# Larger aggregates compile to methods the JVM interprets.
+PAIRS_PER_PASS = 6
 PAIR_SCHEMA = "x string, y string, n long, r double"
 
 
 def pair_aggregate(df: DataFrame, pairs: list[tuple[str, str]], names=None) -> DataFrame:
-    """(x, y, n, r): pairwise-complete count and Pearson r, all pairs in one aggregate."""
+    """(x, y, n, r): pairwise-complete count and Pearson r.
+
+    A few pairs are one plain aggregate.  More pairs take one scan of matrix
+    sums; see `gram`.
+    """
     if not pairs:
         return empty(df.sparkSession, PAIR_SCHEMA)
     names = names or {}
+    if len(pairs) > 2 * PAIRS_PER_PASS:
+        return _matrix_pairs(df, pairs, names)
     parts = []
     for part in chunks(pairs, PAIRS_PER_PASS):
         aggs, rows = [], []
@@ -35,15 +43,38 @@ def pair_aggregate(df: DataFrame, pairs: list[tuple[str, str]], names=None) -> D
             # a constant side has no correlation; min/max decide it exactly
             varies = (F.min(xs) < F.max(xs)) & (F.min(ys) < F.max(ys))
             aggs += [F.count_if(both).alias(f"n{i}"), F.when(varies, F.corr(xs, ys)).alias(f"r{i}")]
-            r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(f"r{i}")))
             rows.append(F.struct(
                 F.lit(names.get(a, a)).alias("x"), F.lit(names.get(b, b)).alias("y"),
-                F.col(f"n{i}").alias("n"), F.when(F.col(f"r{i}").isNotNull(), r).alias("r"),
+                F.col(f"n{i}").alias("n"), _clamped(F.col(f"r{i}")).alias("r"),
             ))
         parts.append(df.agg(*aggs).select(F.inline(F.array(*rows))))
     return union_all(parts)
 
 
+def _clamped(r: Column) -> Column:
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+
+
+def _matrix_pairs(df: DataFrame, pairs, names) -> DataFrame:
+    cols = list(dict.fromkeys(c for pair in pairs for c in pair))
+    centres = column_means(df, cols)
+    at = {c: k for k, c in enumerate(cols)}
+    wanted = df.sparkSession.createDataFrame(
+        [(i, j, names.get(a, a), names.get(b, b), centres[i], centres[j])
+         for a, b in pairs for i, j in [sorted((at[a], at[b]))]],
+        "i int, j int, x string, y string, ci double, cj double",
+    )
+    n = F.col("n")
+    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
+    # spread below the rounding of the centre itself means a constant column
+    varies = (vx > n * (F.col("ci") * 1e-13) ** 2) & (vy > n * (F.col("cj") * 1e-13) ** 2)
+    r = (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy)
+    sums = pair_sums(df, cols, centres).where(n > 0)
+    return wanted.join(sums, ["i", "j"], "left").select(
+        "x", "y", F.coalesce(n, F.lit(0.0)).cast("long").alias("n"), _clamped(F.when(varies, r)).alias("r")
+    )
+
+
 def with_r_pvalue(table: DataFrame) -> DataFrame:
     n, r = F.col("n"), F.col("r")
     room = 1.0 - r * r

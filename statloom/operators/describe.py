@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions.frames import as_double, chunks, col, div, union_all
+from statloom.functions.frames import as_double, col
 from statloom.operators.ranks import grouped_quantiles, quantiles
 from statloom.operators.roles import columns_of
 
@@ -26,29 +26,23 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
-MOMENTS = ["n", "mean", "var", "g1", "g2", "min", "max"]
-
-
-def moment_aggs(x: Column, suffix: str) -> list[Column]:
+def moment_aggs(x: Column) -> list[Column]:
     return [
-        F.count(x).alias(f"n{suffix}"), F.avg(x).alias(f"mean{suffix}"), F.var_samp(x).alias(f"var{suffix}"),
-        F.skewness(x).alias(f"g1{suffix}"), F.kurtosis(x).alias(f"g2{suffix}"),
-        F.min(x).alias(f"min{suffix}"), F.max(x).alias(f"max{suffix}"),
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("var"),
+        F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"), F.min(x).alias("min"), F.max(x).alias("max"),
     ]
 
 
 def moments(df: DataFrame, cols: list[str], by: list[str] | None = None, name="variable") -> DataFrame:
-    """(by..., variable, n, mean, var, g1, g2, min, max) with population g1 and g2."""
+    """(by..., variable, n, mean, var, g1, g2, min, max) with population g1 and g2.
+
+    One scan; the columns become rows, so the aggregate code stays small enough
+    for the JVM to optimise whatever the number of columns.
+    """
     by = by or []
-    parts = []
-    for part in chunks(cols, 25):
-        aggs, rows = [], []
-        for i, c in enumerate(part):
-            aggs += moment_aggs(as_double(df, c), f"_{i}")
-            rows.append(F.struct(F.lit(c).alias(name), *[F.col(f"{m}_{i}").alias(m) for m in MOMENTS]))
-        wide = df.groupBy(*[col(b) for b in by]).agg(*aggs)
-        parts.append(wide.select(*[col(b) for b in by], F.inline(F.array(*rows))))
-    out = union_all(parts)
+    entries = [F.struct(F.lit(c).alias(name), as_double(df, c).alias("value")) for c in cols]
+    long = df.select(*[col(b) for b in by], F.inline(F.array(*entries)))
+    out = long.groupBy(*[col(b) for b in by], name).agg(*moment_aggs(F.col("value")))
     return out.withColumns({"var": finite(F.col("var")), "g1": finite(F.col("g1")), "g2": finite(F.col("g2"))})
 
 

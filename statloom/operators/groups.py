@@ -16,7 +16,7 @@ from statloom.functions.frames import (
 from statloom.functions.special import (
     EXACT_U_LIMIT, chi2_pvalue, f_pvalue, mann_whitney_exact_pvalue, norm_upper, t_pvalue,
 )
-from statloom.operators.describe import moments
+from statloom.operators.describe import finite, moment_aggs
 from statloom.operators.normality import grouped_normality
 from statloom.operators.ranks import rank_counts, split_points, with_bucket
 from statloom.operators.roles import columns_of, level_counts, varying_numeric
@@ -29,17 +29,12 @@ RESULT_SCHEMA = ("category string, variable string, test_name string, groups lon
                  "df double, p_value double")
 
 
-def _by_category(df: DataFrame, cats: list[str], nums: list[str]) -> DataFrame:
-    """Rows once per category column: (category, group, numeric columns as double)."""
-    entries = [F.struct(F.lit(c).alias("category"), col(c).cast("string").alias("group")) for c in cats]
-    wide = df.select(F.inline(F.array(*entries)), *[as_double(df, c).alias(c) for c in nums])
-    return wide.where(F.col("group").isNotNull())
-
-
 def group_moments(df: DataFrame, cats: list[str], nums: list[str], min_group: int = MIN_GROUP) -> DataFrame:
     """(category, group, variable, n, mean, var, g1, g2, min, max) of groups with enough rows."""
-    m = moments(_by_category(df, cats, nums), nums, ["category", "group"])
-    return m.where(F.col("n") >= min_group)
+    long = _long_pairs(df, [(c, v) for c in cats for v in nums])
+    return long.groupBy("category", "group", "variable").agg(*moment_aggs(F.col("value"))).withColumns(
+        {m: finite(F.col(m)) for m in ("var", "g1", "g2")}
+    ).where(F.col("n") >= min_group)
 
 
 def _usable(moment_table: DataFrame) -> DataFrame:
@@ -96,12 +91,7 @@ def rank_sums(df: DataFrame, pairs: list[tuple[str, str]], usable: DataFrame,
     """
     nums = list(dict.fromkeys(v for _, v in pairs))
     rows = df.count()
-    entries = [
-        F.struct(F.lit(c).alias("category"), F.lit(v).alias("variable"),
-                 col(c).cast("string").alias("group"), as_double(df, v).alias("value"))
-        for c, v in pairs
-    ]
-    long = df.select(F.inline(F.array(*entries))).where("group is not null and value is not null")
+    long = _long_pairs(df, pairs)
     long = with_bucket(long, split_points(df, nums, rows, task_rows))
     keys = [*KEYS, "group"]
     counts = long.groupBy(*KEYS, "bucket", "value", "group").agg(F.count(F.lit(1)).alias("n"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.functions.frames import as_double, col, pin, union_all, unpivot_numeric
+from statloom.functions.frames import col, pin, union_all, unpivot_numeric
 from statloom.functions.special import horner, norm_ppf_col, norm_upper
 from statloom.operators.describe import moments
 

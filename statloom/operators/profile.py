@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.frames import (
-    as_double, chunks, col, div, empty, is_text, union_all, unpivot_text,
+    as_double, chunks, col, div, empty, is_text, present, union_all, unpivot_text,
 )
 from statloom.functions.missing import number_or_null
 from statloom.operators.pii import pii_map, placeholder
@@ -17,10 +17,6 @@ from statloom.operators.roles import columns_of, dtype_role
 DISTINCT_PER_PASS = 8
 
 
-def _present(df: DataFrame, name: str):
-    return as_double(df, name) if dtype_role(df.schema[name].dataType) == "numeric" else col(name)
-
-
 def column_profile(df: DataFrame, pii: dict[str, str] | None = None, approx: bool = False) -> DataFrame:
     """(position, name, dtype, role, null_count, unique_count, null_rate, pii_type)."""
     pii = pii_map(df) if pii is None else pii
@@ -29,7 +25,7 @@ def column_profile(df: DataFrame, pii: dict[str, str] | None = None, approx: boo
     for part in chunks(fields, 50 if approx else DISTINCT_PER_PASS):
         aggs, rows = [F.count(F.lit(1)).alias("total")], []
         for i, f in part:
-            c = _present(df, f.name)
+            c = present(df, f.name)
             plain = f.dataType.typeName() not in ("map", "variant")
             key = c if plain else F.to_json(c)
             distinct = F.approx_count_distinct(key, 0.02) if approx else F.count_distinct(key)
@@ -54,7 +50,7 @@ def sample_values(df: DataFrame, order_by: list[str], k: int = 5, pii: dict[str,
     w = Window.orderBy(*[F.col(f"_o{i}") for i in range(len(order_by))])  # over k rows
     parts = []
     for name in df.columns:
-        c = _present(df, name)
+        c = present(df, name)
         order = [col(o).alias(f"_o{i}") for i, o in enumerate(order_by)]
         kind = pii.get(name)
         first = (
@@ -151,7 +147,7 @@ def quality_issues(df: DataFrame, null_share: float = 0.3) -> DataFrame:
     for part in chunks(list(df.schema.fields), 25):
         aggs, rows = [F.count(F.lit(1)).cast("double").alias("total")], []
         for i, f in enumerate(part):
-            c = _present(df, f.name)
+            c = present(df, f.name)
             aggs.append(F.count(c).alias(f"c{i}"))
             mixed = whole = dated = F.lit(False)
             if is_text(f.dataType):
