@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,13 +78,34 @@ def unpivot_text(df: DataFrame, cols, keep=(), name="variable", value="value") -
     return df.select(*keep, F.inline(F.array(*entries))).where(F.col(value).isNotNull())
 
 
+ARROW_TYPES = {
+    "int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "double": pa.float64(),
+    "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()),
+}
+
+
+def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small driver-side table as a local relation (known size, no Python job)."""
+    names, types = zip(*(field.split() for field in ddl.split(", ")))
+    columns = [pa.array([r[i] for r in rows], ARROW_TYPES[t], from_pandas=False) for i, t in enumerate(types)]
+    return spark.createDataFrame(pa.table(columns, names=list(names)), ddl)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Turn a bounded result table into a local relation, so it is computed once."""
-    spark = df.sparkSession
-    rows = df.limit(PIN_ROWS + 1).collect()
-    if len(rows) > PIN_ROWS:
+    table = df.limit(PIN_ROWS + 1).toArrow()
+    if table.num_rows > PIN_ROWS:
         raise ValueError(f"result table has more than {PIN_ROWS} rows; refusing to pin it")
-    return spark.createDataFrame(rows, df.schema)
+    return df.sparkSession.createDataFrame(table, df.schema)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Pin a per-group table when it is small enough, else leave it to Spark.
+
+    Joins against a settled table know its size, so rows need not be shuffled.
+    """
+    table = df.limit(PIN_ROWS + 1).toArrow()
+    return df if table.num_rows > PIN_ROWS else df.sparkSession.createDataFrame(table, df.schema)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -114,4 +136,4 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    return local_table(spark, [], schema)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.functions.frames import as_double, chunks, col, cut, is_numeric, is_text, present
+from statloom.functions.frames import local_table, as_double, chunks, col, cut, is_numeric, is_text, present
 from statloom.functions.missing import number_or_null
 from statloom.operators.profile import value_counts
 from statloom.operators.ranks import quantiles
@@ -285,7 +285,7 @@ def clean(df: DataFrame, config: dict | None = None) -> Cleaned:
         note("empty_columns", name, "dropped column", rows, rows)
     df = df.drop(*gone)
     note("output", None, "all rows removed" if rows == 0 else "kept", rows, rows)
-    return Cleaned(df, spark.createDataFrame(report, REPORT_SCHEMA))
+    return Cleaned(df, local_table(spark, report, REPORT_SCHEMA))
 
 
 def cleaning_totals(report: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.frames import (
+    local_table,
     TASK_ROWS, as_double, chunks, col, empty, union_all,
 )
 from statloom.functions.special import t_pvalue
@@ -59,8 +60,8 @@ def _matrix_pairs(df: DataFrame, pairs, names) -> DataFrame:
     cols = list(dict.fromkeys(c for pair in pairs for c in pair))
     centres = column_means(df, cols)
     at = {c: k for k, c in enumerate(cols)}
-    wanted = df.sparkSession.createDataFrame(
-        [(i, j, names.get(a, a), names.get(b, b), centres[i], centres[j])
+    wanted = local_table(
+            df.sparkSession, [(i, j, names.get(a, a), names.get(b, b), centres[i], centres[j])
          for a, b in pairs for i, j in [sorted((at[a], at[b]))]],
         "i int, j int, x string, y string, ci double, cj double",
     )
@@ -214,7 +215,7 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFram
         F.struct(F.col("y").alias("x"), F.col("x").alias("y"), F.col("n"), F.col("r")),
     )))
     filled = non_null_counts(df, cols)
-    diagonal = df.sparkSession.createDataFrame([(c, c, filled[c], 1.0) for c in cols], PAIR_SCHEMA)
+    diagonal = local_table(df.sparkSession, [(c, c, filled[c], 1.0) for c in cols], PAIR_SCHEMA)
     return both.unionByName(diagonal)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.frames import (
+    local_table,
     TASK_ROWS, as_double, col, div, empty, pin, union_all,
 )
 from statloom.functions.special import (
@@ -37,9 +38,10 @@ def group_moments(df: DataFrame, cats: list[str], nums: list[str], min_group: in
     ).where(F.col("n") >= min_group)
 
 
-def _usable(moment_table: DataFrame) -> DataFrame:
-    """Keys that keep at least two groups, with their group count."""
-    return moment_table.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("groups")).where("groups >= 2")
+def _usable(pinned: DataFrame) -> dict[tuple[str, str], int]:
+    """(category, variable) pairs that keep at least two groups, with their group count."""
+    table = pinned.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("groups")).where("groups >= 2").orderBy(*KEYS)
+    return {(r["category"], r["variable"]): r["groups"] for r in table.collect()}
 
 
 def t_test(moment_table: DataFrame) -> DataFrame:
@@ -150,12 +152,8 @@ def kruskal_wallis(sums: DataFrame) -> DataFrame:
     return flat.withColumn("p_value", chi2_pvalue("statistic", "df"))
 
 
-def _keys(table: DataFrame) -> list[tuple[str, str]]:
-    return [(r["category"], r["variable"]) for r in table.select(*KEYS).distinct().collect()]
-
-
 def _only(df: DataFrame, table: DataFrame, pairs) -> DataFrame:
-    chosen = df.sparkSession.createDataFrame(list(pairs), "category string, variable string")
+    chosen = local_table(df.sparkSession, list(pairs), "category string, variable string")
     return table.join(F.broadcast(chosen), KEYS, "left_semi")
 
 
@@ -203,11 +201,10 @@ def auto_group_tests(df: DataFrame, cats: list[str] | None = None, nums: list[st
     if not cats or not nums:
         return empty(spark, out_schema)
     m = pin(group_moments(df, cats, nums))
-    ready = {(r["category"], r["variable"]): r["groups"] for r in _usable(m).collect()}
+    ready = _usable(m)
     if not ready:
         return empty(spark, out_schema)
-    long = _long_pairs(df, list(ready))
-    verdict = grouped_normality(long, _only(df, m, ready), [*KEYS, "group"])
+    verdict = grouped_normality(_long_pairs(df, list(ready)), _only(df, m, ready), [*KEYS, "group"], pinned=True)
     all_normal = {
         (r["category"], r["variable"]): r["ok"]
         for r in verdict.groupBy(*KEYS).agg(F.every("is_normal").alias("ok")).collect()
@@ -258,7 +255,7 @@ def group_screen(df: DataFrame, cats: list[str] | None = None, nums: list[str] |
     if not cats or not nums:
         return empty(spark, RESULT_SCHEMA)
     m = pin(group_moments(df, cats, nums))
-    ready = {(r["category"], r["variable"]): r["groups"] for r in _usable(m).collect()}
+    ready = _usable(m)
     if not ready:
         return empty(spark, RESULT_SCHEMA)
     chosen = {

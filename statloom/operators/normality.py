@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.functions.frames import col, pin, union_all, unpivot_numeric
+from statloom.functions.frames import col, pin, settle, union_all, unpivot_numeric
 from statloom.functions.special import horner, norm_ppf_col, norm_upper
 from statloom.operators.describe import moments
 
@@ -146,16 +146,17 @@ def normality(df: DataFrame, cols: list[str]) -> DataFrame:
     return _verdict(union_all(parts), keys)
 
 
-def grouped_normality(long: DataFrame, moment_table: DataFrame, keys: list[str]) -> DataFrame:
+def grouped_normality(long: DataFrame, moment_table: DataFrame, keys: list[str], pinned: bool = False) -> DataFrame:
     """Normality per key over a long frame (keys..., value) and its moments table.
 
     Only the rows of groups below 5000 are sorted; larger groups never leave
-    the moments aggregate.
+    the moments aggregate.  A pinned moments table tells whether there are any.
     """
     small = moment_table.where(F.col("n").between(MIN_ROWS, LARGE_ROWS - 1)).select(*keys)
-    rows = long.join(small, keys, "left_semi")
-    parts = [omnibus(moment_table.where(F.col("n") >= LARGE_ROWS), keys), _skipped(moment_table, keys),
-             shapiro(rows, keys)]
+    small = small if pinned else settle(small)
+    parts = [omnibus(moment_table.where(F.col("n") >= LARGE_ROWS), keys), _skipped(moment_table, keys)]
+    if not small.isEmpty():
+        parts.append(shapiro(long.join(small, keys, "left_semi"), keys))
     return _verdict(union_all(parts), keys)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.functions.frames import chunks, col, empty, is_text, union_all
+from statloom.functions.frames import local_table, chunks, col, empty, is_text, union_all
 
 # What counts as an e-mail address, phone number, SSN, card number, IP address.
 EMAIL_PATTERN = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
@@ -106,8 +106,8 @@ def detect_pii(df: DataFrame, sample_size: int | None = None, order_by: list[str
     """(column, pii_type, source, hit_rate): names first, then text content."""
     spark = df.sparkSession
     named = {c: pii_type_of_name(c) for c in df.columns}
-    by_name = spark.createDataFrame(
-        [(c, t, "name", None) for c, t in named.items() if t],
+    by_name = local_table(
+            spark, [(c, t, "name", None) for c, t in named.items() if t],
         "column string, pii_type string, source string, hit_rate double",
     )
     rest = [f.name for f in df.schema.fields if is_text(f.dataType) and not named[f.name]]
@@ -214,7 +214,7 @@ def masking_summary(df: DataFrame, types: dict[str, str] | None = None) -> DataF
         lines.append("These columns have been masked to prevent data leakage.")
     else:
         lines = ["No PII detected."]
-    return df.sparkSession.createDataFrame(list(enumerate(lines)), "line int, text string")
+    return local_table(df.sparkSession, list(enumerate(lines)), "line int, text string")
 
 
 def placeholder(kind: str) -> str:

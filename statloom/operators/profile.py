@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.frames import (
+    local_table,
     as_double, chunks, col, div, empty, is_text, present, union_all, unpivot_text,
 )
 from statloom.functions.missing import number_or_null
@@ -126,8 +127,8 @@ def top_categories(df: DataFrame, cols: list[str] | None = None, k: int = 5,
     cols = columns_of(df, "categorical") if cols is None else cols
     open_cols = [c for c in cols if c not in pii]
     schema = "name string, position int, value string, n long"
-    hidden = df.sparkSession.createDataFrame(
-        [(c, 1, f"[PII REDACTED - {pii[c]}]", None) for c in cols if c in pii], schema
+    hidden = local_table(
+            df.sparkSession, [(c, 1, f"[PII REDACTED - {pii[c]}]", None) for c in cols if c in pii], schema
     )
     if not open_cols:
         return hidden

@@ -60,9 +60,9 @@ def rank_counts(counts: DataFrame, keys: list[str], single_bucket: bool = False)
     and `rank`.  `counts` may hold several rows per value, one per group.
     """
     run = Window.partitionBy(*keys, "bucket").orderBy("value")
-    same = Window.partitionBy(*keys, "bucket", "value")
-    local = counts.withColumn("ties", F.sum("n").over(same)).withColumn(
-        "upto", F.sum("n").over(run.rangeBetween(Window.unboundedPreceding, 0))
+    here = Window.currentRow
+    local = counts.withColumn("ties", F.sum("n").over(run.rangeBetween(here, here))).withColumn(
+        "upto", F.sum("n").over(run.rangeBetween(Window.unboundedPreceding, here))
     )
     if single_bucket:
         local = local.withColumn("below", F.col("upto") - F.col("ties"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions import special
-from statloom.functions.frames import as_double, chunks, col
+from statloom.functions.frames import local_table, as_double, chunks, col
 from statloom.operators.correlation import pair_aggregate
 from statloom.operators.gram import column_means, pair_sums
 from statloom.operators.ordered import LagSums, lag_sums, partial_autocorrelation
@@ -38,7 +38,7 @@ def target_scores(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     sides = half.select(F.inline(F.array(
         F.struct(F.col("x").alias("variable"), F.col("r")), F.struct(F.col("y").alias("variable"), F.col("r")),
     )))
-    place = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(cols)], "variable string, position int")
+    place = local_table(df.sparkSession, [(c, i) for i, c in enumerate(cols)], "variable string, position int")
     scores = sides.groupBy("variable").agg(F.avg(F.abs("r")).alias("mean_abs_r")).join(F.broadcast(place), "variable")
     # one row per column; equal scores go to the earlier column
     first = Window.orderBy(F.desc_nulls_last(F.round("mean_abs_r", 12)), "position")
@@ -150,8 +150,8 @@ class OLSFit:
         llf = -n / 2 * (math.log(2 * math.pi) + math.log(self.ssr / n) + 1) if self.ssr > 0 else math.nan
         fp = special._f_upper(f, df_model, self.df_resid)
         z = self._omnibus()
-        return self.spark.createDataFrame(
-            [(self.target, n, len(self.predictors), *map(_or_none, (
+        return local_table(
+            self.spark, [(self.target, n, len(self.predictors), *map(_or_none, (
                 r2, adj, f, fp, -2 * llf + 2 * k, -2 * llf + k * math.log(n), llf, *z, self.condition_number())))],
             "target string, n_observations long, n_predictors int, r_squared double, adj_r_squared double, "
             "f_statistic double, f_pvalue double, aic double, bic double, log_likelihood double, "
@@ -167,9 +167,10 @@ class OLSFit:
     def condition_number(self) -> float:
         """Ratio of extreme singular values of the design matrix, from a triangular factor."""
         s, x = self.centred[1:, 1:], self.means[1:]
-        root = np.linalg.cholesky(s + 0 * s) if self.rank == len(x) + 1 else None
-        if root is None:
+        if self.rank < len(x) + 1:
             return math.inf
+        scale = np.sqrt(np.diag(s))
+        root = np.linalg.cholesky(s / np.outer(scale, scale)) * scale[:, None]
         top = np.concatenate([[1.0], x]) * math.sqrt(self.n)
         factor = np.vstack([top, np.column_stack([np.zeros(len(x)), root.T])])
         values = np.linalg.svd(factor, compute_uv=False)
@@ -187,8 +188,8 @@ class OLSFit:
             p = special._t_two_sided(t, self.df_resid)
             rows.append((i, name, b, _or_none(se), _or_none(t), _or_none(p),
                          _or_none(b - quantile * se), _or_none(b + quantile * se), bool(p < ALPHA)))
-        return self.spark.createDataFrame(
-            rows, "position int, variable string, coefficient double, std_error double, t_statistic double, "
+        return local_table(
+            self.spark, rows, "position int, variable string, coefficient double, std_error double, t_statistic double, "
                   "p_value double, ci_lower double, ci_upper double, significant boolean")
 
     def vif(self) -> DataFrame:
@@ -204,7 +205,7 @@ class OLSFit:
                 left = 1.0 - cross @ np.linalg.pinv(sub, rcond=RANK_TOLERANCE, hermitian=True) @ cross
                 v = 1.0 / left if left > RANK_TOLERANCE * len(r) else math.inf
                 rows.append((name, _or_none(v), "severe" if v > 10 else "moderate" if v > 5 else "low"))
-        return self.spark.createDataFrame(rows, "variable string, vif double, multicollinearity string")
+        return local_table(self.spark, rows, "variable string, vif double, multicollinearity string")
 
     def _lag(self, lags: int) -> LagSums:
         if self.order_by is None:
@@ -253,13 +254,13 @@ class OLSFit:
         bp, p = self.breusch_pagan()
         rows.append(("Breusch-Pagan", _or_none(bp), _or_none(p),
                      "homoscedastic" if p > ALPHA else "heteroscedastic"))
-        return self.spark.createDataFrame(rows, "test string, statistic double, p_value double, verdict string")
+        return local_table(self.spark, rows, "test string, statistic double, p_value double, verdict string")
 
     def residual_stats(self) -> DataFrame:
         """mean, population std, min, max, skewness and (non-excess) kurtosis of the residuals."""
         m = self.residual_moments
-        return self.spark.createDataFrame(
-            [tuple(_or_none(m[k]) for k in ("mean", "std", "min", "max", "skewness", "kurtosis"))],
+        return local_table(
+            self.spark, [tuple(_or_none(m[k]) for k in ("mean", "std", "min", "max", "skewness", "kurtosis"))],
             "mean double, std double, min double, max double, skewness double, kurtosis double")
 
     def acf_pacf(self) -> DataFrame:
@@ -271,8 +272,8 @@ class OLSFit:
             band = 1.96 / math.sqrt(self.n)
             rows = [(k, _or_none(a), _or_none(b), band, k > 0 and abs(a) > band, k > 0 and abs(b) > band)
                     for k, (a, b) in enumerate(zip(map(float, acf), map(float, pacf)))]
-        return self.spark.createDataFrame(
-            rows, "lag int, acf double, pacf double, band double, acf_outside boolean, pacf_outside boolean")
+        return local_table(
+            self.spark, rows, "lag int, acf double, pacf double, band double, acf_outside boolean, pacf_outside boolean")
 
     def assumptions(self) -> DataFrame:
         """(assumption, measure, value, met, suggestion) from fixed rules over the diagnostics."""
@@ -292,8 +293,8 @@ class OLSFit:
         vifs = [r["vif"] for r in self.vif().collect()]
         worst = math.inf if any(v is None for v in vifs) else max(vifs, default=1.0)
         rows.append(("multicollinearity", "largest VIF", worst, worst <= 10, "remove high-VIF predictors"))
-        return self.spark.createDataFrame(
-            [(a, m, _or_none(v), bool(ok), None if ok else tip) for a, m, v, ok, tip in rows],
+        return local_table(
+            self.spark, [(a, m, _or_none(v), bool(ok), None if ok else tip) for a, m, v, ok, tip in rows],
             "assumption string, measure string, value double, met boolean, suggestion string")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.functions.frames import as_double, chunks, col, is_numeric, is_text
+from statloom.functions.frames import local_table, as_double, chunks, col, is_numeric, is_text
 
 
 def dtype_role(dtype: T.DataType) -> str:
@@ -86,7 +86,7 @@ def role_table(df: DataFrame, max_levels: int = 50, min_levels: int = 0) -> Data
         (i, f.name, f.dataType.simpleString(), dtype_role(f.dataType), f.name in used)
         for i, f in enumerate(df.schema.fields)
     ]
-    return df.sparkSession.createDataFrame(rows, "position int, name string, dtype string, role string, used boolean")
+    return local_table(df.sparkSession, rows, "position int, name string, dtype string, role string, used boolean")
 
 
 def classify_data(df: DataFrame, max_levels: int = 50) -> DataFrame:
@@ -94,7 +94,7 @@ def classify_data(df: DataFrame, max_levels: int = 50) -> DataFrame:
     roles = analysis_roles(df, max_levels)
     total = len(roles.numeric) + len(roles.categorical)
     label = roles.classification
-    return df.sparkSession.createDataFrame(
-        [(len(roles.numeric), len(roles.categorical), len(roles.numeric) / total, label)],
+    return local_table(
+            df.sparkSession, [(len(roles.numeric), len(roles.categorical), len(roles.numeric) / total, label)],
         "numeric_columns int, categorical_columns int, numeric_ratio double, classification string",
     )
