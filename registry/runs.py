@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registry.base import (
-    dirty_orders, p_t, people, query, rd, reg_lines, rounded, table,
+    dirty_orders, people, query, rd, reg_lines, rounded, table,
 )
-from registry.testing import TYPED, _chi, _kw, ranks_sql, _pairs_sql, _with_p
+from registry.testing import _kw, _pairs_sql, _with_p, ranks_sql
 from statloom.operators.groups import compare_groups, labelled
 from statloom.plans import charts, full, general
 

@@ -13,7 +13,7 @@ from statloom.functions.frames import (
 )
 from statloom.functions.special import norm_ppf_col
 from statloom.operators.association import row_percent, top_values
-from statloom.operators.correlation import correlation_matrix
+from statloom.operators.correlation import correlation_matrix, safe_corr
 from statloom.operators.ranks import grouped_quantiles, quantiles, row_index, value_ranks
 from statloom.operators.regression import OLSFit
 from statloom.operators.roles import columns_of
@@ -106,12 +106,11 @@ def scatter_points(df: DataFrame, x: str, y: str, hue: str | None = None, fracti
 def trend_line(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:
     """(grp, n, slope, intercept, r2, x_min, x_max): least-squares line per colour group."""
     rows = scatter_points(df, x, y, hue)
-    varies = F.min("x") < F.max("x")
-    r2 = F.when(varies & (F.min("y") < F.max("y")), F.regr_r2("y", "x"))
+    slope = div(F.covar_pop("x", "y"), F.var_pop("x"))
+    r = safe_corr(F.col("x"), F.col("y"))
     return rows.groupBy("grp").agg(
-        F.count(F.lit(1)).alias("n"), F.when(varies, F.regr_slope("y", "x")).alias("slope"),
-        F.when(varies, F.regr_intercept("y", "x")).alias("intercept"), r2.alias("r2"),
-        F.min("x").alias("x_min"), F.max("x").alias("x_max"),
+        F.count(F.lit(1)).alias("n"), slope.alias("slope"), (F.avg("y") - slope * F.avg("x")).alias("intercept"),
+        (r * r).alias("r2"), F.min("x").alias("x_min"), F.max("x").alias("x_max"),
     )
 
 
@@ -274,12 +273,11 @@ def qq_points(df: DataFrame, column: str, task_rows: int = TASK_ROWS, min_rows:
 def qq_line(df: DataFrame, column: str, task_rows: int = TASK_ROWS, min_rows: int = 3) -> DataFrame:
     """One row: n, slope, intercept and r of the least-squares line through the QQ points."""
     points = qq_points(df, column, task_rows, min_rows)
-    varies = F.min("sample") < F.max("sample")
+    slope = div(F.covar_pop("theoretical", "sample"), F.var_pop("theoretical"))
     return points.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.regr_slope("sample", "theoretical").alias("slope"),
-        F.regr_intercept("sample", "theoretical").alias("intercept"),
-        F.when(varies, F.corr("sample", "theoretical")).alias("r"),
+        F.count(F.lit(1)).alias("n"), slope.alias("slope"),
+        (F.avg("sample") - slope * F.avg("theoretical")).alias("intercept"),
+        safe_corr(F.col("theoretical"), F.col("sample")).alias("r"),
     )
 
 

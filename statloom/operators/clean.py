@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.functions.frames import local_table, as_double, chunks, col, cut, is_numeric, is_text, present
+from statloom.functions.frames import as_double, chunks, col, cut, is_numeric, is_text, local_table, present
 from statloom.functions.missing import number_or_null
 from statloom.operators.profile import value_counts
 from statloom.operators.ranks import quantiles

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.frames import (
-    local_table,
-    TASK_ROWS, as_double, chunks, col, empty, union_all,
+    TASK_ROWS, as_double, chunks, col, div, empty, local_table, union_all,
 )
 from statloom.functions.special import t_pvalue
 from statloom.operators.gram import column_means, pair_sums
@@ -40,10 +39,7 @@ def pair_aggregate(df: DataFrame, pairs: list[tuple[str, str]], names=None) -> D
         for i, (a, b) in enumerate(part):
             x, y = as_double(df, a), as_double(df, b)
             both = x.isNotNull() & y.isNotNull()
-            xs, ys = F.when(both, x), F.when(both, y)
-            # a constant side has no correlation; min/max decide it exactly
-            varies = (F.min(xs) < F.max(xs)) & (F.min(ys) < F.max(ys))
-            aggs += [F.count_if(both).alias(f"n{i}"), F.when(varies, F.corr(xs, ys)).alias(f"r{i}")]
+            aggs += [F.count_if(both).alias(f"n{i}"), safe_corr(F.when(both, x), F.when(both, y)).alias(f"r{i}")]
             rows.append(F.struct(
                 F.lit(names.get(a, a)).alias("x"), F.lit(names.get(b, b)).alias("y"),
                 F.col(f"n{i}").alias("n"), _clamped(F.col(f"r{i}")).alias("r"),
@@ -52,6 +48,14 @@ def pair_aggregate(df: DataFrame, pairs: list[tuple[str, str]], names=None) -> D
     return union_all(parts)
 
 
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson r of two columns that are null together; null when a side is constant.
+
+    `corr` itself divides by zero on constants, which ANSI mode makes an error.
+    """
+    return div(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def _clamped(r: Column) -> Column:
     return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 

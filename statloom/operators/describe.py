@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions.frames import as_double, col
+from statloom.functions.frames import as_double, col, local_table
 from statloom.operators.ranks import grouped_quantiles, quantiles
 from statloom.operators.roles import columns_of
 
@@ -46,19 +46,12 @@ def moments(df: DataFrame, cols: list[str], by: list[str] | None = None, name="v
     return out.withColumns({"var": finite(F.col("var")), "g1": finite(F.col("g1")), "g2": finite(F.col("g2"))})
 
 
-def descriptives(df: DataFrame, cols: list[str] | None = None, with_median: bool = True) -> DataFrame:
+def descriptives(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(variable, n, mean, median, std, min, max, skewness, kurtosis) of non-empty columns."""
     cols = columns_of(df, "numeric") if cols is None else cols
-    m = moments(df, cols)
-    if with_median:
-        medians = quantiles(df, cols, [0.5])
-        median = F.lit(None).cast("double")
-        for c, v in medians.items():
-            median = F.when(F.col("variable") == c, F.lit(v[0]).cast("double")).otherwise(median)
-        m = m.withColumn("median", median)
-    else:
-        m = m.withColumn("median", F.lit(None).cast("double"))
-    return m.where(F.col("n") > 0).select(
+    medians = local_table(df.sparkSession, [(c, v[0]) for c, v in quantiles(df, cols, [0.5]).items()],
+                          "variable string, median double")
+    return moments(df, cols).join(F.broadcast(medians), "variable").where(F.col("n") > 0).select(
         "variable", "n", "mean", "median", F.sqrt("var").alias("std"), "min", "max",
         sample_skewness(F.col("n"), F.col("g1")).alias("skewness"),
         sample_kurtosis(F.col("n"), F.col("g2")).alias("kurtosis"),

@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.frames import (
-    local_table,
-    TASK_ROWS, as_double, col, div, empty, pin, union_all,
+    TASK_ROWS, as_double, col, div, empty, local_table, pin, union_all,
 )
 from statloom.functions.special import (
     EXACT_U_LIMIT, chi2_pvalue, f_pvalue, mann_whitney_exact_pvalue, norm_upper, t_pvalue,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.functions.frames import local_table, chunks, col, empty, is_text, union_all
+from statloom.functions.frames import chunks, col, empty, is_text, local_table, union_all
 
 # What counts as an e-mail address, phone number, SSN, card number, IP address.
 EMAIL_PATTERN = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.frames import (
-    local_table,
-    as_double, chunks, col, div, empty, is_text, present, union_all, unpivot_text,
+    chunks, col, div, empty, is_text, local_table, present, union_all, unpivot_text,
 )
 from statloom.functions.missing import number_or_null
+from statloom.operators.describe import moments
 from statloom.operators.pii import pii_map, placeholder
 from statloom.operators.ranks import quantiles
 from statloom.operators.roles import columns_of, dtype_role
@@ -94,22 +94,11 @@ def describe(df: DataFrame, pii: dict[str, str] | None = None) -> DataFrame:
         return empty(spark, "name string, count long, mean double, std double, min double, "
                             "p25 double, p50 double, p75 double, max double")
     quartiles = quantiles(df, cols, [0.25, 0.5, 0.75])
-    parts = []
-    for part in chunks(cols, 40):
-        aggs, rows = [], []
-        for i, name in enumerate(part):
-            x = as_double(df, name)
-            aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                     F.min(x).alias(f"a{i}"), F.max(x).alias(f"z{i}")]
-            q25, q50, q75 = quartiles[name]
-            rows.append(F.struct(
-                F.lit(name).alias("name"), F.col(f"n{i}").alias("count"), F.col(f"m{i}").alias("mean"),
-                F.col(f"s{i}").alias("std"), F.col(f"a{i}").alias("min"),
-                F.lit(q25).cast("double").alias("p25"), F.lit(q50).cast("double").alias("p50"),
-                F.lit(q75).cast("double").alias("p75"), F.col(f"z{i}").alias("max"),
-            ))
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*rows))))
-    return union_all(parts)
+    table = local_table(spark, [(c, *quartiles[c]) for c in cols], "variable string, p25 double, p50 double, p75 double")
+    return table.join(moments(df, cols), "variable", "left").select(
+        F.col("variable").alias("name"), F.coalesce("n", F.lit(0).cast("long")).alias("count"), "mean", F.sqrt("var").alias("std"), "min",
+        "p25", "p50", "p75", "max",
+    )
 
 
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:

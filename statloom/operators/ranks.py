@@ -8,49 +8,94 @@ third of all rows is one row of the count table.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.frames import (
-    TASK_ROWS, as_double, chunks, col, cut, q, union_all, unpivot_numeric,
+    TASK_ROWS, as_double, chunks, col, cut, div, local_table, q, unpivot_numeric,
 )
 
+# Buckets come from split points (a binary tree of comparisons per value) and,
+# above MAX_BUCKETS x task_rows rows, from equal slices between split points.
 MAX_BUCKETS = 512
+MAX_SLICES = 64
+
+# Split points are read off a sample of about this many rows.  They only shape
+# the buckets; every rank and quantile is exact whatever the sample holds.
+SAMPLE_ROWS = 1_000_000
+
+
+@dataclass
+class Splits:
+    points: list[float]  # ascending, distinct
+    low: float = 0.0  # sampled range, used to slice the outer buckets
+    high: float = 0.0
+    slices: int = 1
 
 
-def split_points(df: DataFrame, cols: list[str], rows: int, task_rows: int = TASK_ROWS) -> dict:
-    """Per column, ascending split points so that a bucket holds about `task_rows` rows."""
-    n = min(MAX_BUCKETS, -(-rows // max(1, task_rows)))
+def split_points(df: DataFrame, cols: list[str], rows: int, task_rows: int = TASK_ROWS) -> dict[str, Splits]:
+    """Per column, split points so that a bucket holds about `task_rows` rows."""
+    wanted = -(-rows // max(1, task_rows))
+    n = min(MAX_BUCKETS, wanted)
     if n <= 1:
-        return {c: [] for c in cols}
-    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
-    row = df.agg(
-        *[F.percentile_approx(as_double(df, c), probs, 20 * n).alias(f"s{i}") for i, c in enumerate(cols)]
-    ).first()
-    return {c: sorted(set(row[i] or [])) for i, c in enumerate(cols)}
+        return {c: Splits([]) for c in cols}
+    slices = min(MAX_SLICES, -(-wanted // MAX_BUCKETS))
+    narrow = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(cols)])
+    if rows > SAMPLE_ROWS:
+        narrow = narrow.sample(SAMPLE_ROWS / rows, seed=7)
+    probs = F.array(*[F.lit(i / n) for i in range(n + 1)])
+    out = {}
+    for part in chunks(range(len(cols)), 20):
+        row = narrow.agg(*[F.percentile_approx(f"c{i}", probs, 20 * n).alias(f"s{i}") for i in part]).first()
+        for i in part:
+            cuts = row[f"s{i}"]
+            out[cols[i]] = Splits(sorted(set(cuts[1:-1])), cuts[0], cuts[-1], slices) if cuts else Splits([])
+    return out
 
 
-def bucket_sql(value: str, splits: list[float]) -> str:
-    """Number of split points <= value, as a balanced tree of comparisons."""
+def _tree(value: str, points: list[float]) -> str:
+    """SQL for the number of points <= value, as a balanced tree of comparisons."""
 
-    def tree(lo: int, hi: int) -> str:
+    def node(lo: int, hi: int) -> str:
         if lo == hi:
             return str(lo)
         mid = (lo + hi) // 2
-        return f"CASE WHEN {value} < {splits[mid]!r}D THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END"
+        return f"CASE WHEN {value} < {points[mid]!r}D THEN {node(lo, mid)} ELSE {node(mid + 1, hi)} END"
+
+    return node(0, len(points))
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    return tree(0, len(splits))
 
+def _per_variable(name: str, sql: dict[str, str], default: str) -> Column:
+    if len(sql) == 1:
+        return F.expr(next(iter(sql.values())))
+    arms = " ".join(f"WHEN {name} = {_literal(c)} THEN {e}" for c, e in sql.items())
+    return F.expr(f"CASE {arms} ELSE {default} END")
 
-def with_bucket(long: DataFrame, splits: dict, name="variable", value="value") -> DataFrame:
-    """Add the bucket number of each (variable, value) row."""
-    if all(not s for s in splits.values()):
+
+def with_bucket(long: DataFrame, splits: dict[str, Splits], name="variable", value="value") -> DataFrame:
+    """Add the bucket number of each (variable, value) row; numbers follow the values."""
+    if all(not s.points for s in splits.values()):
         return long.withColumn("bucket", F.lit(0))
-    arms = " ".join(
-        f"WHEN {name} = '{c.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}' THEN {bucket_sql(value, s)}"
-        for c, s in splits.items()
-    )
-    return long.withColumn("bucket", F.expr(f"CASE {arms} ELSE 0 END"))
+    slices = max(s.slices for s in splits.values())
+    out = long.withColumn("bucket", _per_variable(name, {c: _tree(value, s.points) for c, s in splits.items()}, "0"))
+    if slices == 1:
+        return out
+    bounds = {c: [s.low, *s.points, s.high] for c, s in splits.items()}
+    at = lambda step: _per_variable(name, {
+        c: f"element_at(array({', '.join(f'{v!r}D' for v in b)}), bucket + {step})" for c, b in bounds.items()
+    }, "0D")
+    low, high = F.col("_low"), F.col("_high")
+    share = div(F.col(value) - low, high - low) * slices
+    slice_ = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(slices - 1.0), share))).cast("int")
+    return out.withColumns({"_low": at(1), "_high": at(2)}).withColumn(
+        "bucket", F.col("bucket") * slices + F.coalesce(slice_, F.lit(0))
+    ).drop("_low", "_high")
 
 
 def rank_counts(counts: DataFrame, keys: list[str], single_bucket: bool = False) -> DataFrame:
@@ -89,8 +134,7 @@ def value_ranks(df: DataFrame, cols: list[str], rows: int | None = None,
                 task_rows: int = TASK_ROWS) -> DataFrame:
     """(variable, bucket, value, n, ties, below, rank): one row per distinct value."""
     rows = rows if rows is not None else df.count()
-    splits = split_points(df, cols, rows, task_rows)
-    long = with_bucket(unpivot_numeric(df, cols), splits)
+    long = with_bucket(unpivot_numeric(df, cols), split_points(df, cols, rows, task_rows))
     counts = long.groupBy("variable", "bucket", "value").agg(F.count(F.lit(1)).alias("n"))
     return rank_counts(counts, ["variable"], single_bucket=rows <= task_rows)
 
@@ -113,45 +157,64 @@ def attach_ranks(df: DataFrame, cols: list[str], rows: int | None = None,
                  task_rows: int = TASK_ROWS, broadcast_ok: bool = True) -> DataFrame:
     """Rows with columns `rank_<i>` (average rank of cols[i]); other columns kept.
 
-    Few distinct values: broadcast map.  Otherwise a shuffle join by value in
-    which values above a 1/64 share (at most 64 of them) are salted.
+    Few distinct values: a broadcast map of ranks.  Otherwise one shuffle into
+    value buckets and a window in each.
     """
     rows = rows if rows is not None else df.count()
     small = _small_maps(df, cols, rows) if broadcast_ok else {c: False for c in cols}
-    splits = split_points(df, cols, rows, task_rows)
+    wide = [c for c in cols if not small[c]]
+    splits = split_points(df, wide, rows, task_rows) if wide else {}
     out = df
     for i, c in enumerate(cols):
-        one = unpivot_numeric(df, [c])
-        counts = with_bucket(one, {c: splits[c]}).groupBy("variable", "bucket", "value").agg(
-            F.count(F.lit(1)).alias("n")
-        )
-        ranks = rank_counts(counts, ["variable"], single_bucket=not splits[c]).select(
-            F.col("value").alias("_value"), F.col("rank").alias(f"rank_{i}"), F.col("n").alias("_n")
-        )
-        probe = as_double(df, c)
         if small[c]:
-            out = out.withColumn("_probe", probe).join(
-                F.broadcast(ranks.drop("_n")), F.col("_probe") == F.col("_value"), "left"
+            ranks = rank_counts(
+                unpivot_numeric(df, [c]).groupBy("variable", F.lit(0).alias("bucket"), "value")
+                .agg(F.count(F.lit(1)).alias("n")), ["variable"], single_bucket=True,
+            ).select(F.col("value").alias("_value"), F.col("rank").alias(f"rank_{i}"))
+            out = out.withColumn("_probe", as_double(df, c)).join(
+                F.broadcast(ranks), F.col("_probe") == F.col("_value"), "left"
             ).drop("_probe", "_value")
-            continue
-        floor = max(1, rows // SALTS)
-        hot = [r["_value"] for r in ranks.where(F.col("_n") > floor).select("_value").collect()]
-        is_hot = lambda v: v.isin(hot) if hot else F.lit(False)
-        salt = F.pmod(F.hash(*[F.col(q(x)) for x in df.columns]), F.lit(SALTS))
-        salted = ranks.drop("_n").withColumn(
-            "_salt",
-            F.explode(F.when(is_hot(F.col("_value")), F.sequence(F.lit(0), F.lit(SALTS - 1)))
-                      .otherwise(F.array(F.lit(0)))),
-        )
-        out = (
-            out.withColumn("_probe", probe)
-            .withColumn("_row_salt", F.when(is_hot(F.col("_probe")), salt).otherwise(0))
-            .join(salted, (F.col("_probe") == F.col("_value")) & (F.col("_row_salt") == F.col("_salt")), "left")
-            .drop("_probe", "_value", "_salt", "_row_salt")
-        )
+        else:
+            out = _windowed_rank(df, out, c, f"rank_{i}", splits[c])
     return out
 
 
+def _windowed_rank(df: DataFrame, rows: DataFrame, name: str, rank: str, splits: Splits) -> DataFrame:
+    """Add the average rank of one column by a window over its value buckets.
+
+    A value too frequent for a bucket is a split point itself.  Rows equal to a
+    split point take their rank from exact counts and are spread over SALTS
+    partitions, so no window partition grows with a frequent value.
+    """
+    points = splits.points
+    on_point = lambda x: x.isin(points) if points else F.lit(False)
+    # rows on a split point are counted apart from the rest of their bucket
+    probe = with_bucket(df.select(as_double(df, name).alias("value")).where("value is not null"), {name: splits})
+    sizes = probe.groupBy("bucket", F.when(on_point(F.col("value")), F.col("value")).alias("point")).agg(
+        F.count(F.lit(1)).alias("n")
+    ).collect()  # at most MAX_BUCKETS x (MAX_SLICES + 1) rows
+    below, table = 0, []
+    for r in sorted(sizes, key=lambda r: (r["bucket"], r["point"] is None)):
+        table.append((r["bucket"], r["point"], float(below), below + (r["n"] + 1) / 2.0))
+        below += r["n"]
+    places = local_table(
+        df.sparkSession, table, "_bucket int, _point double, _below double, _point_rank double")
+    keyed = with_bucket(rows.withColumn("value", as_double(df, name)), {name: splits}).withColumn(
+        "_at", F.when(on_point(F.col("value")), F.col("value"))
+    )
+    alone = F.col("_at").isNotNull() | F.col("value").isNull()
+    salt = F.when(alone, F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(SALTS))).otherwise(-1)
+    placed = keyed.withColumn("_salt", salt).join(
+        F.broadcast(places), (F.col("bucket") == F.col("_bucket")) & F.col("_at").eqNullSafe(F.col("_point")), "left"
+    )
+    w = Window.partitionBy("bucket", "_salt").orderBy("value")
+    peers = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    inside = F.col("_below") + F.rank().over(w) + (peers - 1) / 2.0
+    return placed.withColumn(
+        rank, F.when(F.col("_at").isNotNull(), F.col("_point_rank")).when(F.col("value").isNotNull(), inside)
+    ).drop("value", "bucket", "_at", "_salt", "_bucket", "_point", "_below", "_point_rank")
+
+
 # --- exact quantiles -------------------------------------------------------
 
 def _interpolate(probs):
@@ -167,103 +230,169 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], task_rows: int
     """Exact linear-interpolation quantiles: {column: [q1, q2, ...]} (None if no values).
 
     Columns with few rows use the built-in exact percentile.  For larger ones a
-    bracket around each order statistic is narrowed by approximate quantiles
-    until it holds few enough rows to sort; the answer is exact at any size.
+    bracket around each order statistic is narrowed until it holds few enough
+    rows to sort; the answer is exact at any size.
     """
     if not cols:
         return {}
-    counts = {}
-    for part in chunks(cols, 50):
-        counts.update(non_null_counts(df, part))
-    out = {c: [None] * len(probs) for c in cols if counts[c] == 0}
-    small = [c for c in cols if 0 < counts[c] <= task_rows]
-    for part in chunks(small, 50):
+    out = {c: [None] * len(probs) for c in cols}
+    large = {}
+    if df.count() > task_rows:
+        for part in chunks(cols, 50):
+            large.update({c: n for c, n in non_null_counts(df, part).items() if n > task_rows})
+    small = [c for c in cols if c not in large]
+    if small:
         arr = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(as_double(df, c), arr).alias(f"p{i}") for i, c in enumerate(part)]).first()
-        out.update({c: list(row[i]) for i, c in enumerate(part)})
-    for c in cols:
-        if counts[c] > task_rows:
-            out[c] = _narrowed_quantiles(df, c, counts[c], probs, task_rows)
+        # as rows, so each column's values meet in a task of their own
+        table = unpivot_numeric(df, small).groupBy("variable").agg(F.percentile("value", arr).alias("q"))
+        out.update({r["variable"]: list(r["q"]) for r in table.collect()})
+    if large:
+        out.update(_narrowed_quantiles(df, large, probs, task_rows))
     return out
 
 
-def _narrowed_quantiles(df: DataFrame, name: str, n: int, probs: list[float], task_rows: int) -> list[float]:
-    x = df.select(as_double(df, name).alias("x")).where("x is not null")
-    positions = sorted({i for p in probs for i in (int((n - 1) * p), min(n - 1, int((n - 1) * p) + 1))})
-    bounds = x.agg(F.min("x"), F.max("x")).first()
-    # per position: [low value, high value, rows below low, rows in bracket]
-    brackets = {k: (bounds[0], bounds[1], 0, n) for k in positions}
-    found = {}
-    accuracy = 10_000
-    while len(found) < len(positions):
-        open_ = {k: b for k, b in brackets.items() if k not in found}
-        for k, (lo, hi, _, _) in list(open_.items()):
-            if lo == hi:
-                found[k] = lo
-                del open_[k]
-        if not open_:
+def _narrowed_quantiles(df: DataFrame, sizes: dict[str, int], probs: list[float], task_rows: int) -> dict:
+    """Order statistics by repeated bracketing, all columns together.
+
+    A round samples the stretches that still hide a position, takes cut values
+    around it, and counts the rows below and at each cut exactly.  Two scans
+    per round; a round shrinks a stretch a few hundredfold, so a trillion rows
+    need about four.  Stretches of at most `task_rows` rows are then sorted.
+    """
+    spots = {c: sorted({k for p in probs for k in (int((n - 1) * p), min(n - 1, int((n - 1) * p) + 1))})
+             for c, n in sizes.items()}
+    df = df.select(*[col(c) for c in sizes])
+    known: dict[str, dict[float, tuple[int, int]]] = {c: {} for c in sizes}  # cut -> rows (below, equal)
+    while True:
+        found, gaps = _locate(spots, known, sizes)
+        wide = {g for g in gaps.values() if g.size > task_rows}
+        if not wide:
             break
-        ready = {k: b for k, b in open_.items() if b[3] <= task_rows}
-        if ready:
-            for lo, hi, below, size in set(ready.values()):
-                ks = [k for k, b in ready.items() if b == (lo, hi, below, size)]
-                w = Window.orderBy("x")  # at most task_rows rows, checked above
-                ranked = (
-                    x.where(F.col("x").between(lo, hi)).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-                    .withColumn("upto", F.sum("n").over(w))
-                )
-                hits = F.lit(False)
-                for k in ks:
-                    rel = k - below
-                    hits = hits | ((F.col("upto") > rel) & (F.col("upto") - F.col("n") <= rel))
-                table = ranked.where(hits).collect()
-                for k in ks:
-                    rel = k - below
-                    found[k] = next(r["x"] for r in table if r["upto"] > rel >= r["upto"] - r["n"])
-            continue
-        aggs, keys = [], []
-        for lo, hi, below, size in sorted(set(open_.values())):
-            ks = [k for k, b in open_.items() if b == (lo, hi, below, size)]
-            probes = sorted({min(1.0, max(0.0, (k - below) / size + d / accuracy)) for k in ks for d in (-2, 0, 2)})
-            inside = F.when(F.col("x").between(lo, hi), F.col("x"))
-            aggs.append(F.percentile_approx(inside, F.array(*[F.lit(p) for p in probes]), accuracy).alias(f"b{len(keys)}"))
-            keys.append(((lo, hi, below, size), ks))
-        cuts = x.agg(*aggs).first()
-        edges = [sorted({lo, hi, *cuts[i]}) for i, ((lo, hi, _, _), _) in enumerate(keys)]
-        # exact rows below / at each candidate edge
-        counting, where = [], []
-        for i, es in enumerate(edges):
-            for e in es:
-                counting += [F.count_if(F.col("x") < e), F.count_if(F.col("x") == e)]
-                where.append((i, e))
-        totals = x.agg(*[c.alias(f"c{j}") for j, c in enumerate(counting)]).first()
-        below_at = {(i, e): (totals[2 * j], totals[2 * j + 1]) for j, (i, e) in enumerate(where)}
-        for i, (old, ks) in enumerate(keys):
-            for k in ks:
-                lo, hi = old[0], old[1]
-                for e in edges[i]:
-                    under, equal = below_at[(i, e)]
-                    if under <= k < under + equal:
-                        lo = hi = e
-                        break
-                    if under + equal <= k:
-                        lo = max(lo, e)
-                    if under > k:
-                        hi = min(hi, e)
-                        break
-                if lo == hi:
-                    brackets[k] = (lo, hi, 0, 0)
-                else:
-                    under = below_at[(i, lo)][0]
-                    upto = sum(below_at[(i, hi)])
-                    brackets[k] = (lo, hi, under, upto - under)
-    result = []
-    for p in probs:
-        h = (n - 1) * p
-        k = int(h)
-        a, b = found[k], found[min(n - 1, k + 1)]
-        result.append(a + (b - a) * (h - k))
-    return result
+        cuts = _sampled_cuts(df, wide, gaps)
+        for c, counted in _counts_at(df, cuts).items():
+            known[c].update(counted)
+    if gaps:
+        found.update(_sorted_picks(df, gaps))
+    out = {}
+    for c, n in sizes.items():
+        out[c] = []
+        for p in probs:
+            h = (n - 1) * p
+            low, high = found[(c, int(h))], found[(c, min(n - 1, int(h) + 1))]
+            out[c].append(low + (high - low) * (h - int(h)))
+    return out
+
+
+@dataclass(frozen=True)
+class _Gap:
+    """Values strictly between two neighbouring cuts."""
+
+    column: str
+    low: float | None
+    high: float | None
+    below: int
+    size: int
+
+
+def _locate(spots, known, sizes):
+    """Positions that fall on a counted cut, and the gap that hides each other one."""
+    found, gaps = {}, {}
+    for c, ks in spots.items():
+        cuts = sorted(known[c].items())
+        for k in ks:
+            low, below, high, upto = None, 0, None, sizes[c]
+            for value, (under, equal) in cuts:
+                if under <= k < under + equal:
+                    found[(c, k)] = value
+                    break
+                if under > k:
+                    high, upto = value, under
+                    break
+                low, below = value, under + equal
+            if (c, k) not in found:
+                gaps[(c, k)] = _Gap(c, low, high, below, upto - below)
+    return found, gaps
+
+
+def _in_gaps(df: DataFrame, gaps: list[_Gap]) -> DataFrame:
+    """(gap, value): rows inside the listed gaps, numbered by list position."""
+    entries = []
+    for c in dict.fromkeys(g.column for g in gaps):
+        x, number = as_double(df, c), None
+        for i, g in enumerate(gaps):
+            if g.column == c:
+                hit = x.isNotNull()
+                hit = hit & (x > g.low) if g.low is not None else hit
+                hit = hit & (x < g.high) if g.high is not None else hit
+                number = F.when(hit, i) if number is None else number.when(hit, i)
+        entries.append(F.struct(number.alias("gap"), x.alias("value")))
+    return df.select(F.inline(F.array(*entries))).where("gap is not null")
+
+
+def _sampled_cuts(df: DataFrame, wide: set[_Gap], gaps: dict) -> dict[str, list[float]]:
+    listed = sorted(wide, key=lambda g: (g.column, g.below))
+    share, accuracy = F.lit(1.0), 5_000
+    aims = []
+    for i, g in enumerate(listed):
+        m = min(g.size, SAMPLE_ROWS)
+        share = F.when(F.col("gap") == i, m / g.size).otherwise(share)
+        at = [(k - g.below + 0.5) / g.size for (_, k), other in gaps.items() if other == g]
+        # three standard errors of a sampled quantile, plus the sketch's own error
+        aims.append({min(1.0, max(0.0, p + d * (1.5 / m**0.5 + 1.0 / accuracy))) for p in at for d in (-1, 1)})
+    every = sorted(set().union(*aims))
+    rows = _in_gaps(df, listed).where(F.rand(7) < share).groupBy("gap").agg(
+        F.percentile_approx("value", F.array(*[F.lit(p) for p in every]), accuracy).alias("q")
+    ).collect()
+    cuts: dict[str, set] = {}
+    for r in rows:
+        cuts.setdefault(listed[r["gap"]].column, set()).update(
+            v for p, v in zip(every, r["q"]) if p in aims[r["gap"]])
+    return {c: sorted(v) for c, v in cuts.items()}
+
+
+def _counts_at(df: DataFrame, cuts: dict[str, list[float]]) -> dict[str, dict[float, tuple[int, int]]]:
+    """Per cut, exact (rows below it, rows equal to it), from one grouped count."""
+    cols = list(cuts)
+    rows = df.select(*[as_double(df, c).alias(f"x{i}") for i, c in enumerate(cols)])
+    rows = rows.withColumns({f"u{i}": F.expr(_tree(f"x{i}", cuts[c])) for i, c in enumerate(cols)})
+    entries = []
+    for i, c in enumerate(cols):
+        at = f"element_at(array({', '.join(f'{x!r}D' for x in cuts[c])}), greatest(u{i}, 1))"
+        entries.append(F.struct(
+            F.lit(c).alias("variable"), F.expr(f"x{i} is not null").alias("present"), F.col(f"u{i}").alias("upto"),
+            F.expr(f"coalesce(u{i} > 0 and x{i} = {at}, false)").alias("on_cut"),
+        ))
+    tally = rows.select(F.inline(F.array(*entries))).where("present").groupBy("variable", "upto", "on_cut").agg(
+        F.count(F.lit(1)).alias("n")).collect()
+    by = {(r["variable"], r["upto"], r["on_cut"]): r["n"] for r in tally}
+    out = {}
+    for c, v in cuts.items():
+        below, out[c] = by.get((c, 0, False), 0), {}
+        for i, value in enumerate(v, 1):
+            equal = by.get((c, i, True), 0)
+            out[c][value] = (below, equal)
+            below += equal + by.get((c, i, False), 0)
+    return out
+
+
+def _sorted_picks(df: DataFrame, gaps: dict) -> dict:
+    """Read positions off small gaps; each holds at most task_rows rows."""
+    listed = sorted(set(gaps.values()), key=lambda g: (g.column, g.below))
+    w = Window.partitionBy("gap").orderBy("value")
+    runs = _in_gaps(df, listed).groupBy("gap", "value").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "upto", F.sum("n").over(w)
+    )
+    wanted = F.lit(False)
+    for (_, k), g in gaps.items():
+        rel = k - g.below
+        hit = (F.col("gap") == listed.index(g)) & (F.col("upto") > rel) & (F.col("upto") - F.col("n") <= rel)
+        wanted = wanted | hit
+    picks = runs.where(wanted).collect()
+    return {
+        (c, k): next(r["value"] for r in picks
+                     if r["gap"] == listed.index(g) and r["upto"] > k - g.below >= r["upto"] - r["n"])
+        for (c, k), g in gaps.items()
+    }
 
 
 def grouped_quantiles(df: DataFrame, value: str, by: list[str], probs: list[float],
@@ -280,10 +409,10 @@ def grouped_quantiles(df: DataFrame, value: str, by: list[str], probs: list[floa
         return rows.groupBy(*[q(b) for b in by]).agg(
             F.count(F.lit(1)).alias("n"), F.percentile("value", arr).alias("q")
         )
-    splits = split_points(rows, ["value"], largest[1], task_rows)["value"]
+    splits = split_points(rows, ["value"], largest[1], task_rows)
     keys = [q(b) for b in by]
     counts = (
-        rows.withColumn("bucket", F.expr(bucket_sql("value", splits)))
+        with_bucket(rows, splits)
         .groupBy(*keys, "bucket", "value").agg(F.count(F.lit(1)).alias("n"))
     )
     sizes = counts.groupBy(*keys).agg(F.sum("n").alias("n"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions import special
-from statloom.functions.frames import local_table, as_double, chunks, col
+from statloom.functions.frames import as_double, chunks, col, local_table
 from statloom.operators.correlation import pair_aggregate
 from statloom.operators.gram import column_means, pair_sums
 from statloom.operators.ordered import LagSums, lag_sums, partial_autocorrelation

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.functions.frames import local_table, as_double, chunks, col, is_numeric, is_text
+from statloom.functions.frames import as_double, chunks, col, is_numeric, is_text, local_table
 
 
 def dtype_role(dtype: T.DataType) -> str:

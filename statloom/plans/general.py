@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions.frames import empty, local_table, union_all
+from statloom.functions.frames import empty, union_all
 from statloom.operators import association, correlation, groups
 from statloom.operators.association import top_values
 from statloom.operators.describe import descriptives

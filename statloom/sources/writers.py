@@ -5,9 +5,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from statloom.functions.frames import col, local_table
 from statloom.operators.pii import mask_columns, pii_map
@@ -85,9 +85,14 @@ def drop_database(spark: SparkSession, name: str) -> None:
 
 
 def create_database(spark: SparkSession, name: str) -> str:
-    """Create a fresh database, dropping an earlier one of the same name."""
+    """Create a fresh database, dropping an earlier one of the same name.
+
+    It gets a folder of its own: files left behind by a catalog that has since
+    been lost cannot get in the way.
+    """
     drop_database(spark, name)
-    spark.sql(f"CREATE DATABASE `{name}`")
+    folder = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), f"{name}-{uuid.uuid4().hex[:12]}.db")
+    spark.sql(f"CREATE DATABASE `{name}` LOCATION '{folder}'")
     return name
 
 
