@@ -41,7 +41,7 @@ NEXT = "0.042981 * u - 0.293762 * u*u - 1.752461 * u*u*u + 5.682633 * pow(u, 4)
 
 
 def shapiro_sql(long: str) -> str:
-    """CTEs that end in `sw(keys, n, statistic, z)` from rows (k, value) named `long`; 12 <= n < 5000."""
+    """CTEs that end in `sw(keys, n, statistic, z)` from rows (k, value) named `long`; 8 <= n < 5000."""
     return f"""
 ordered as (select k, value, row_number() over (partition by k order by value) as i, count(*) over (partition by k) as n,
   value - avg(value) over (partition by k) as x from {long}),
@@ -55,8 +55,11 @@ weights2 as (select *, (mm - 2 * m_n * m_n - 2 * m_n1 * m_n1) / (1 - 2 * a_n * a
 terms as (select s.k, s.n, s.x, case when s.i = s.n then w.a_n when s.i = 1 then -w.a_n when s.i = s.n - 1 then w.a_n1
   when s.i = 2 then -w.a_n1 else s.m / sqrt(w.phi) end as a from scores s join weights2 w using (k)),
 w_stat as (select k, n, pow(sum(a * x), 2) / sum(x * x) as statistic from terms group by k, n),
-sw as (select k, n, statistic, (ln(1 - statistic) - (-1.5861 - 0.31082 * ln(n) - 0.083751 * pow(ln(n), 2) + 0.0038915 * pow(ln(n), 3)))
-  / exp(-0.4803 - 0.082676 * ln(n) + 0.0030302 * pow(ln(n), 2)) as z from w_stat)"""
+sw as (select k, n, statistic, case when n <= 11
+  then (-ln(-2.273 + 0.459 * n - ln(1 - statistic)) - (0.5440 - 0.39978 * n + 0.025054 * n * n - 6.714e-4 * pow(n, 3)))
+    / exp(1.3822 - 0.77857 * n + 0.062767 * n * n - 0.0020322 * pow(n, 3))
+  else (ln(1 - statistic) - (-1.5861 - 0.31082 * ln(n) - 0.083751 * pow(ln(n), 2) + 0.0038915 * pow(ln(n), 3)))
+    / exp(-0.4803 - 0.082676 * ln(n) + 0.0030302 * pow(ln(n), 2)) end as z from w_stat)"""
 
 
 def omnibus_sql(long: str) -> str:

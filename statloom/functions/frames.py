@@ -135,5 +135,18 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Rows a range partition should hold; more partitions than the session's
+# shuffle setting are asked for only when it would be exceeded.
+RANGE_ROWS = 5_000_000
+
+
+def lay_out(df: DataFrame, order: list, rows: int) -> DataFrame:
+    """Range-partition on the whole order key and sort each partition."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    need = -(-rows // RANGE_ROWS)
+    laid = df.repartitionByRange(need, *order) if need > usual else df.repartitionByRange(*order)
+    return laid.sortWithinPartitions(*order)
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return local_table(spark, [], schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 
-from statloom.functions.frames import col
+from statloom.functions.frames import col, lay_out
 
 SCHEMA = "part int, n long, sums array<double>, head array<double>, tail array<double>"
 
@@ -66,14 +66,17 @@ def _scanner(lags: int):
     return scan
 
 
-def lag_sums(df: DataFrame, value: Column, order_by: list[str], lags: int) -> LagSums:
-    """Lag products 0..lags of `value` in the given row order (lags >= 1)."""
+def lag_sums(df: DataFrame, value: Column, order_by: list[str], lags: int, rows: int = 0) -> LagSums:
+    """Lag products 0..lags of `value` in the given row order (lags >= 1).
+
+    `rows`, when known, sizes the partitions of large frames.
+    """
     if not order_by:
         raise ValueError("row order matters here: order_by must name the ordering columns")
     keys = [col(c).alias(f"_o{i}") for i, c in enumerate(order_by)]
-    rows = df.select(value.cast("double").alias("x"), *keys).where("x is not null")
+    values = df.select(value.cast("double").alias("x"), *keys).where("x is not null")
     order = [f"_o{i}" for i in range(len(order_by))] + ["x"]
-    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("x")
+    laid = lay_out(values, order, rows).select("x")
     parts = sorted(laid.mapInArrow(_scanner(lags), SCHEMA).collect(), key=lambda r: r["part"])
     total = np.zeros(lags + 1)
     before = np.empty(0)

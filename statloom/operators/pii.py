@@ -83,7 +83,7 @@ def content_hits(df: DataFrame, cols: list[str] | None = None, sample_size: int
     if not cols:
         return empty(spark, schema)
     if sample_size is None:
-        return union_all([_hit_row(df, part) for part in chunks(cols, 20)])
+        return union_all([_hit_row(df, part) for part in chunks(cols, 8)])
     return union_all([
         _hit_row(df.where(col(c).isNotNull()).orderBy(*[col(o) for o in order_by]).limit(sample_size), [c])
         for c in cols

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statloom.functions.frames import (
     chunks, col, div, empty, is_text, local_table, present, union_all, unpivot_text,
@@ -14,32 +15,56 @@ from statloom.operators.pii import pii_map, placeholder
 from statloom.operators.ranks import quantiles
 from statloom.operators.roles import columns_of, dtype_role
 
-# Each exact distinct count in an aggregate expands the rows once more.
-DISTINCT_PER_PASS = 8
+def _value_key(f: T.StructField, c: Column) -> dict[str, Column]:
+    """A value as one of three typed columns, so different columns fit one grouping key."""
+    whole = text = real = None
+    if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        whole = c.cast("long")
+    elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+        real = c.cast("double")
+    elif f.dataType.typeName() in ("map", "variant", "struct", "array"):
+        text = F.to_json(c)
+    else:
+        text = c.cast("string")
+    return {"whole": F.lit(None).cast("long") if whole is None else whole,
+            "real": F.lit(None).cast("double") if real is None else real,
+            "text": F.lit(None).cast("string") if text is None else text}
 
 
 def column_profile(df: DataFrame, pii: dict[str, str] | None = None, approx: bool = False) -> DataFrame:
-    """(position, name, dtype, role, null_count, unique_count, null_rate, pii_type)."""
+    """(position, name, dtype, role, null_count, unique_count, null_rate, pii_type).
+
+    One scan for all columns: every value becomes a (column, value) key and
+    equal keys collapse within each task before the shuffle.  approx=True
+    counts distinct values by sketch, without that shuffle.
+    """
     pii = pii_map(df) if pii is None else pii
     fields = list(enumerate(df.schema.fields))
-    parts = []
-    for part in chunks(fields, 50 if approx else DISTINCT_PER_PASS):
-        aggs, rows = [F.count(F.lit(1)).alias("total")], []
-        for i, f in part:
-            c = present(df, f.name)
-            plain = f.dataType.typeName() not in ("map", "variant")
-            key = c if plain else F.to_json(c)
-            distinct = F.approx_count_distinct(key, 0.02) if approx else F.count_distinct(key)
-            aggs += [F.count(c).alias(f"c{i}"), distinct.alias(f"u{i}")]
-            rows.append(F.struct(
-                F.lit(i).alias("position"), F.lit(f.name).alias("name"),
-                F.lit(f.dataType.simpleString()).alias("dtype"), F.lit(dtype_role(f.dataType)).alias("role"),
-                (F.col("total") - F.col(f"c{i}")).alias("null_count"), F.col(f"u{i}").alias("unique_count"),
-                div(F.col("total") - F.col(f"c{i}"), F.col("total").cast("double")).alias("null_rate"),
-                F.lit(pii.get(f.name)).cast("string").alias("pii_type"),
-            ))
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*rows))))
-    return union_all(parts)
+    meta = local_table(
+        df.sparkSession,
+        [(i, f.name, f.dataType.simpleString(), dtype_role(f.dataType), pii.get(f.name)) for i, f in fields],
+        "position int, name string, dtype string, role string, pii_type string",
+    )
+    entries = [F.struct(F.lit(i).alias("position"),
+                        *[v.alias(k) for k, v in _value_key(f, present(df, f.name)).items()]) for i, f in fields]
+    keys = ["position", "whole", "real", "text"]
+    long = df.select(F.inline(F.array(*entries)))
+    missing = F.col("whole").isNull() & F.col("real").isNull() & F.col("text").isNull()
+    if approx:
+        value = F.when(~missing, F.xxhash64("whole", "real", "text"))
+        sums = long.groupBy("position").agg(
+            F.count(F.lit(1)).alias("total"), F.count_if(missing).alias("null_count"),
+            F.approx_count_distinct(value, 0.02).alias("unique_count"))
+    else:
+        sums = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).groupBy("position").agg(
+            F.sum("n").alias("total"), F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0)).alias("null_count"),
+            F.count_if(~missing).alias("unique_count"))
+    zero = F.lit(0).cast("long")
+    return meta.join(sums, "position", "left").select(
+        "position", "name", "dtype", "role", F.coalesce("null_count", zero).alias("null_count"),
+        F.coalesce("unique_count", zero).alias("unique_count"),
+        div(F.col("null_count"), F.col("total").cast("double")).alias("null_rate"), "pii_type",
+    )
 
 
 def sample_values(df: DataFrame, order_by: list[str], k: int = 5, pii: dict[str, str] | None = None) -> DataFrame:
@@ -134,7 +159,7 @@ def quality_issues(df: DataFrame, null_share: float = 0.3) -> DataFrame:
     text_dates: a text column where every value reads as a timestamp and none is a number.
     """
     parts = []
-    for part in chunks(list(df.schema.fields), 25):
+    for part in chunks(list(df.schema.fields), 10):
         aggs, rows = [F.count(F.lit(1)).cast("double").alias("total")], []
         for i, f in enumerate(part):
             c = present(df, f.name)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.frames import (
-    TASK_ROWS, as_double, chunks, col, cut, div, local_table, q, unpivot_numeric,
+    TASK_ROWS, as_double, chunks, col, cut, div, lay_out, local_table, q, unpivot_numeric,
 )
 
 # Buckets come from split points (a binary tree of comparisons per value) and,
@@ -450,11 +450,11 @@ def row_index(df: DataFrame, order_by: list[str], name: str = "row_index",
     rest = [f.name for f in df.schema.fields
             if f.name not in order_by and f.dataType.typeName() not in ("map", "variant")]
     order = [col(c) for c in [*order_by, *rest]]
-    if df.count() <= task_rows:
+    rows = df.count()
+    if rows <= task_rows:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
     laid = cut(
-        df.repartitionByRange(*order).sortWithinPartitions(*order)
-        .withColumn("_id", F.monotonically_increasing_id()),
+        lay_out(df, order, rows).withColumn("_id", F.monotonically_increasing_id()),
         "row-index",
     )
     part = F.shiftright("_id", 33)

@@ -212,7 +212,7 @@ class OLSFit:
             raise ValueError("this diagnostic depends on row order: fit with order_by=[...]")
         if lags not in self._lags:
             mean = self.sums["s1"] / self.n
-            self._lags[lags] = lag_sums(self.source, self.residual() - F.lit(mean), self.order_by, lags)
+            self._lags[lags] = lag_sums(self.source, self.residual() - F.lit(mean), self.order_by, lags, self.n)
         return self._lags[lags]
 
     @property
