@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registry.base import DIRTY_SQL, REG_SQL, dirty_orders, p_chi2, p_f, p_t, query, rd, reg_lines, rounded, table
-from registry.testing import REG_NUM
+from registry.testing import REG_NUM, omnibus_sql
 from statloom.operators import regression as reg
 from statloom.plans.full import regression_run
 
@@ -87,11 +87,6 @@ def ols_summary(spark, sf):
     return rounded(s, 6, f_statistic=4, aic=3, bic=3, log_likelihood=3)
 
 
-@query("ols_omnibus_and_condition")
-def ols_omnibus_and_condition(spark, sf):
-    return rounded(_two(spark, sf).model_summary().select("target", "omnibus", "omnibus_pvalue", "condition_number"), 2)
-
-
 @query("vif", f"""
 with {REG_SQL}, r as (select corr(disc_price, l_extendedprice) as r from reg_lines),
 v as (select 1 / (1 - r * r) as v from r)
@@ -162,6 +157,17 @@ def _ordered(spark, sf):
     return reg.fit_ols(table(spark, sf, "orders"), "o_totalprice", ["o_custkey"], order_by=["o_orderkey"])
 
 
+@query("ols_omnibus_and_condition", f"""
+with {ORDERED}, long as (select 'e' as k, e as value from res1), {omnibus_sql('long')},
+x as (select cast(count(*) as double) as n, sum(cast(o_custkey as double)) as s, sum(cast(o_custkey as double) * o_custkey) as q from orders),
+lam as (select (n + q + sqrt(pow(n - q, 2) + 4 * s * s)) / 2 as big, n * q - s * s as det from x)
+select 'o_totalprice' as target, {rd('statistic / 1e3', 4)} as omnibus, {rd('exp(-statistic / 2)')} as omnibus_pvalue,
+  {rd('big / sqrt(det)', 4)} as condition_number from k2, lam""")
+def ols_omnibus_and_condition(spark, sf):
+    out = _ordered(spark, sf).model_summary().select("target", F.col("omnibus") / 1e3, "omnibus_pvalue", "condition_number")
+    return rounded(out.toDF("target", "omnibus", "omnibus_pvalue", "condition_number"), 4)
+
+
 @query("durbin_watson", f"""
 with {ORDERED}, steps as (select e - lag(e) over (order by o_orderkey) as d from res1),
 dw as (select sum(d*d) / max(ee) as dw from steps, base1)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from registry.base import (
-    dirty_orders, people, query, rd, reg_lines, rounded, table,
+    PEOPLE_SQL, REG_SQL, dirty_orders, people, query, rd, reg_lines, rounded, table,
 )
-from registry.testing import _kw, _pairs_sql, _with_p, ranks_sql
+from registry.testing import _chi, _kw, _pairs_sql, _with_p, ranks_sql
 from statloom.operators.groups import compare_groups, labelled
 from statloom.plans import charts, full, general
 
@@ -40,24 +42,46 @@ def general_tests(spark, sf):
         "statistic", "p_value", "df", "n", "significant"))
 
 
-@query("general_totals")
+@query("general_totals", f"""
+with c as (with {ranks_sql('orders', ['o_orderkey', 'o_custkey', 'o_totalprice'])}, {_with_p(_pairs_sql('ranked', list(combinations(['o_orderkey', 'o_custkey', 'o_totalprice'], 2))))}
+  select p_value from tested),
+k as (with {_kw('orders', [(g, v) for g in ('o_orderstatus', 'o_orderpriority') for v in ('o_orderkey', 'o_custkey', 'o_totalprice')])} select p_value from kw),
+x as (with {_chi('orders', [('o_orderstatus', 'o_orderpriority')])} select p_value from chi)
+select 'mixed' as classification, count(*) as total_tests_run, count(*) filter (p_value < 0.05) as significant_findings
+from (select * from c union all select * from k union all select * from x)""")
 def general_totals(spark, sf):
     return general.general_tests(table(spark, sf, "orders")).totals()
 
 
-@query("findings_counts")
+@query("findings_counts", """
+select 'p_type' as variable, (select count(distinct p_type) from part) as n_unique, p_type as value, count(*) as n
+from part group by p_type order by n desc, value limit 15""")
 def findings_counts(spark, sf):
     found = general.findings(table(spark, sf, "part"))
     return found.category_counts.select("variable", "n_unique", "value", "n")
 
 
-@query("chart_plan")
+PLAN_COLS = ["l_quantity", "l_discount", "l_tax", "l_extendedprice", "disc_price", "charge"]
+
+
+@query("chart_plan", f"""
+with {REG_SQL}, {_with_p(_pairs_sql('reg_lines', list(combinations(PLAN_COLS, 2))))},
+top as (select x, y, row_number() over (order by abs(r) desc, x, y) as position from tested where abs(r) > 0.3 and p_value < 0.05)
+select cast(position as integer) as position, 'scatter' as kind, x || ', ' || y as columns, 'Correlation: ' || x || ' vs ' || y as title
+from top where position <= 3
+union all select 4, 'histogram', '{", ".join(PLAN_COLS[:4])}', 'Distributions & Normality' from top where position = 1
+union all select 5, 'qq', 'l_quantity', 'QQ Plot: l_quantity' from top where position = 1
+union all select 6, 'heatmap', '{", ".join(PLAN_COLS)}', 'Correlation Matrix' from top where position = 1""")
 def chart_plan(spark, sf):
     plan = charts.chart_plan(general.findings(reg_lines(spark, sf).drop("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")), spark)
     return plan.withColumn("columns", F.concat_ws(", ", "columns"))
 
 
-@query("full_run")
+@query("full_run", f"""
+with {PEOPLE_SQL}
+select 'csv_people_' || substr(md5('people'), 1, 6) as db_name, 'people' as table_name,
+       'id, name, email, phone, ref_a, ref_b, ref_c, contact, segment' as columns, 9 as column_count, count(*) as row_count,
+       count(*) as total_rows, 'Auto-loaded as single table' as rationale from people""")
 def full_run(spark, sf):
     """Profile, clean, mask, load, test and chart one table; its load manifest."""
     return full.analyse(people(spark, sf), load_as="people.csv", order_by=["id"]).manifest
