@@ -1,8 +1,8 @@
 """Distribution tails on NumPy arrays, and their Arrow-batched Spark wrappers.
 
 Tails are evaluated on result tables (one row per test), never on data rows.
-The one function needed per data row, the normal quantile, is a plain column
-expression (`norm_ppf_col`) and stays inside generated JVM code.
+The one function needed per data row, the normal quantile, is made of plain
+column expressions (`with_norm_ppf`) and stays inside generated JVM code.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -56,20 +56,29 @@ def horner(coefs, x):
     return acc
 
 
-def norm_ppf_col(p: Column) -> Column:
-    """Normal quantile as a column expression (about 16 digits)."""
-    q = p - 0.5
-    r_mid = 0.180625 - q * q
-    tail = F.when(q < 0, p).otherwise(1.0 - p)
-    r = F.sqrt(-F.log(tail))
-    far = F.when(
-        r <= 5.0,
-        horner(PPF_NEAR_NUM, r - 1.6) / horner(PPF_NEAR_DEN, r - 1.6),
-    ).otherwise(horner(PPF_FAR_NUM, r - 5.0) / horner(PPF_FAR_DEN, r - 5.0))
-    return (
-        F.when(F.abs(q) <= 0.425, q * horner(PPF_CENTRAL_NUM, r_mid) / horner(PPF_CENTRAL_DEN, r_mid))
-        .when((p > 0) & (p < 1), F.signum(q) * far)
+def _horner_sql(coefs: list[float], x: str) -> str:
+    text = f"{coefs[-1]!r}D"
+    for c in reversed(coefs[:-1]):
+        text = f"({text} * {x} + {c!r}D)"
+    return text
+
+
+def with_norm_ppf(df: DataFrame, p: Column, name: str) -> DataFrame:
+    """Add the normal quantile of `p` (about 16 digits), null outside (0, 1).
+
+    Stepwise columns: each root and logarithm is computed once per row, and the
+    expressions stay small enough to plan and compile quickly.
+    """
+    steps = df.withColumn("_p", F.when((p > 0) & (p < 1), p)).withColumn("_q", F.expr("_p - 0.5D"))
+    steps = steps.withColumn("_r", F.expr("sqrt(-ln(least(_p, 1D - _p)))"))
+    steps = steps.withColumns({"_c": F.expr("0.180625D - _q * _q"), "_n": F.expr("_r - 1.6D"), "_f": F.expr("_r - 5D")})
+    ratio = lambda num, den, x: f"{_horner_sql(num, x)} / {_horner_sql(den, x)}"
+    value = (
+        f"CASE WHEN abs(_q) <= 0.425D THEN _q * {ratio(PPF_CENTRAL_NUM, PPF_CENTRAL_DEN, '_c')} "
+        f"WHEN _r <= 5D THEN signum(_q) * {ratio(PPF_NEAR_NUM, PPF_NEAR_DEN, '_n')} "
+        f"ELSE signum(_q) * {ratio(PPF_FAR_NUM, PPF_FAR_DEN, '_f')} END"
     )
+    return steps.withColumn(name, F.expr(value)).drop("_p", "_q", "_r", "_c", "_n", "_f")
 
 
 def norm_sf(z):

@@ -78,15 +78,17 @@ def cramers_v(chi: DataFrame) -> DataFrame:
 CHI_SCHEMA = ("col_a string, col_b string, n long, rows long, cols long, statistic double, dof double, p_value double")
 
 
-def _pairs(df: DataFrame, cols, lo: int, hi: int, max_cols=None):
+def _pairs(df: DataFrame, cols, lo: int, hi: int, max_cols=None, levels=None):
     cols = columns_of(df, "categorical") if cols is None else cols
-    near = [c for c, k in level_counts(df, cols, hi).items() if k is not None and lo <= k <= hi]
+    levels = level_counts(df, cols, hi) if levels is None else levels
+    near = [c for c in cols if levels.get(c) is not None and lo <= levels[c] <= hi]
     return list(combinations(near[:max_cols], 2))
 
 
-def auto_association(df: DataFrame, cols: list[str] | None = None, max_levels: int = 20) -> DataFrame:
+def auto_association(df: DataFrame, cols: list[str] | None = None, max_levels: int = 20,
+                     levels: dict | None = None) -> DataFrame:
     """Chi-squared test of every pair of text columns with at most 20 levels."""
-    pairs = _pairs(df, cols, 1, max_levels)
+    pairs = _pairs(df, cols, 1, max_levels, levels=levels)
     if not pairs:
         return empty(df.sparkSession, CHI_SCHEMA + ", significant boolean, interpretation string")
     table = chi_squared(crosstab(df, pairs))
@@ -100,9 +102,9 @@ def auto_association(df: DataFrame, cols: list[str] | None = None, max_levels: i
 
 
 def association_screen(df: DataFrame, cols: list[str] | None = None, max_levels: int = 20,
-                       max_cols: int | None = 6) -> DataFrame:
+                       max_cols: int | None = 6, levels: dict | None = None) -> DataFrame:
     """Significant associations with Cramer's V, smallest p first."""
-    pairs = _pairs(df, cols, 2, max_levels, max_cols)
+    pairs = _pairs(df, cols, 2, max_levels, max_cols, levels)
     if not pairs:
         return empty(df.sparkSession, CHI_SCHEMA + ", cramers_v double, strength string")
     return cramers_v(chi_squared(crosstab(df, pairs))).where(F.col("p_value") < ALPHA).orderBy("p_value", *PAIR)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from statloom.functions.frames import (
     TASK_ROWS, as_double, col, div, empty, is_numeric, local_table, settle,
 )
-from statloom.functions.special import norm_ppf_col
+from statloom.functions.special import with_norm_ppf
 from statloom.operators.association import row_percent, top_values
 from statloom.operators.correlation import correlation_matrix, safe_corr
 from statloom.operators.ranks import grouped_quantiles, quantiles, row_index, value_ranks
@@ -264,10 +264,8 @@ def qq_points(df: DataFrame, column: str, task_rows: int = TASK_ROWS, min_rows:
             "value", "first", F.least(F.col("last"), F.col("first") + RUN_PIECE - 1).alias("last")
         ))
     ranked = parts.select("value", F.explode(F.sequence("first", "last")).alias("rank"))
-    return ranked.select(
-        "rank", norm_ppf_col(filliben(F.col("rank").cast("double"), F.lit(float(n)))).alias("theoretical"),
-        F.col("value").alias("sample"),
-    )
+    place = filliben(F.col("rank").cast("double"), F.lit(float(n)))
+    return with_norm_ppf(ranked, place, "theoretical").select("rank", "theoretical", F.col("value").alias("sample"))
 
 
 def qq_line(df: DataFrame, column: str, task_rows: int = TASK_ROWS, min_rows: int = 3) -> DataFrame:

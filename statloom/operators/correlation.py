@@ -107,12 +107,12 @@ def spearman(df: DataFrame, pairs: list[tuple[str, str]], task_rows: int = TASK_
     return with_r_pvalue(_rank_correlation(df, pairs, task_rows, broadcast_ok))
 
 
-def _rank_correlation(df, pairs, task_rows, broadcast_ok):
+def _rank_correlation(df, pairs, task_rows, broadcast_ok, total=None, filled=None):
     if not pairs:
         return empty(df.sparkSession, PAIR_SCHEMA)
     cols = list(dict.fromkeys(c for pair in pairs for c in pair))
-    total = df.count()
-    filled = non_null_counts(df, cols)
+    total = df.count() if total is None else total
+    filled = non_null_counts(df, cols) if filled is None else filled
     whole = [p for p in pairs if filled[p[0]] == total and filled[p[1]] == total]
     parts = []
     if whole:
@@ -170,11 +170,12 @@ def labelled(table: DataFrame) -> DataFrame:
     })
 
 
-def auto_correlation(df: DataFrame, cols: list[str] | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+def auto_correlation(df: DataFrame, cols: list[str] | None = None, task_rows: int = TASK_ROWS,
+                     moment_table: DataFrame | None = None) -> DataFrame:
     """(test_name, x, y, n, r, p_value, significant, strength, direction, interpretation).
 
     Pairs with at least 5 complete rows; Pearson when both columns are normal
-    on those rows, else Spearman.
+    on those rows, else Spearman.  A pinned moments table of the columns saves scans.
     """
     cols = varying_numeric(df) if cols is None else cols
     pairs = list(combinations(cols, 2))
@@ -183,7 +184,10 @@ def auto_correlation(df: DataFrame, cols: list[str] | None = None, task_rows: in
     if not pairs:
         return empty(df.sparkSession, schema)
     total = df.count()
-    filled = non_null_counts(df, cols)
+    if moment_table is None:
+        filled = non_null_counts(df, cols)
+    else:
+        filled = {r["variable"]: r["n"] for r in moment_table.select("variable", "n").collect()}
     gaps = [p for p in pairs if filled[p[0]] < total or filled[p[1]] < total]
     shared = [c for c in cols if any(c in p for p in pairs if p not in gaps)]
     probes, probe_of = {}, {}
@@ -193,8 +197,10 @@ def auto_correlation(df: DataFrame, cols: list[str] | None = None, task_rows: in
             name = f"_probe_{len(probes)}"
             probes[name] = F.when(both, as_double(df, side))
             probe_of[(a, b, side)] = name
-    source = df.select(*[col(c) for c in shared], *[e.alias(n) for n, e in probes.items()])
-    verdict = {r["variable"]: (r["is_normal"], r["n"]) for r in normality(source, source.columns).collect()}
+    tests = [normality(df, shared, moment_table)] if shared else []
+    if probes:
+        tests.append(normality(df.select(*[e.alias(n) for n, e in probes.items()]), list(probes)))
+    verdict = {r["variable"]: (r["is_normal"], r["n"]) for r in union_all(tests).collect()}
     of = lambda a, b, side: verdict[probe_of.get((a, b, side), side)]
     usable = [p for p in pairs if of(*p, p[0])[1] >= 5]
     normal = [p for p in usable if of(*p, p[0])[0] and of(*p, p[1])[0]]
@@ -203,7 +209,7 @@ def auto_correlation(df: DataFrame, cols: list[str] | None = None, task_rows: in
     if normal:
         parts.append(pair_aggregate(df, normal).select(F.lit("Pearson Correlation").alias("test_name"), "*"))
     if other:
-        parts.append(_rank_correlation(df, other, task_rows, True)
+        parts.append(_rank_correlation(df, other, task_rows, True, total, filled)
                      .select(F.lit("Spearman Correlation").alias("test_name"), "*"))
     if not parts:
         return empty(df.sparkSession, schema)

@@ -46,12 +46,13 @@ def moments(df: DataFrame, cols: list[str], by: list[str] | None = None, name="v
     return out.withColumns({"var": finite(F.col("var")), "g1": finite(F.col("g1")), "g2": finite(F.col("g2"))})
 
 
-def descriptives(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def descriptives(df: DataFrame, cols: list[str] | None = None, moment_table: DataFrame | None = None) -> DataFrame:
     """(variable, n, mean, median, std, min, max, skewness, kurtosis) of non-empty columns."""
     cols = columns_of(df, "numeric") if cols is None else cols
+    table = moments(df, cols) if moment_table is None else moment_table
     medians = local_table(df.sparkSession, [(c, v[0]) for c, v in quantiles(df, cols, [0.5]).items()],
                           "variable string, median double")
-    return moments(df, cols).join(F.broadcast(medians), "variable").where(F.col("n") > 0).select(
+    return table.join(F.broadcast(medians), "variable").where(F.col("n") > 0).select(
         "variable", "n", "mean", "median", F.sqrt("var").alias("std"), "min", "max",
         sample_skewness(F.col("n"), F.col("g1")).alias("skewness"),
         sample_kurtosis(F.col("n"), F.col("g2")).alias("kurtosis"),

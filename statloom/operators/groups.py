@@ -7,6 +7,8 @@ ascending order, which fixes the sign of t and the group U belongs to.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +41,8 @@ def group_moments(df: DataFrame, cats: list[str], nums: list[str], min_group: in
 
 def _usable(pinned: DataFrame) -> dict[tuple[str, str], int]:
     """(category, variable) pairs that keep at least two groups, with their group count."""
-    table = pinned.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("groups")).where("groups >= 2").orderBy(*KEYS)
-    return {(r["category"], r["variable"]): r["groups"] for r in table.collect()}
+    found = Counter((r["category"], r["variable"]) for r in pinned.select(*KEYS).collect())
+    return {key: found[key] for key in sorted(found) if found[key] >= 2}
 
 
 def t_test(moment_table: DataFrame) -> DataFrame:
@@ -168,9 +170,10 @@ def compare_groups(df: DataFrame, test: str, pairs: list[tuple[str, str]], min_g
     return {"mannwhitney": mann_whitney, "kruskal": kruskal_wallis}[test](sums).select(*RESULT)
 
 
-def _categories(df: DataFrame, cats: list[str] | None, lo: int, hi: int) -> list[str]:
+def _categories(df: DataFrame, cats: list[str] | None, lo: int, hi: int, levels: dict | None = None) -> list[str]:
     cats = columns_of(df, "categorical") if cats is None else cats
-    return [c for c, k in level_counts(df, cats, hi).items() if k is not None and lo <= k <= hi]
+    levels = level_counts(df, cats, hi) if levels is None else levels
+    return [c for c in cats if levels.get(c) is not None and lo <= levels[c] <= hi]
 
 
 def labelled(table: DataFrame) -> DataFrame:
@@ -187,14 +190,15 @@ def labelled(table: DataFrame) -> DataFrame:
 
 
 def auto_group_tests(df: DataFrame, cats: list[str] | None = None, nums: list[str] | None = None,
-                     max_groups: int = 20, task_rows: int = TASK_ROWS) -> DataFrame:
+                     max_groups: int = 20, task_rows: int = TASK_ROWS, levels: dict | None = None) -> DataFrame:
     """Pick and run a test per (category, numeric) pair.
 
     Categories with 2 to 20 levels; groups below 3 rows are dropped and two must
     remain.  All groups normal: t-test or ANOVA; else Mann-Whitney or Kruskal-Wallis.
+    `levels` gives distinct counts that are already known.
     """
     spark = df.sparkSession
-    cats = _categories(df, cats, 2, max_groups)
+    cats = _categories(df, cats, 2, max_groups, levels)
     nums = varying_numeric(df) if nums is None else nums
     out_schema = RESULT_SCHEMA + ", significant boolean, interpretation string"
     if not cats or not nums:
@@ -245,11 +249,13 @@ def _run(df: DataFrame, m: DataFrame, chosen: dict, task_rows: int) -> DataFrame
 
 def group_screen(df: DataFrame, cats: list[str] | None = None, nums: list[str] | None = None,
                  max_groups: int = 10, max_cats: int | None = 5, max_nums: int | None = 6,
-                 task_rows: int = TASK_ROWS) -> DataFrame:
+                 task_rows: int = TASK_ROWS, levels: dict | None = None) -> DataFrame:
     """Non-parametric screen: significant differences only, smallest p first."""
     spark = df.sparkSession
-    given = _categories(df, cats, 2, 20)[:max_cats]
-    cats = _categories(df, given, 2, max_groups) if given else []
+    cats = columns_of(df, "categorical") if cats is None else cats
+    levels = level_counts(df, cats, 20) if levels is None else levels
+    # the first categories with 2 to 20 levels, of which those within the limit are tested
+    cats = _categories(df, _categories(df, cats, 2, 20, levels)[:max_cats], 2, max_groups, levels)
     nums = (varying_numeric(df) if nums is None else nums)[:max_nums]
     if not cats or not nums:
         return empty(spark, RESULT_SCHEMA)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.frames import col, pin, settle, union_all, unpivot_numeric
-from statloom.functions.special import horner, norm_ppf_col, norm_upper
+from statloom.functions.special import horner, norm_upper, with_norm_ppf
 from statloom.operators.describe import moments
 
 MIN_ROWS = 8
@@ -74,8 +74,8 @@ def shapiro(long: DataFrame, keys: list[str]) -> DataFrame:
         F.count(F.lit(1)).over(group).cast("double").alias("n"),
         F.avg("value").over(group).alias("centre"),
     ).where((F.col("n") >= MIN_ROWS) & (F.col("n") < LARGE_ROWS))
-    scored = ranked.withColumn("x", F.col("value") - F.col("centre")).withColumn(
-        "m", norm_ppf_col((F.col("i") - 0.375) / (F.col("n") + 0.25))
+    scored = with_norm_ppf(
+        ranked.withColumn("x", F.col("value") - F.col("centre")), (F.col("i") - 0.375) / (F.col("n") + 0.25), "m"
     )
     inner = (F.col("i") > 2) & (F.col("i") < F.col("n") - 1)
     at = lambda pos, what: F.max(F.when(F.col("i") == pos, F.col(what)))
@@ -132,32 +132,45 @@ def _skipped(moment_table: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def normality(df: DataFrame, cols: list[str]) -> DataFrame:
+def _parts(long, moment_table: DataFrame, keys: list[str], sizes: list[int] | None) -> DataFrame:
+    """Union of the tests that apply; `sizes` are the group sizes when they are known."""
+    n = F.col("n")
+    some = lambda lo, hi: sizes is None or any(lo <= k < hi for k in sizes)
+    parts = []
+    if some(LARGE_ROWS, float("inf")):
+        parts.append(omnibus(moment_table.where(n >= LARGE_ROWS), keys))
+    if some(MIN_ROWS, LARGE_ROWS):
+        small = moment_table.where(n.between(MIN_ROWS, LARGE_ROWS - 1)).select(*keys)
+        parts.append(shapiro(long(small), keys))
+    if not parts or some(0, MIN_ROWS):
+        parts.append(_skipped(moment_table, keys))
+    return _verdict(union_all(parts), keys)
+
+
+def normality(df: DataFrame, cols: list[str], moment_table: DataFrame | None = None) -> DataFrame:
     """(variable, n, test, statistic, p_value, is_normal), one row per column.
 
     Fewer than 8 values: skipped, not normal.  Below 5000: Shapiro-Wilk.  Else K2.
+    A pinned moments table of the same columns saves a scan.
     """
-    m = pin(moments(df, cols))
-    small = [r["variable"] for r in m.select("variable", "n").collect() if MIN_ROWS <= r["n"] < LARGE_ROWS]
-    keys = ["variable"]
-    parts = [omnibus(m.where(F.col("n") >= LARGE_ROWS), keys), _skipped(m, keys)]
-    if small:
-        parts.append(shapiro(unpivot_numeric(df, small), keys))
-    return _verdict(union_all(parts), keys)
+    m = pin(moments(df, cols)) if moment_table is None else moment_table.where(F.col("variable").isin(cols))
+    sizes = {r["variable"]: r["n"] for r in m.select("variable", "n").collect()}
+    small = [c for c, n in sizes.items() if MIN_ROWS <= n < LARGE_ROWS]
+    return _parts(lambda _: unpivot_numeric(df, small), m, ["variable"], list(sizes.values()))
 
 
 def grouped_normality(long: DataFrame, moment_table: DataFrame, keys: list[str], pinned: bool = False) -> DataFrame:
     """Normality per key over a long frame (keys..., value) and its moments table.
 
     Only the rows of groups below 5000 are sorted; larger groups never leave
-    the moments aggregate.  A pinned moments table tells whether there are any.
+    the moments aggregate.  `pinned` tells that the moments are a local table.
     """
-    small = moment_table.where(F.col("n").between(MIN_ROWS, LARGE_ROWS - 1)).select(*keys)
-    small = small if pinned else settle(small)
-    parts = [omnibus(moment_table.where(F.col("n") >= LARGE_ROWS), keys), _skipped(moment_table, keys)]
-    if not small.isEmpty():
-        parts.append(shapiro(long.join(small, keys, "left_semi"), keys))
-    return _verdict(union_all(parts), keys)
+    sizes = [r["n"] for r in moment_table.select("n").collect()] if pinned else None
+
+    def rows(small: DataFrame) -> DataFrame:
+        return long.join(small if pinned else settle(small), keys, "left_semi")
+
+    return _parts(rows, moment_table, keys, sizes)
 
 
 def normality_by(df: DataFrame, cols: list[str], by: str) -> DataFrame:

@@ -71,11 +71,13 @@ class Roles:
         return "mostly numeric" if ratio > 0.7 else "mostly categorical" if ratio < 0.3 else "mixed"
 
 
-def analysis_roles(df: DataFrame, max_levels: int = 50, min_levels: int = 0) -> Roles:
+def analysis_roles(df: DataFrame, max_levels: int = 50, min_levels: int = 0,
+                   numeric: list[str] | None = None) -> Roles:
     """Numeric columns that vary and text columns with min..max distinct values."""
     levels = level_counts(df, columns_of(df, "categorical"), max_levels)
     categorical = [c for c, n in levels.items() if n is not None and n >= min_levels]
-    return Roles(varying_numeric(df), categorical, {c: levels[c] for c in categorical})
+    numeric = varying_numeric(df) if numeric is None else numeric
+    return Roles(numeric, categorical, {c: levels[c] for c in categorical})
 
 
 def role_table(df: DataFrame, max_levels: int = 50, min_levels: int = 0) -> DataFrame:

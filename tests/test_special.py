@@ -13,9 +13,11 @@ def test_normal_tail_and_quantile(spark):
     norm = statistics.NormalDist()
     assert sp.norm_sf(1.959963984540054) == pytest.approx(0.025, abs=1e-12)
     ps = [1e-12, 1e-5, 0.01, 0.07, 0.3, 0.5, 0.7, 0.9251, 0.999, 1 - 1e-9]
-    df = spark.createDataFrame([(p,) for p in ps], "p double").select("p", sp.norm_ppf_col(F.col("p")).alias("z"))
+    df = sp.with_norm_ppf(spark.createDataFrame([(p,) for p in ps], "p double"), F.col("p"), "z")
     for r in df.collect():
         assert r["z"] == pytest.approx(norm.inv_cdf(r["p"]), rel=1e-12, abs=1e-13)
+    edge = sp.with_norm_ppf(spark.createDataFrame([(0.0,), (1.0,)], "p double"), F.col("p"), "z")
+    assert [r["z"] for r in edge.collect()] == [None, None]
 
 
 @pytest.mark.parametrize("x,k,p", [(3.841458820694124, 1, 0.05), (5.991464547107979, 2, 0.05), (18.307038053275146, 10, 0.05)])
