@@ -31,12 +31,39 @@ RESULT_SCHEMA = ("category string, variable string, test_name string, groups lon
                  "df double, p_value double")
 
 
+def _long_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(pair, group, value): rows once per (category, numeric) pair, named by list position.
+
+    Small integer keys keep the hash tables and shuffles of long rows light.
+    """
+    entries = [
+        F.struct(F.lit(i).alias("pair"), col(c).cast("string").alias("group"), as_double(df, v).alias("value"))
+        for i, (c, v) in enumerate(pairs)
+    ]
+    return df.select(F.inline(F.array(*entries))).where("group is not null and value is not null")
+
+
+def _named(table: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Replace the pair number by (category, variable)."""
+    names = local_table(table.sparkSession, [(i, c, v) for i, (c, v) in enumerate(pairs)],
+                        "pair int, category string, variable string")
+    return table.join(F.broadcast(names), "pair").select(*KEYS, *[c for c in table.columns if c != "pair"])
+
+
+def _numbered(table: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Replace (category, variable) by the pair number; other pairs are left out."""
+    names = local_table(table.sparkSession, [(i, c, v) for i, (c, v) in enumerate(pairs)],
+                        "pair int, category string, variable string")
+    return table.join(F.broadcast(names), KEYS).select("pair", *[c for c in table.columns if c not in KEYS])
+
+
 def group_moments(df: DataFrame, cats: list[str], nums: list[str], min_group: int = MIN_GROUP) -> DataFrame:
-    """(category, group, variable, n, mean, var, g1, g2, min, max) of groups with enough rows."""
-    long = _long_pairs(df, [(c, v) for c in cats for v in nums])
-    return long.groupBy("category", "group", "variable").agg(*moment_aggs(F.col("value"))).withColumns(
-        {m: finite(F.col(m)) for m in ("var", "g1", "g2")}
-    ).where(F.col("n") >= min_group)
+    """(category, variable, group, n, mean, var, g1, g2, min, max) of groups with enough rows."""
+    pairs = [(c, v) for c in cats for v in nums]
+    m = _long_pairs(df, pairs).groupBy("pair", "group").agg(*moment_aggs(F.col("value"))).withColumns(
+        {c: finite(F.col(c)) for c in ("var", "g1", "g2")}
+    )
+    return _named(m.where(F.col("n") >= min_group), pairs)
 
 
 def _usable(pinned: DataFrame) -> dict[tuple[str, str], int]:
@@ -92,19 +119,18 @@ def rank_sums(df: DataFrame, pairs: list[tuple[str, str]], usable: DataFrame,
     `pairs` are (category, numeric) columns; `usable` lists the groups to keep
     as (category, variable, group) and is a bounded local table.
     """
-    nums = list(dict.fromkeys(v for _, v in pairs))
     rows = df.count()
-    long = _long_pairs(df, pairs)
-    long = with_bucket(long, split_points(df, nums, rows, task_rows))
-    keys = [*KEYS, "group"]
-    counts = long.groupBy(*KEYS, "bucket", "value", "group").agg(F.count(F.lit(1)).alias("n"))
-    kept = counts.join(F.broadcast(usable.select(*keys)), keys, "left_semi")
-    ranked = rank_counts(kept, KEYS, single_bucket=rows <= task_rows)
+    splits = split_points(df, list(dict.fromkeys(v for _, v in pairs)), rows, task_rows)
+    long = with_bucket(_long_pairs(df, pairs), {i: splits[v] for i, (_, v) in enumerate(pairs)}, name="pair")
+    counts = long.groupBy("pair", "bucket", "value", "group").agg(F.count(F.lit(1)).alias("n"))
+    kept = counts.join(F.broadcast(_numbered(usable.select(*KEYS, "group"), pairs)), ["pair", "group"], "left_semi")
+    ranked = rank_counts(kept, ["pair"], single_bucket=rows <= task_rows)
     ties = F.col("ties").cast("double")
-    return ranked.groupBy(*keys).agg(
+    sums = ranked.groupBy("pair", "group").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("rank_sum"),
         F.sum(F.col("n") * (ties * ties - 1)).alias("tie_term"),
     )
+    return _named(sums, pairs)
 
 
 def mann_whitney(sums: DataFrame) -> DataFrame:
@@ -207,10 +233,11 @@ def auto_group_tests(df: DataFrame, cats: list[str] | None = None, nums: list[st
     ready = _usable(m)
     if not ready:
         return empty(spark, out_schema)
-    verdict = grouped_normality(_long_pairs(df, list(ready)), _only(df, m, ready), [*KEYS, "group"], pinned=True)
+    pairs = list(ready)
+    tested = pin(_numbered(m, pairs))
+    verdict = grouped_normality(_long_pairs(df, pairs), tested, ["pair", "group"], pinned=True)
     all_normal = {
-        (r["category"], r["variable"]): r["ok"]
-        for r in verdict.groupBy(*KEYS).agg(F.every("is_normal").alias("ok")).collect()
+        pairs[r["pair"]]: r["ok"] for r in verdict.groupBy("pair").agg(F.every("is_normal").alias("ok")).collect()
     }
     chosen = {"t": [], "anova": [], "mannwhitney": [], "kruskal": []}
     for key, k in ready.items():
@@ -221,15 +248,6 @@ def auto_group_tests(df: DataFrame, cats: list[str] | None = None, nums: list[st
     return labelled(_run(df, m, chosen, task_rows))
 
 
-def _long_pairs(df: DataFrame, pairs) -> DataFrame:
-    entries = [
-        F.struct(F.lit(c).alias("category"), F.lit(v).alias("variable"),
-                 col(c).cast("string").alias("group"), as_double(df, v).alias("value"))
-        for c, v in pairs
-    ]
-    return df.select(F.inline(F.array(*entries))).where("group is not null and value is not null")
-
-
 def _run(df: DataFrame, m: DataFrame, chosen: dict, task_rows: int) -> DataFrame:
     parts = []
     if chosen.get("t"):

@@ -71,14 +71,15 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _per_variable(name: str, sql: dict[str, str], default: str) -> Column:
+def _per_variable(name: str, sql: dict, default: str) -> Column:
+    """One expression per variable (a text or a number), chosen by the column `name`."""
     if len(sql) == 1:
         return F.expr(next(iter(sql.values())))
-    arms = " ".join(f"WHEN {name} = {_literal(c)} THEN {e}" for c, e in sql.items())
+    arms = " ".join(f"WHEN {name} = {c if isinstance(c, int) else _literal(c)} THEN {e}" for c, e in sql.items())
     return F.expr(f"CASE {arms} ELSE {default} END")
 
 
-def with_bucket(long: DataFrame, splits: dict[str, Splits], name="variable", value="value") -> DataFrame:
+def with_bucket(long: DataFrame, splits: dict, name="variable", value="value") -> DataFrame:
     """Add the bucket number of each (variable, value) row; numbers follow the values."""
     if all(not s.points for s in splits.values()):
         return long.withColumn("bucket", F.lit(0))
