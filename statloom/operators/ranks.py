@@ -8,7 +8,9 @@ third of all rows is one row of the count table.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,6 +57,10 @@ def split_points(df: DataFrame, cols: list[str], rows: int, task_rows: int = TAS
     return out
 
 
+def _number(x: float) -> str:
+    return f"{x!r}D" if math.isfinite(x) else f"double('{'-' if x < 0 else ''}Infinity')"
+
+
 def _tree(value: str, points: list[float]) -> str:
     """SQL for the number of points <= value, as a balanced tree of comparisons."""
 
@@ -62,7 +68,7 @@ def _tree(value: str, points: list[float]) -> str:
         if lo == hi:
             return str(lo)
         mid = (lo + hi) // 2
-        return f"CASE WHEN {value} < {points[mid]!r}D THEN {node(lo, mid)} ELSE {node(mid + 1, hi)} END"
+        return f"CASE WHEN {value} < {_number(points[mid])} THEN {node(lo, mid)} ELSE {node(mid + 1, hi)} END"
 
     return node(0, len(points))
 
@@ -89,7 +95,7 @@ def with_bucket(long: DataFrame, splits: dict, name="variable", value="value") -
         return out
     bounds = {c: [s.low, *s.points, s.high] for c, s in splits.items()}
     at = lambda step: _per_variable(name, {
-        c: f"element_at(array({', '.join(f'{v!r}D' for v in b)}), bucket + {step})" for c, b in bounds.items()
+        c: f"element_at(array({', '.join(map(_number, b))}), bucket + {step})" for c, b in bounds.items()
     }, "0D")
     low, high = F.col("_low"), F.col("_high")
     share = div(F.col(value) - low, high - low) * slices
@@ -264,12 +270,12 @@ def _narrowed_quantiles(df: DataFrame, sizes: dict[str, int], probs: list[float]
              for c, n in sizes.items()}
     df = df.select(*[col(c) for c in sizes])
     known: dict[str, dict[float, tuple[int, int]]] = {c: {} for c in sizes}  # cut -> rows (below, equal)
-    while True:
+    for attempt in count():
         found, gaps = _locate(spots, known, sizes)
         wide = {g for g in gaps.values() if g.size > task_rows}
         if not wide:
             break
-        cuts = _sampled_cuts(df, wide, gaps)
+        cuts = _sampled_cuts(df, wide, gaps, attempt)
         for c, counted in _counts_at(df, cuts).items():
             known[c].update(counted)
     if gaps:
@@ -280,7 +286,7 @@ def _narrowed_quantiles(df: DataFrame, sizes: dict[str, int], probs: list[float]
         for p in probs:
             h = (n - 1) * p
             low, high = found[(c, int(h))], found[(c, min(n - 1, int(h) + 1))]
-            out[c].append(low + (high - low) * (h - int(h)))
+            out[c].append(low if low == high else low + (high - low) * (h - int(h)))
     return out
 
 
@@ -330,7 +336,7 @@ def _in_gaps(df: DataFrame, gaps: list[_Gap]) -> DataFrame:
     return df.select(F.inline(F.array(*entries))).where("gap is not null")
 
 
-def _sampled_cuts(df: DataFrame, wide: set[_Gap], gaps: dict) -> dict[str, list[float]]:
+def _sampled_cuts(df: DataFrame, wide: set[_Gap], gaps: dict, seed: int) -> dict[str, list[float]]:
     listed = sorted(wide, key=lambda g: (g.column, g.below))
     share, accuracy = F.lit(1.0), 5_000
     aims = []
@@ -341,7 +347,7 @@ def _sampled_cuts(df: DataFrame, wide: set[_Gap], gaps: dict) -> dict[str, list[
         # three standard errors of a sampled quantile, plus the sketch's own error
         aims.append({min(1.0, max(0.0, p + d * (1.5 / m**0.5 + 1.0 / accuracy))) for p in at for d in (-1, 1)})
     every = sorted(set().union(*aims))
-    rows = _in_gaps(df, listed).where(F.rand(7) < share).groupBy("gap").agg(
+    rows = _in_gaps(df, listed).where(F.rand(seed) < share).groupBy("gap").agg(
         F.percentile_approx("value", F.array(*[F.lit(p) for p in every]), accuracy).alias("q")
     ).collect()
     cuts: dict[str, set] = {}
@@ -358,7 +364,7 @@ def _counts_at(df: DataFrame, cuts: dict[str, list[float]]) -> dict[str, dict[fl
     rows = rows.withColumns({f"u{i}": F.expr(_tree(f"x{i}", cuts[c])) for i, c in enumerate(cols)})
     entries = []
     for i, c in enumerate(cols):
-        at = f"element_at(array({', '.join(f'{x!r}D' for x in cuts[c])}), greatest(u{i}, 1))"
+        at = f"element_at(array({', '.join(map(_number, cuts[c]))}), greatest(u{i}, 1))"
         entries.append(F.struct(
             F.lit(c).alias("variable"), F.expr(f"x{i} is not null").alias("present"), F.col(f"u{i}").alias("upto"),
             F.expr(f"coalesce(u{i} > 0 and x{i} = {at}, false)").alias("on_cut"),

@@ -31,6 +31,14 @@ def test_quantiles_of_empty_and_missing_columns(spark):
     assert ranks.quantiles(df, ["a", "b"], [0.5]) == {"a": [2.0], "b": [None]}
 
 
+def test_infinities_take_part(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(v,) for v in [inf] * 40 + [-inf] * 40 + [float(i) for i in range(21)]], "v double").repartition(4)
+    assert ranks.quantiles(df, ["v"], [0.0, 0.5, 1.0], task_rows=5)["v"] == [-inf, 10.0, inf]
+    got = ranks.attach_ranks(df, ["v"], task_rows=5, broadcast_ok=False).toPandas()
+    assert (got["rank_0"] == got["v"].rank()).all()
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.one_of(st.integers(-5, 5).map(float), st.floats(-1e6, 1e6)), min_size=1, max_size=60))
 def test_rank_sum_is_fixed(spark, values):
