@@ -9,7 +9,9 @@ lengths, one byte per id, are a table of their own; they are all that is needed
 from __future__ import annotations
 
 import functools
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,13 @@ CHECKPOINT = 128
 BLOCK_IDS = 1 << 18
 LONGEST = 16
 
+#: Letters of one script with at most one blank before them are a single pre-token.
+PLAIN_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+#: The published spelling of bytes in byte-level vocabularies: printable ones stand for themselves, the others follow 0x100.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_SPELLING = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+BLANK = chr(BYTE_SPELLING[0x20])
+
 RAW = "part int, block long, first long, doc_ids array<bigint>, lengths array<bigint>, ids binary"
 BLOCK = "part int, block long, first long, doc_ids array<bigint>, lengths array<bigint>, bits long, payload binary, checkpoints binary"
 
@@ -126,7 +135,18 @@ def _tokenizer(path: str):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
     dtype = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
-    return TextCodes(lambda text: np.array(t.encode(text, add_special_tokens=False).ids, dtype=dtype).tobytes()), dtype, t.get_vocab_size()
+    kind, merges = ("H" if dtype.itemsize == 2 else "I"), t.model
+
+    def encode(text: str) -> bytes:
+        if PLAIN_WORD.fullmatch(text):  # one pre-token: straight to the merges
+            if text.isascii():
+                spelled = text.replace(" ", BLANK)
+            else:
+                spelled = text.encode().decode("latin-1").translate(BYTE_SPELLING)
+            return array(kind, [x.id for x in merges.tokenize(spelled)]).tobytes()
+        return array(kind, t.encode(text, add_special_tokens=False).ids).tobytes()
+
+    return TextCodes(encode), dtype, t.get_vocab_size()
 
 
 def _raw_blocks(path: str, end_id: int):
