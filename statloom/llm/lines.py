@@ -10,6 +10,8 @@ from statloom.llm.common import col, cut, fresh, hash_pair, lower_ascii
 #: Fixed by the contract: the characters stripped at both ends of a line's key.
 BLANKS = " \t\n\x0b\x0c\r"
 LEAST_ID = -(2**63)
+#: Keys that hold more than one line in so many are joined by broadcast.
+HOT_KEYS = 1000
 
 
 def _lines(text: Column) -> Column:
@@ -44,10 +46,15 @@ def dedup_lines(
     h1, h2 = hash_pair("key")
     lines = cut(lines.where(F.char_length("key") >= min_chars).select("id", "th", "pos", h1.alias("h1"), h2.alias("h2")), "lines")
     holders = lines.select("h1", "h2", "id").distinct()
-    common = holders.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("id").alias("keeper")).where(
-        F.col("docs") >= min_docs).select("h1", "h2", "keeper")
-    drops = lines.join(common, ["h1", "h2"]).where(F.col("id") != F.col("keeper")).groupBy("id", "th").agg(
-        F.array_sort(F.collect_set("pos")).alias(d))
+    common = cut(holders.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("id").alias("keeper")).where(
+        F.col("docs") >= min_docs), "lines-common")
+    # at most HOT_KEYS keys can hold that share of all lines: they go to the lines, all others are shuffled
+    hot = F.col("docs") > lines.count() / HOT_KEYS
+    held = lambda keys: keys.select("h1", "h2", "keeper")
+    frequent = F.broadcast(held(common.where(hot)))
+    gone_lines = lines.join(frequent, ["h1", "h2"]).unionByName(
+        lines.join(frequent, ["h1", "h2"], "left_anti").join(held(common.where(~hot)), ["h1", "h2"]))
+    drops = gone_lines.where(F.col("id") != F.col("keeper")).groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias(d))
     drops = drops.withColumnsRenamed({"id": i, "th": t})
     out = keyed.join(drops, [i, t], "left")
     gone = F.coalesce(F.size(d), F.lit(0))
