@@ -63,11 +63,11 @@ class Node:
         return [x for x in self.parts if isinstance(x, Node)]
 
 
-def unwanted(tag: str, attrs: str, open_tags: set[str]) -> bool:
+def unwanted(tag: str, attrs: str, open_tags: list[str]) -> bool:
     """Whether an element and all it holds are left out."""
     if tag in DROPPED:
         return True
-    if tag == "header" and not ({"article", "main"} & open_tags):
+    if tag == "header" and {"article", "main"}.isdisjoint(open_tags):
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
