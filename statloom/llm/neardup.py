@@ -27,7 +27,7 @@ BANDS, BAND_SLOTS = 42, 6
 #: Candidate lists of at most so many rows (24 bytes each) are broadcast.
 BROADCAST_ROWS = 500_000
 CELL_ROWS = 1024
-TEXT_ROWS = 2000
+TEXT_ROWS = 800
 
 
 def _sketched(bands: int, slots: int):
