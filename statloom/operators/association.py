@@ -102,7 +102,7 @@ def auto_association(df: DataFrame, cols: list[str] | None = None, max_levels: i
 
 
 def association_screen(df: DataFrame, cols: list[str] | None = None, max_levels: int = 20,
-                       max_cols: int | None = 6, levels: dict | None = None) -> DataFrame:
+                       max_cols: int | None = None, levels: dict | None = None) -> DataFrame:
     """Significant associations with Cramer's V, smallest p first."""
     pairs = _pairs(df, cols, 2, max_levels, max_cols, levels)
     if not pairs:

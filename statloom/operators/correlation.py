@@ -238,7 +238,7 @@ def correlations_with(df: DataFrame, target: str, cols: list[str] | None = None)
 
 
 def significant_pairs(df: DataFrame, cols: list[str] | None = None, min_rows: int = 10,
-                      min_abs_r: float = 0.3, max_cols: int | None = 10) -> DataFrame:
+                      min_abs_r: float = 0.3, max_cols: int | None = None) -> DataFrame:
     """Pearson pairs with |r| > 0.3 and p < 0.05, strongest first."""
     cols = (varying_numeric(df) if cols is None else cols)[:max_cols]
     table = pearson(df, list(combinations(cols, 2)))

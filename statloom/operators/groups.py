@@ -266,7 +266,7 @@ def _run(df: DataFrame, m: DataFrame, chosen: dict, task_rows: int) -> DataFrame
 
 
 def group_screen(df: DataFrame, cats: list[str] | None = None, nums: list[str] | None = None,
-                 max_groups: int = 10, max_cats: int | None = 5, max_nums: int | None = 6,
+                 max_groups: int = 10, max_cats: int | None = None, max_nums: int | None = None,
                  task_rows: int = TASK_ROWS, levels: dict | None = None) -> DataFrame:
     """Non-parametric screen: significant differences only, smallest p first."""
     spark = df.sparkSession

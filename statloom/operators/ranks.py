@@ -149,6 +149,7 @@ def value_ranks(df: DataFrame, cols: list[str], rows: int | None = None,
 # Rank maps up to this many distinct values are broadcast to the rows.
 BROADCAST_VALUES = 500_000
 SALTS = 64
+SCRATCH = ("value", "bucket", "_low", "_high", "_at", "_salt", "_salt_of_row", "_bucket", "_point", "_below", "_point_rank")
 
 
 def _small_maps(df: DataFrame, cols: list[str], rows: int) -> dict:
@@ -206,11 +207,17 @@ def _windowed_rank(df: DataFrame, rows: DataFrame, name: str, rank: str, splits:
         below += r["n"]
     places = local_table(
         df.sparkSession, table, "_bucket int, _point double, _below double, _point_rank double")
-    keyed = with_bucket(rows.withColumn("value", as_double(df, name)), {name: splits}).withColumn(
+    # columns of the caller that bear a scratch name step aside meanwhile
+    aside = {c: f"_aside_{i}_{c}" for i, c in enumerate(rows.columns) if c.lower() in SCRATCH}
+    rows = rows.withColumnsRenamed(aside)
+    name_here = aside.get(name, name)
+    # equal rows get different salts; the rank of rows that stand alone does not depend on the salt
+    salted = rows.withColumns({"value": as_double(rows, name_here), "_salt_of_row": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))})
+    keyed = with_bucket(salted, {name: splits}).withColumn(
         "_at", F.when(on_point(F.col("value")), F.col("value"))
     )
     alone = F.col("_at").isNotNull() | F.col("value").isNull()
-    salt = F.when(alone, F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(SALTS))).otherwise(-1)
+    salt = F.when(alone, F.col("_salt_of_row")).otherwise(-1)
     placed = keyed.withColumn("_salt", salt).join(
         F.broadcast(places), (F.col("bucket") == F.col("_bucket")) & F.col("_at").eqNullSafe(F.col("_point")), "left"
     )
@@ -219,7 +226,7 @@ def _windowed_rank(df: DataFrame, rows: DataFrame, name: str, rank: str, splits:
     inside = F.col("_below") + F.rank().over(w) + (peers - 1) / 2.0
     return placed.withColumn(
         rank, F.when(F.col("_at").isNotNull(), F.col("_point_rank")).when(F.col("value").isNotNull(), inside)
-    ).drop("value", "bucket", "_at", "_salt", "_bucket", "_point", "_below", "_point_rank")
+    ).drop(*SCRATCH).withColumnsRenamed({v: k for k, v in aside.items()})
 
 
 # --- exact quantiles -------------------------------------------------------

@@ -142,7 +142,7 @@ class OLSFit:
 
     def model_summary(self) -> DataFrame:
         n, k = self.n, self.rank
-        r2 = 1.0 - self.ssr / self.sst
+        r2 = 1.0 - self.ssr / self.sst if self.sst > 0 else math.nan  # a constant target has nothing to explain
         df_model = k - 1
         adj = 1.0 - (n - 1) / self.df_resid * (1.0 - r2) if self.df_resid > 0 else math.nan
         f = (max(0.0, self.sst - self.ssr) / df_model) / (self.ssr / self.df_resid) if (
@@ -198,9 +198,15 @@ class OLSFit:
         if len(self.predictors) > 1:
             s = self.centred[1:, 1:]
             scale = np.sqrt(np.diag(s))
-            r = s / np.outer(scale, scale)
+            r = s / np.outer(np.where(scale > 0, scale, 1.0), np.where(scale > 0, scale, 1.0))
             for i, name in enumerate(self.predictors):
-                others = [j for j in range(len(r)) if j != i]
+                if not scale[i] > 0:  # constant on the complete rows: no figure, and no say in the others'
+                    rows.append((name, None, "constant"))
+                    continue
+                others = [j for j in range(len(r)) if j != i and scale[j] > 0]
+                if not others:
+                    rows.append((name, 1.0, "low"))
+                    continue
                 sub, cross = r[np.ix_(others, others)], r[others, i]
                 left = 1.0 - cross @ np.linalg.pinv(sub, rcond=RANK_TOLERANCE, hermitian=True) @ cross
                 v = 1.0 / left if left > RANK_TOLERANCE * len(r) else math.inf
@@ -234,8 +240,11 @@ class OLSFit:
         spread = self.sums["s4"] - self.sums["s2"] ** 2 / self.n
         s = self.centred[1:, 1:]
         scale = np.sqrt(np.diag(s))
-        if spread <= 0 or not np.all(scale > 0):
+        spread_out = scale > 0  # predictors that are constant on the complete rows have no part in it
+        if spread <= 0 or not spread_out.any():
             return 0.0, 1.0
+        p = int(spread_out.sum())
+        scale, cross, s = scale[spread_out], cross[spread_out], s[np.ix_(spread_out, spread_out)]
         c = cross / scale
         r = s / np.outer(scale, scale)
         stat = self.n * float(c @ np.linalg.pinv(r, rcond=RANK_TOLERANCE, hermitian=True) @ c) / spread

@@ -94,9 +94,8 @@ class Findings:
     category_counts: DataFrame
 
 
-# How many columns each screen looks at by default.
-CAPS = {"normality": 8, "correlation": 10, "group_cats": 5, "group_nums": 6, "association": 6,
-        "distributions": 6, "counts": 4}
+# How many columns each screen looks at; None is all of them.
+CAPS = dict.fromkeys(("normality", "correlation", "group_cats", "group_nums", "association", "distributions", "counts"))
 
 
 def findings(df: DataFrame, caps: dict | None = None) -> Findings:

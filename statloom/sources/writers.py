@@ -158,4 +158,5 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: dict | None = No
                batch: int = INSERT_BATCH, connections: int = 16) -> None:
     """Replace a JDBC table with batched inserts over at most `connections` sessions."""
     options = {"batchsize": str(batch), **(properties or {})}
-    df.coalesce(connections).write.mode("overwrite").jdbc(url, table, properties=options)
+    # a shuffle to few writers: coalesce would squeeze the whole job into them
+    df.repartition(connections).write.mode("overwrite").jdbc(url, table, properties=options)
