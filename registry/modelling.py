@@ -32,9 +32,7 @@ def complete_rows(spark, sf):
 # --- two predictors: charge on disc_price and l_tax ---------------------------------
 
 # Closed form from centred sums; y, a, b are the target and the predictors.
-TWO = f"""{REG_SQL},
-src as (select charge as y, disc_price as a, l_tax as b from reg_lines),
-mm as (select cast(count(*) as double) as n, avg(y) as my, avg(a) as ma, avg(b) as mb from src),
+CLOSED_FORM = """mm as (select cast(count(*) as double) as n, avg(y) as my, avg(a) as ma, avg(b) as mb from src),
 ss as (select sum((y-my)*(y-my)) as syy, sum((a-ma)*(a-ma)) as saa, sum((b-mb)*(b-mb)) as sbb, sum((a-ma)*(b-mb)) as sab,
   sum((a-ma)*(y-my)) as say, sum((b-mb)*(y-my)) as sby from src, mm),
 bb as (select *, saa*sbb - sab*sab as det, (say*sbb - sby*sab) / (saa*sbb - sab*sab) as b1, (sby*saa - say*sab) / (saa*sbb - sab*sab) as b2 from ss),
@@ -42,6 +40,9 @@ fit as (select bb.*, mm.*, my - b1*ma - b2*mb as b0 from bb, mm),
 res as (select y, b0 + b1*a + b2*b as f, y - (b0 + b1*a + b2*b) as e, a, b from src, fit),
 rr as (select sum(e*e) as ssr, avg(e) as me, min(e) as lo, max(e) as hi from res),
 full_fit as (select fit.*, rr.*, ssr / (n - 3) as s2 from fit, rr)"""
+TWO = f"""{REG_SQL},
+src as (select charge as y, disc_price as a, l_tax as b from reg_lines),
+{CLOSED_FORM}"""
 
 
 def _two(spark, sf):
@@ -122,9 +123,10 @@ def residual_stats(spark, sf):
     return rounded(_two(spark, sf).residual_stats(), 4, mean=6)
 
 
-JB = f"""{TWO}, sh as (select count(*) as cnt, avg(pow(e-me, 3)) / pow(avg(pow(e-me, 2)), 1.5) as s,
+MOMENTS = """sh as (select count(*) as cnt, avg(pow(e-me, 3)) / pow(avg(pow(e-me, 2)), 1.5) as s,
   avg(pow(e-me, 4)) / pow(avg(pow(e-me, 2)), 2) as k from res, rr),
 jb as (select cnt / 6.0 * (s*s + (k-3)*(k-3)/4) as j from sh)"""
+JB = f"{TWO}, {MOMENTS}"
 BP = f"""g as (select e*e as y, a, b from res),
 gm as (select avg(y) as my2, avg(a) as ma2, avg(b) as mb2 from g),
 gs as (select sum((y-my2)*(y-my2)) as gyy, sum((a-ma2)*(a-ma2)) as gaa, sum((b-mb2)*(b-mb2)) as gbb, sum((a-ma2)*(b-mb2)) as gab,
@@ -195,11 +197,25 @@ select 0 as lag, 1.0::double as pacf from r union all select 1, {rd('r1')} from
 union all select 2, {rd('(r2 - r1*r1) / (1 - r1*r1)')} from r
 union all select 3, {rd('(r1*r1*r1 - 2*r1*r2 + r3 + r1*r2*r2 - r1*r1*r3) / (1 + 2*r1*r1*r2 - r2*r2 - 2*r1*r1)')} from r""")
 def partial_autocorrelation(spark, sf):
-    """Lags 0 to 3 against their closed forms; `acf_pacf_table` has them all."""
+    """Lags 0 to 3 against their closed forms; `acf_pacf_table` has them all, by recursion."""
     return rounded(_ordered(spark, sf).acf_pacf().where("lag <= 3").select("lag", "pacf"))
 
 
-@query("acf_pacf_table")
+def _recursion(lags: int) -> str:
+    """Durbin-Levinson, one step per lag; r, phi and pacf are lists, r[1] is lag 0."""
+    steps = ["p0 as (select list(acf order by lag) as r, cast([] as double[]) as phi, [cast(1 as double)] as pacf from ac)"]
+    for k in range(1, lags + 1):
+        top = " + ".join([f"r[{k + 1}]", *[f"-phi[{j}] * r[{k - j + 1}]" for j in range(1, k)]])
+        bottom = " - ".join(["1", *[f"phi[{j}] * r[{j + 1}]" for j in range(1, k)]])
+        phi = ", ".join([*[f"phi[{j}] - last * phi[{k - j}]" for j in range(1, k)], "last"])
+        steps.append(f"p{k} as (select r, [{phi}] as phi, list_append(pacf, last) as pacf from (select *, ({top}) / ({bottom}) as last from p{k - 1}))")
+    return ",\n".join(steps)
+
+
+@query("acf_pacf_table", f"""
+with {ACF}, {_recursion(20)}, rows as (select unnest(range(21)) as lag, unnest(r) as acf, unnest(pacf) as pacf from p20)
+select lag, {rd('acf')} as acf, {rd('pacf')} as pacf, {rd('1.96 / sqrt(n)')} as band,
+  lag > 0 and abs(acf) > 1.96 / sqrt(n) as acf_outside, lag > 0 and abs(pacf) > 1.96 / sqrt(n) as pacf_outside from rows, base1""")
 def acf_pacf_table(spark, sf):
     return rounded(_ordered(spark, sf).acf_pacf())
 
@@ -217,7 +233,47 @@ def assumption_table(spark, sf):
     return rounded(_two(spark, sf).assumptions())
 
 
-@query("regression_run")
+def _sweep(names: list[str]) -> str:
+    """Sweep every column but the last out of the correlation matrix: slopes, residual share and inverse."""
+    p, last = len(names), len(names) - 1
+    steps = ["w0 as (select " + ", ".join(
+        f"{'cast(1 as double)' if i == j else f'corr({a}, {b})'} as a{i}{j}" for i, a in enumerate(names) for j, b in enumerate(names)) + " from reg_lines)"]
+    for k in range(last):
+        d = f"a{k}{k}"
+
+        def cell(i, j):
+            if i == k and j == k:
+                return f"-1 / {d}"
+            return f"a{i}{j} / {d}" if k in (i, j) else f"a{i}{j} - a{i}{k} * a{k}{j} / {d}"
+
+        steps.append(f"w{k + 1} as (select " + ", ".join(f"{cell(i, j)} as a{i}{j}" for i in range(p) for j in range(p)) + f" from w{k})")
+    return ",\n".join(steps)
+
+
+def _sweep_fit(names: list[str]) -> str:
+    """(position, variable, c, se, df) of the regression of the last column on the others."""
+    last = len(names) - 1
+    spread = ", ".join(f"avg({v}) as m{i}, stddev_pop({v}) as s{i}" for i, v in enumerate(names))
+    slope = [f"a{i}{last} * s{last} / s{i}" for i in range(last)]
+    const = " - ".join([f"m{last}", *[f"{b} * m{i}" for i, b in enumerate(slope)]])
+    lever = " + ".join(f"(m{i} / s{i}) * (m{j} / s{j}) * -a{i}{j}" for i in range(last) for j in range(last))
+    noise = f"a{last}{last} * s{last} * s{last} / df"
+    rows = [f"select 0 as position, 'const' as variable, {const} as c, sqrt({noise} * (1 + {lever})) as se, df from spread, w{last}"]
+    rows += [f"select {i + 1}, '{names[i]}', {slope[i]}, sqrt({noise} * -a{i}{i}) / s{i}, df from spread, w{last}" for i in range(last)]
+    return (f"{_sweep(names)}, spread as (select cast(count(*) - {last + 1} as double) as df, {spread} from reg_lines), "
+            f"rows as ({' union all '.join(rows)})")
+
+
+RUN_COLS = ["l_quantity", "l_discount", "l_tax", "l_extendedprice", "disc_price", "charge"]
+
+
+@query("regression_run", f"""
+with {REG_SQL}, scores as ({SCORES}), best as (select variable as target from scores order by s desc, position limit 1),
+{_sweep_fit(RUN_COLS)},
+ts as (select *, c / se as t, {T975.replace('(n - 3)', 'df').replace('n - 3', 'df')} as q from rows)
+select position, variable, {rd('c', 4)} as coefficient, {rd('se', 4)} as std_error, {rd('t', 4)} as t_statistic,
+  {rd(p_t('t', 'df'), 4)} as p_value, {rd('c - q * se', 4)} as ci_lower, {rd('c + q * se', 4)} as ci_upper,
+  {p_t('t', 'df')} < 0.05 as significant from ts, best where target = 'charge'""")
 def regression_run_tables(spark, sf):
     """The whole analysis with automatic target; its coefficient table."""
     df = reg_lines(spark, sf).drop("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")

@@ -7,8 +7,9 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from registry.base import (
-    PEOPLE_SQL, REG_SQL, dirty_orders, people, query, rd, reg_lines, rounded, table,
+    DIRTY_SQL, PEOPLE_SQL, REG_SQL, dirty_orders, p_chi2, people, query, rd, reg_lines, rounded, table,
 )
+from registry.modelling import BP, CLOSED_FORM, MOMENTS
 from registry.testing import _chi, _kw, _pairs_sql, _with_p, ranks_sql
 from statloom.operators.groups import compare_groups, labelled
 from statloom.plans import charts, full, general
@@ -87,7 +88,18 @@ def full_run(spark, sf):
     return full.analyse(people(spark, sf), load_as="people.csv", order_by=["id"]).manifest
 
 
-@query("full_regression_run")
+@query("full_regression_run", f"""
+with {DIRTY_SQL}, rows as (select distinct o_orderkey, o_totalprice, custkey_text from dirty_orders),
+middle as (select median(o_totalprice) as m from rows),
+src as (select coalesce(o_totalprice, m) as y, o_orderkey as a, try_cast(custkey_text as bigint) as b from rows, middle
+  where try_cast(custkey_text as bigint) is not null),
+{CLOSED_FORM}, {MOMENTS}, {BP},
+steps as (select e - lag(e) over (order by a) as d from res), dw as (select sum(d*d) / max(ssr) as dw from steps, rr)
+select 'Durbin-Watson' as test, {rd('dw', 4)} as statistic, cast(null as double) as p_value,
+  case when dw < 1.5 then 'positive autocorrelation' when dw <= 2.5 then 'no autocorrelation' else 'negative autocorrelation' end as verdict from dw
+union all select 'Jarque-Bera', {rd('j', 4)}, {rd('exp(-j/2)', 4)}, case when exp(-j/2) > 0.05 then 'normal' else 'not normal' end from jb
+union all select 'Breusch-Pagan', {rd('lm', 4)}, {rd(p_chi2('lm', 'k2'), 4)},
+  case when {p_chi2('lm', 'k2')} > 0.05 then 'homoscedastic' else 'heteroscedastic' end from bp""")
 def full_regression_run(spark, sf):
     run = full.analyse(dirty_orders(spark, sf).select("o_orderkey", "o_totalprice", "custkey_text", "o_orderstatus"), "regression",
                        {"convert_types": {"custkey_text": "int"}, "fill_nulls": {"custkey_text": "drop"}},

@@ -383,6 +383,16 @@ def kruskal_wallis(spark, sf):
     return rounded(groups.compare_groups(table(spark, sf, "events"), "kruskal", KW_PAIRS))
 
 
+MANY_GROUPS = [("l_orderkey", "l_quantity"), ("l_orderkey", "l_discount")]
+
+
+@query("kruskal_wallis_many_groups", f"with {_kw('lineitem', MANY_GROUPS)} select category, variable, k as groups, cast(total as bigint) as n, {rd('kwh', 4)} as statistic, cast(k - 1 as double) as df from hh")
+def kruskal_wallis_many_groups(spark, sf):
+    """A group per order: the table of groups grows with the rows."""
+    out = groups.compare_groups(table(spark, sf, "lineitem"), "kruskal", MANY_GROUPS)
+    return rounded(out.select("category", "variable", "groups", "n", "statistic", "df"), 4)
+
+
 @query("kruskal_wallis_bucketed", f"with {_kw('orders', A_PAIRS)} select category, variable, test_name, groups, n, {rd('statistic')} as statistic, df, {rd('p_value')} as p_value from kw")
 def kruskal_wallis_bucketed(spark, sf):
     """The path for large data: ranks through value buckets."""
@@ -487,6 +497,13 @@ def chi_squared(spark, sf):
     return rounded(association.chi_squared(association.crosstab(table(spark, sf, "conversations"), [("role", "turn")])))
 
 
+# without the p-value: the numeric integral of the SQL does not reach so many degrees of freedom
+@query("chi_squared_wide", f"with {_chi('lineitem', [('l_partkey', 'l_suppkey')])} select col_a, col_b, n, rows, cols, {rd('statistic')} as statistic, dof from stat")
+def chi_squared_wide(spark, sf):
+    """Two columns with so many levels that the cells are of the order of the rows."""
+    return rounded(association.chi_squared(association.crosstab(table(spark, sf, "lineitem"), [("l_partkey", "l_suppkey")])).drop("p_value"))
+
+
 @query("chi_squared_two_by_two", f"with {_chi('labels', [('quality', 'toxic')])} select {CHI_OUT} from chi")
 def chi_squared_two_by_two(spark, sf):
     return rounded(association.chi_squared(association.crosstab(table(spark, sf, "labels"), [("quality", "toxic")])))

@@ -16,8 +16,7 @@ from pyspark.sql import types as T
 # (a sort, an exact percentile map).  Larger ones always take a split path.
 TASK_ROWS = 1_000_000
 
-# A result table pinned on the driver may have at most this many rows; callers
-# only pin tables whose size is bounded by columns x category levels.
+# A result table kept on the driver, or broadcast, may have at most this many rows.
 PIN_ROWS = 200_000
 
 
@@ -92,13 +91,19 @@ def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Turn a bounded result table into a local relation, so it is computed once."""
+    """Compute a result table once: a small one becomes a local relation, a larger one a written table."""
     table = df.limit(PIN_ROWS + 1).toArrow()
     if table.num_rows > PIN_ROWS:
-        raise ValueError(f"result table has more than {PIN_ROWS} rows; refusing to pin it")
+        return cut(df, "result")
     return df.sparkSession.createDataFrame(table, df.schema)
 
 
+def broadcast_if_small(table: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Hint a broadcast if `rows` (a pinned table that bounds this one; itself by default) is small enough."""
+    bound = table if rows is None else rows
+    return F.broadcast(table) if bound.limit(PIN_ROWS + 1).count() <= PIN_ROWS else table
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Pin a per-group table when it is small enough, else leave it to Spark.
 
@@ -116,7 +121,7 @@ def scratch_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder of the cluster")
     folder = tempfile.mkdtemp(prefix="statloom-")
     spark.conf.set("spark.checkpoint.dir", folder)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions.frames import col, div, empty
+from statloom.functions.frames import broadcast_if_small, col, div, empty, pin
 from statloom.functions.special import chi2_pvalue
 from statloom.operators.roles import columns_of, level_counts
 
@@ -37,24 +37,26 @@ def chi_squared(table: DataFrame) -> DataFrame:
 
     Empty cells need no rows: sum over filled cells of (O-E)^2/E plus the
     expected mass of the empty ones.  With one degree of freedom all four cells
-    share |O-E|, which gives the continuity-corrected form directly.
+    share |O-E|, which gives the continuity-corrected form directly.  The
+    margins are tables of their own, joined to the cells, so the cells of a
+    wide pair, or of a value that meets very many others, are never in one task.
     """
+    table = pin(table)
+    row_sums = table.groupBy(*PAIR, "a").agg(F.sum("n").alias("row_n"))
+    col_sums = table.groupBy(*PAIR, "b").agg(F.sum("n").alias("col_n"))
+    sides = row_sums.groupBy(*PAIR).agg(
+        F.sum("row_n").alias("total"), F.count(F.lit(1)).alias("rows"), F.sum(1.0 / F.col("row_n")).alias("inv_rows"))
+    sides = pin(sides.join(col_sums.groupBy(*PAIR).agg(
+        F.count(F.lit(1)).alias("cols"), F.sum(1.0 / F.col("col_n")).alias("inv_cols")), PAIR))
     cells = (
-        table.withColumn("total", F.sum("n").over(Window.partitionBy(*PAIR)))
-        .withColumn("row_n", F.sum("n").over(Window.partitionBy(*PAIR, "a")))
-        .withColumn("col_n", F.sum("n").over(Window.partitionBy(*PAIR, "b")))
-        .withColumn("per_row", F.count(F.lit(1)).over(Window.partitionBy(*PAIR, "a")))
-        .withColumn("per_col", F.count(F.lit(1)).over(Window.partitionBy(*PAIR, "b")))
+        table.join(broadcast_if_small(row_sums, table), [*PAIR, "a"]).join(broadcast_if_small(col_sums, table), [*PAIR, "b"])
+        .join(broadcast_if_small(sides), PAIR)
     )
     expected = F.col("row_n") * (F.col("col_n") / F.col("total"))
     gap = F.col("n") - expected
-    sums = cells.groupBy(*PAIR, "total").agg(
-        F.count_distinct("a").alias("rows"), F.count_distinct("b").alias("cols"),
+    sums = cells.groupBy(*PAIR, "total", "rows", "cols", "inv_rows", "inv_cols").agg(
         F.sum(gap * gap / expected).alias("filled"), F.sum(expected).alias("covered"),
         F.max(F.abs(gap)).alias("shift"),
-        # each row (column) is met once per filled cell it has
-        F.sum(1.0 / (F.col("row_n") * F.col("per_row"))).alias("inv_rows"),
-        F.sum(1.0 / (F.col("col_n") * F.col("per_col"))).alias("inv_cols"),
     ).where("rows >= 2 and cols >= 2")
     dof = ((F.col("rows") - 1) * (F.col("cols") - 1)).cast("double")
     kept = F.col("shift") - F.least(F.lit(0.5), F.col("shift"))
@@ -112,9 +114,10 @@ def association_screen(df: DataFrame, cols: list[str] | None = None, max_levels:
 
 def row_percent(df: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b, n, percent): share of each b within its a."""
-    table = crosstab(df, [(a, b)])
-    within = F.sum("n").over(Window.partitionBy("a"))
-    return table.select("a", "b", "n", (F.col("n") / within * 100.0).alias("percent"))
+    table = pin(crosstab(df, [(a, b)]))
+    within = table.groupBy("a").agg(F.sum("n").alias("within"))
+    joined = table.join(broadcast_if_small(within, table), "a")
+    return joined.select("a", "b", "n", (F.col("n") / F.col("within") * 100.0).alias("percent"))
 
 
 def top_values(df: DataFrame, column: str, k: int) -> DataFrame:

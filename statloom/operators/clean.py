@@ -217,9 +217,9 @@ class Cleaned:
 def clean(df: DataFrame, config: dict | None = None) -> Cleaned:
     """Run every stage in order and report what each one did.
 
-    The de-duplicated frame is written once to the shared scratch folder, so
-    the statistics passes that follow read single columns instead of repeating
-    the whole-row shuffle.
+    The frame, de-duplicated if that is wanted, is written once to the shared
+    scratch folder, so the statistics passes that follow read single columns
+    instead of repeating the source's plan or the whole-row shuffle.
     """
     config = config or {}
     unknown = set(config) - CONFIG_KEYS
@@ -233,7 +233,9 @@ def clean(df: DataFrame, config: dict | None = None) -> Cleaned:
 
     rows = df.count()
     note("input", None, "read", rows, rows)
-    if config.get("drop_duplicates", True):
+    if not config.get("drop_duplicates", True):
+        df = cut(df, "to-clean")
+    else:
         df = cut(drop_duplicates(df), "deduplicated")
         after = df.count()
         note("duplicates", None, "dropped duplicate rows", rows, after)

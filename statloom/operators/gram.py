@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from statloom.functions.frames import as_double, chunks
 
+# Each task sends p * p / 2 rows, so a very large scan gives every task many splits.
+LEAST_TASKS, TASKS_PER_CORE = 4096, 4
+
 SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 SCHEMA = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
 
@@ -68,5 +71,6 @@ def pair_sums(df: DataFrame, cols: list[str], centres: list[float], complete: bo
     pair uses its own complete rows.
     """
     narrow = df.select(*[as_double(df, c).alias(f"c{k}") for k, c in enumerate(cols)])
-    sums = narrow.mapInArrow(_adder(centres, complete), SCHEMA)
+    tasks = max(LEAST_TASKS, TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    sums = narrow.coalesce(tasks).mapInArrow(_adder(centres, complete), SCHEMA)  # fewer partitions stay as they are
     return sums.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in SUMS])

@@ -7,20 +7,18 @@ ascending order, which fixes the sign of t and the group U belongs to.
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.frames import (
-    TASK_ROWS, as_double, col, div, empty, local_table, pin, union_all,
+    TASK_ROWS, as_double, broadcast_if_small, col, div, empty, local_table, pin, union_all,
 )
 from statloom.functions.special import (
     EXACT_U_LIMIT, chi2_pvalue, f_pvalue, mann_whitney_exact_pvalue, norm_upper, t_pvalue,
 )
 from statloom.operators.describe import finite, moment_aggs
 from statloom.operators.normality import grouped_normality
-from statloom.operators.ranks import rank_counts, split_points, with_bucket
+from statloom.operators.ranks import bucket_of, rank_counts, split_points
 from statloom.operators.roles import columns_of, level_counts, varying_numeric
 
 ALPHA = 0.05
@@ -68,16 +66,21 @@ def group_moments(df: DataFrame, cats: list[str], nums: list[str], min_group: in
 
 def _usable(pinned: DataFrame) -> dict[tuple[str, str], int]:
     """(category, variable) pairs that keep at least two groups, with their group count."""
-    found = Counter((r["category"], r["variable"]) for r in pinned.select(*KEYS).collect())
-    return {key: found[key] for key in sorted(found) if found[key] >= 2}
+    found = pinned.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("groups")).where("groups >= 2").collect()
+    return dict(sorted(((r["category"], r["variable"]), r["groups"]) for r in found))
+
+
+def _two_groups(table: DataFrame, columns: list[str], *more) -> DataFrame:
+    """One row per key with exactly two groups: `a` is the smaller group, `b` the larger."""
+    entry = F.struct("group", *columns)
+    return table.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("groups"), F.min(entry).alias("a"), F.max(entry).alias("b"), *more).where("groups = 2")
 
 
 def t_test(moment_table: DataFrame) -> DataFrame:
     """Student's t with pooled variance for keys with exactly two groups."""
-    pair = moment_table.groupBy(*KEYS).agg(
-        F.array_sort(F.collect_list(F.struct("group", "n", "mean", "var"))).alias("g")  # two entries
-    ).where(F.size("g") == 2)
-    a, b = F.col("g")[0], F.col("g")[1]
+    pair = _two_groups(moment_table, ["n", "mean", "var"])
+    a, b = F.col("a"), F.col("b")
     n1, n2 = a["n"].cast("double"), b["n"].cast("double")
     pooled = ((n1 - 1) * a["var"] + (n2 - 1) * b["var"]) / (n1 + n2 - 2)
     flat = pair.select(
@@ -117,13 +120,25 @@ def rank_sums(df: DataFrame, pairs: list[tuple[str, str]], usable: DataFrame,
     """(category, variable, group, n, rank_sum, tie_term) of pooled average ranks.
 
     `pairs` are (category, numeric) columns; `usable` lists the groups to keep
-    as (category, variable, group) and is a bounded local table.
+    as (category, variable, group) and is pinned.  Buckets are found once per
+    numeric column, before rows are repeated per pair.
     """
     rows = df.count()
-    splits = split_points(df, list(dict.fromkeys(v for _, v in pairs)), rows, task_rows)
-    long = with_bucket(_long_pairs(df, pairs), {i: splits[v] for i, (_, v) in enumerate(pairs)}, name="pair")
+    cats = list(dict.fromkeys(c for c, _ in pairs))
+    nums = list(dict.fromkeys(v for _, v in pairs))
+    splits = split_points(df, nums, rows, task_rows)
+    wide = df.select(*[col(c).cast("string").alias(f"g{i}") for i, c in enumerate(cats)],
+                     *[as_double(df, v).alias(f"v{i}") for i, v in enumerate(nums)])
+    wide = wide.select("*", *[bucket_of(f"v{i}", splits[v]).alias(f"b{i}") for i, v in enumerate(nums)])
+    entries = [
+        F.struct(F.lit(i).alias("pair"), F.col(f"g{cats.index(c)}").alias("group"),
+                 F.col(f"v{nums.index(v)}").alias("value"), F.col(f"b{nums.index(v)}").alias("bucket"))
+        for i, (c, v) in enumerate(pairs)
+    ]
+    long = wide.select(F.inline(F.array(*entries))).where("group is not null and value is not null")
     counts = long.groupBy("pair", "bucket", "value", "group").agg(F.count(F.lit(1)).alias("n"))
-    kept = counts.join(F.broadcast(_numbered(usable.select(*KEYS, "group"), pairs)), ["pair", "group"], "left_semi")
+    wanted = broadcast_if_small(_numbered(usable.select(*KEYS, "group"), pairs), usable)
+    kept = counts.join(wanted, ["pair", "group"], "left_semi")
     ranked = rank_counts(kept, ["pair"], single_bucket=rows <= task_rows)
     ties = F.col("ties").cast("double")
     sums = ranked.groupBy("pair", "group").agg(
@@ -139,11 +154,8 @@ def mann_whitney(sums: DataFrame) -> DataFrame:
     Exact when a side has at most 8 values and nothing is tied (up to
     EXACT_U_LIMIT table entries); else normal with tie and continuity correction.
     """
-    pair = sums.groupBy(*KEYS).agg(
-        F.array_sort(F.collect_list(F.struct("group", "n", "rank_sum"))).alias("g"),  # two entries
-        F.sum("tie_term").alias("tie_term"),
-    ).where(F.size("g") == 2)
-    a, b = F.col("g")[0], F.col("g")[1]
+    pair = _two_groups(sums, ["n", "rank_sum"], F.sum("tie_term").alias("tie_term"))
+    a, b = F.col("a"), F.col("b")
     n1, n2 = a["n"].cast("double"), b["n"].cast("double")
     total = n1 + n2
     u1 = a["rank_sum"] - n1 * (n1 + 1) / 2.0

@@ -73,8 +73,8 @@ def content_hits(df: DataFrame, cols: list[str] | None = None, sample_size: int
                  order_by: list[str] | None = None) -> DataFrame:
     """(column, email, ssn, credit_card, ip, phone): share of values of each kind.
 
-    All columns and patterns are one aggregate.  By default every value counts;
-    `sample_size` with `order_by` looks at the first rows only.
+    One aggregate per eight columns.  By default every value counts;
+    `sample_size` with `order_by` looks at the first rows only, ties by value.
     """
     spark = df.sparkSession
     if cols is None:
@@ -84,8 +84,10 @@ def content_hits(df: DataFrame, cols: list[str] | None = None, sample_size: int
         return empty(spark, schema)
     if sample_size is None:
         return union_all([_hit_row(df, part) for part in chunks(cols, 8)])
+    if not order_by:
+        raise ValueError("sample_size needs order_by: the first rows of an unordered table are not defined")
     return union_all([
-        _hit_row(df.where(col(c).isNotNull()).orderBy(*[col(o) for o in order_by]).limit(sample_size), [c])
+        _hit_row(df.where(col(c).isNotNull()).orderBy(*[col(o) for o in order_by], col(c)).limit(sample_size), [c])
         for c in cols
     ])
 

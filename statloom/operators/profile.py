@@ -70,10 +70,11 @@ def column_profile(df: DataFrame, pii: dict[str, str] | None = None, approx: boo
 def sample_values(df: DataFrame, order_by: list[str], k: int = 5, pii: dict[str, str] | None = None) -> DataFrame:
     """(name, sample_no, value): first k non-null values per column; placeholders for PII.
 
-    Each column is a top-k over its own values: a partial heap per task.
+    Each column is a top-k over its own values: a partial heap per task.  Rows
+    that `order_by` leaves tied are taken by ascending value.
     """
     pii = pii_map(df) if pii is None else pii
-    w = Window.orderBy(*[F.col(f"_o{i}") for i in range(len(order_by))])  # over k rows
+    w = Window.orderBy(*[F.col(f"_o{i}") for i in range(len(order_by))], F.col("value"))  # over k rows
     parts = []
     for name in df.columns:
         c = present(df, name)
@@ -81,7 +82,7 @@ def sample_values(df: DataFrame, order_by: list[str], k: int = 5, pii: dict[str,
         kind = pii.get(name)
         first = (
             df.select(*order, c.cast("string").alias("value")).where("value is not null")
-            .orderBy(*[f"_o{i}" for i in range(len(order_by))]).limit(min(k, 3) if kind else k)
+            .orderBy(*[f"_o{i}" for i in range(len(order_by))], "value").limit(min(k, 3) if kind else k)
         )
         value = F.lit(placeholder(kind)) if kind else F.col("value")
         parts.append(first.select(

@@ -105,6 +105,20 @@ def with_bucket(long: DataFrame, splits: dict, name="variable", value="value") -
     ).drop("_low", "_high")
 
 
+def bucket_of(value: str, splits: Splits) -> Column:
+    """The bucket number of the values of one column, as with_bucket gives it."""
+    if not splits.points:
+        return F.lit(0)
+    bucket = F.expr(_tree(value, splits.points))
+    if splits.slices == 1:
+        return bucket
+    bounds = [splits.low, *splits.points, splits.high]
+    low, high = (F.element_at(F.array(*[F.lit(float(x)) for x in bounds]), bucket + step) for step in (1, 2))
+    share = div(F.col(value) - low, high - low) * splits.slices
+    slice_ = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(splits.slices - 1.0), share))).cast("int")
+    return bucket * splits.slices + F.coalesce(slice_, F.lit(0))
+
+
 def rank_counts(counts: DataFrame, keys: list[str], single_bucket: bool = False) -> DataFrame:
     """Average ranks from a count table (keys..., bucket, value[, group], n).
 

@@ -26,8 +26,13 @@ class RegressionRun:
     categorical: list[str]
 
 
-def regression_run(df: DataFrame, target: str | None = None, order_by: list[str] | None = None) -> RegressionRun:
-    """Fit, diagnostics, descriptives and target correlations over the complete rows."""
+def regression_run(df: DataFrame, target: str | None = None, order_by: list[str] | None = None,
+                   written: bool = False) -> RegressionRun:
+    """Fit, diagnostics, descriptives and target correlations over the complete rows.
+
+    Every diagnostic is a scan, so the frame is written once, unless it is `written` already.
+    """
+    df = df if written else cut(df, "to-regress")
     fit = fit_ols(df, target, order_by=order_by)
     used = [fit.target, *fit.predictors]
     tables = {
@@ -78,7 +83,7 @@ def analyse(df: DataFrame, mode: str = "general", cleaning: dict | None = None,
     if load_as:
         run.manifest = load_tables(done.df, load_as, design, pii=run.pii)
     if mode == "regression":
-        run.regression = regression_run(done.df, target, order_by)
+        run.regression = regression_run(done.df, target, order_by, written=True)
         run.charts = regression_tables(run.regression.fit)
     else:
         run.general = general_tests(done.df)

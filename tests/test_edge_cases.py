@@ -3,9 +3,12 @@
 import math
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from statloom.operators import ranks, regression
+from statloom.functions import frames
+from statloom.operators import association, groups, pii, ranks, regression
+from statloom.sources import readers
 
 
 def test_ranks_of_columns_with_scratch_names(spark):
@@ -43,3 +46,55 @@ def test_constant_target_and_constant_predictor(spark):
     model = fit(spark, late.assign(y=late["y"] + [math.cos(7 * i) for i in range(n)]))
     vif = {r["variable"]: (r["vif"], r["multicollinearity"]) for r in model.vif().collect()}
     assert vif["a"] == (1.0, "low") and vif["b"] == (None, "constant")
+
+
+def _grouped(spark):
+    n = 2400
+    return spark.createDataFrame(pd.DataFrame({
+        "g": [f"g{i % 300}" for i in range(n)], "two": ["ab"[i % 2] for i in range(n)],
+        "x": [float((i * 7919) % 101) for i in range(n)], "y": [float(i % 17) for i in range(n)]}))
+
+
+@pytest.mark.parametrize("test", ["t", "anova", "mannwhitney", "kruskal"])
+def test_more_groups_than_the_driver_holds(spark, monkeypatch, test):
+    df, pairs = _grouped(spark), [("g", "x"), ("two", "x"), ("two", "y")]
+    want = groups.compare_groups(df, test, pairs).orderBy("category", "variable").toPandas()
+    monkeypatch.setattr(frames, "PIN_ROWS", 50)
+    got = groups.compare_groups(df, test, pairs, task_rows=500).orderBy("category", "variable").toPandas()
+    assert len(want) == (2 if test in ("t", "mannwhitney") else 3)
+    pd.testing.assert_frame_equal(got, want)
+
+
+def test_more_cells_than_the_driver_holds(spark, monkeypatch):
+    table = association.crosstab(_grouped(spark), [("g", "two"), ("two", "y")])
+    want = association.chi_squared(table).orderBy("col_a").toPandas()
+    shares = association.row_percent(_grouped(spark), "g", "two").orderBy("a", "b").toPandas()
+    monkeypatch.setattr(frames, "PIN_ROWS", 50)
+    pd.testing.assert_frame_equal(association.chi_squared(table).orderBy("col_a").toPandas(), want)
+    pd.testing.assert_frame_equal(association.row_percent(_grouped(spark), "g", "two").orderBy("a", "b").toPandas(), shares)
+
+
+def test_bucket_of_one_column_is_that_of_the_long_form(spark):
+    values = [float("-inf"), -3.0, 0.0, 0.5, 1.0, 7.25, 99.0, float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "value double")
+    for splits in (ranks.Splits([]), ranks.Splits([0.0, 1.0, 8.0], -3.0, 99.0), ranks.Splits([0.0, 1.0, 8.0], -3.0, 99.0, 4)):
+        both = ranks.with_bucket(df.withColumn("variable", F.lit("v")), {"v": splits}).withColumn("again", ranks.bucket_of("value", splits))
+        assert all(r["bucket"] == r["again"] for r in both.collect())
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('id,note\n1,"x\ny"\n2,"say ""so"""\n')
+    rows = readers.read_csv(spark, str(path)).orderBy("id").collect()
+    assert [(r["id"], r["note"]) for r in rows] == [(1, "x\ny"), (2, 'say "so"')]
+    with pytest.raises(ValueError, match="line break"):
+        readers.read_csv(spark, str(path), multi_line=False)
+    path.write_text('id,note\n1,"x y"\n2,z\n')
+    assert readers.read_csv(spark, str(path), multi_line=False).count() == 2
+
+
+def test_first_rows_need_an_order(spark):
+    df = spark.createDataFrame([(1, "a@b.org"), (1, "none")], "k long, mail string")
+    with pytest.raises(ValueError, match="order_by"):
+        pii.content_hits(df, sample_size=1)
+    assert pii.content_hits(df, sample_size=1, order_by=["k"]).first()["email"] == 1.0  # the tie goes to the smaller value
