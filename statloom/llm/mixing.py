@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.llm.common import col, cut, fresh
 
-#: A rate table of at most so many cells (under 20 MB) is broadcast.
+#: A table of at most so many cells (under 20 MB) is raked in one task, and its rates are broadcast.
 BROADCAST_CELLS = 100_000
 MARGINS = ("source", "lang", "topic")
 
@@ -54,9 +54,21 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 8, margi
 
     `cells` has one row per combination of the margins with its tokens; `targets` has (margin, target) tables.
     A margin value without a target gets weight zero; a target without tokens cannot be met and stays empty.
-    Each sweep is cut from its lineage, so the plan does not grow.
+    Up to BROADCAST_CELLS cells are laid into one partition, where sums per margin need no shuffle.  More cells are
+    summed per task and joined with their sums, and each sweep is cut from its lineage, so the plan does not grow.
     """
     work = cells.withColumn("weight", F.col("tokens").cast("double"))
+    if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
+        share = {m: fresh(cells, f"share_{m}") for m in margins}
+        work = work.coalesce(1)
+        for m in margins:
+            work = work.join(F.broadcast(targets[m].select(m, F.col("target").alias(share[m]))), m, "left")
+        for _ in range(sweeps):
+            for m in margins:
+                total = F.sum("weight").over(Window.partitionBy(m))
+                work = work.withColumn("sum", total).withColumn("weight", F.when(
+                    F.col("sum") > 0, F.col("weight") * (F.coalesce(share[m], F.lit(0.0)) / F.when(F.col("sum") > 0, F.col("sum")))).otherwise(0.0))
+        return cut(work.select(*cells.columns, "weight"), "rake")
     for _ in range(sweeps):
         for m in margins:
             sums = work.groupBy(m).agg(F.sum("weight").alias("sum")).join(targets[m], m, "left").select(
