@@ -183,7 +183,8 @@ def near_duplicate_classes(
     cells = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = cut(cells.mapInArrow(_settled(threshold), "a long, b long"), "dup-more-links")
     if more.take(1):
-        found = cut(components(links.union(more), "dup-roots"), "dup-found")
+        stars = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        found = cut(components(stars.union(more), "dup-roots"), "dup-found")
 
     linked = found.join(nodes.select("node", "rep"), "node")
     names = linked.groupBy("root").agg(F.min("rep").alias("name"))
