@@ -3,8 +3,10 @@
 Each page becomes a small tree.  Parts that are never article text (menus, forms, scripts, adverts, comments
 and the like, told by tag, role, class or id) are taken out first.  Every node then gets its composite density:
 characters per tag, raised where little of the text is link text.  The node whose children's densities have the
-largest sum is the core of the page; the smallest density on the path from it up to the body is the threshold,
-and outside the core only nodes at or above the threshold give their own densest part.
+largest sum is the core of the page.  The article or main element around it is kept whole; on a page without
+one, the containers around it are kept as far up as most of the text beside it stands in lines like the core's.
+Outside of that, headings, nodes whose lines are like the core's (or, where the page names its article, further
+articles of such lines) and nodes at or above the smallest density on the path from the core up to the body are kept.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ BLOCKS = frozenset(
     "html body main article section div header footer aside nav p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre "
     "figure figcaption table caption thead tbody tfoot tr td th address fieldset details summary center hgroup hr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = frozenset("p blockquote pre".split())
+#: A line outside the core is like the core's if it has this share of the length of the core's middle line.
+LINE_SHARE = 0.25
 #: An opening tag of the key closes an open element of the value, unless one of the walls lies between.
 CLOSES = {
     "li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "option": ("option", {"select"}),
@@ -208,6 +213,53 @@ def weigh(root: Node) -> list[Node]:
     return nodes
 
 
+def lines_of(nodes: list[Node]) -> dict[int, tuple[int, int]]:
+    """Characters and link characters of the text that stands in each block itself, not in blocks inside it."""
+    holds, out = {}, {}
+    for node in reversed(nodes):
+        kids = node.children
+        holds[id(node)] = any(k.tag in BLOCKS or holds[id(k)] for k in kids)
+        flat = [k for k in kids if k.tag not in BLOCKS and not holds[id(k)]]
+        if node.tag in BLOCKS or holds[id(node)]:
+            out[id(node)] = (sum(len(x.strip()) for x in node.parts if isinstance(x, str)) + sum(k.chars for k in flat),
+                             sum(k.link_chars for k in flat))
+    return out
+
+
+def prose_of(nodes: list[Node], core: Node) -> dict[int, int]:
+    """Characters of each node that stand in lines like those of the core: mostly not links, and not much shorter."""
+    lines = lines_of(nodes)
+    own = sorted(c - lc for n in _ordered(core) if n.tag not in HEADINGS for c, lc in [lines.get(id(n), (0, 0))] if c > 2 * lc)
+    least = own[len(own) // 2] * LINE_SHARE if own else 0
+    out = {}
+    for node in reversed(nodes):
+        c, lc = lines.get(id(node), (0, 0))
+        out[id(node)] = (c if c > 2 * lc and c - lc >= least else 0) + sum(out[id(k)] for k in node.children)
+    return out
+
+
+def widened(core: Node, prose: dict[int, int]) -> Node:
+    """The article around the core: the element that says so, or else as far up as the text beside it is prose too."""
+    for tag in ("article", "main"):
+        node = core
+        while node is not None:
+            if node.tag == tag:
+                return node
+            node = node.parent
+    node = core
+    while node.parent is not None and node.parent.parent is not None:
+        beside = [k for k in node.parent.children if k is not node]
+        rest = node.parent.chars - node.chars - sum(k.chars for k in beside if k.tag in HEADINGS)
+        # a paragraph right beside the core belongs to it at any length
+        like = prose[id(node.parent)] - prose[id(node)] + sum(
+            k.chars - prose[id(k)] for k in beside if k.tag in PARAGRAPHS and k.link_chars * 2 < k.chars) - sum(
+            prose[id(k)] for k in beside if k.tag in HEADINGS)
+        if like * 2 < rest:
+            break
+        node = node.parent
+    return node
+
+
 def chosen(root: Node) -> list[Node]:
     """The subtrees that make up the main text, in page order."""
     nodes = weigh(root)
@@ -218,15 +270,22 @@ def chosen(root: Node) -> list[Node]:
     threshold, node = core.density, core
     while node is not None:
         threshold, node = min(threshold, node.density), node.parent
+    prose = prose_of(nodes, core)
+    core = widened(core, prose)
+    named = core.tag in ("article", "main")
     taken, path = [core], set()
     node = core
     while node is not None:
         path.add(id(node))
         node = node.parent
     stack = [k for n in nodes if id(n) in path and n is not core for k in n.children if id(k) not in path]
+    beside = set(map(id, stack))
     while stack:
         node = stack.pop()
-        if node.chars and (node.tag in HEADINGS or node.density >= threshold - EPSILON) and node.link_chars * 2 < node.chars:
+        # text like the core's counts without regard to the containers; where the page names its article, only in further ones
+        like = prose[id(node)] * 2 > node.chars or node.tag in PARAGRAPHS and id(node) in beside
+        if node.link_chars * 2 < node.chars and (
+                node.tag in HEADINGS or node.density >= threshold - EPSILON or like and (not named or node.tag == "article")):
             taken.append(node)
         else:
             stack.extend(node.children)

@@ -144,6 +144,30 @@ def test_main_text_is_the_article_of_every_test_page(spark):
         assert r["text"] == "\n".join(x for x in parts if x)
 
 
+def paragraphs(*sizes):
+    text = " ".join(f"word{i}" for i in range(300))
+    return [text[:n].strip() for n in sizes]
+
+
+def tagged(lines):
+    return "".join(f"<p>{x}</p>" for x in lines)
+
+
+@pytest.mark.parametrize("menu", ["", "<div><a href=a>One link of the menu</a> <a href=b>Another link of the menu</a></div>"])
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+def test_main_text_keeps_the_article_around_its_densest_part(outer, menu):
+    around = lambda x: f"<body>{menu}<{outer}>{x}</{outer}>{menu}</body>"
+    lead, many = paragraphs(200), paragraphs(*[400] * 20)
+    assert html_text.main_text(around(f"<h1>Head</h1>{tagged(lead)}<div>{tagged(many)}</div>")) == "\n".join(["Head", *lead, *many])
+    first, second = paragraphs(*[500] * 10), paragraphs(500, 500, 60)
+    page = f"<section><h2>A</h2>{tagged(first)}</section><section><h2>B</h2>{tagged(second)}</section>"
+    assert html_text.main_text(around(page)) == "\n".join(["A", *first, "B", *second])
+    short, linked = "A short word first.", "See <a href=x>the first long link</a> and <a href=y>the second long link</a>."
+    page = f"<p>{short}</p><div>{tagged(many)}</div><p>{linked}</p><p>{lead[0]}</p>"
+    want = [short, *many, "See the first long link and the second long link.", *lead]
+    assert html_text.main_text(around(page)) == "\n".join(want)
+
+
 def test_digests_are_those_of_the_library():
     codec = bpe.codec(RANKS, public_tokenizers.PATTERN)
     assert hashlib.sha256(codec.decode(codec.encode("été\n\n x"))).hexdigest() == hashlib.sha256("été\n\n x".encode()).hexdigest()
