@@ -39,6 +39,8 @@ CLOSES = {
     "tr": ("tr", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}),
     "thead": ("thead tbody tfoot", {"table"}), "tbody": ("thead tbody tfoot", {"table"}), "tfoot": ("thead tbody tfoot", {"table"}),
 }
+#: Elements whose end tag may be left out.
+OPEN_ENDED = frozenset("p li dt dd tr td th thead tbody tfoot".split())
 #: Words in a class or id that mark a part as not belonging to the article.
 UNWANTED = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner comment comments "
@@ -89,6 +91,20 @@ def unwanted(tag: str, attrs: str, open_tags: list[str]) -> bool:
     return False
 
 
+def closed_by(tag: str, open_tags: list[str]) -> int | None:
+    """The place of the outermost of the open elements that an opening tag ends, if it ends any."""
+    if tag in BLOCKS and "p" in open_tags:
+        return open_tags.index("p")
+    if tag in CLOSES:
+        shut, walls = CLOSES[tag]
+        for k in range(len(open_tags) - 1, 0, -1):
+            if open_tags[k] in walls:
+                break
+            if open_tags[k] in shut.split():
+                return k
+    return None
+
+
 def parse(page: str) -> Node:
     """The tree of a page without its unwanted parts; forgiving about missing end tags."""
     root = node = Node("body", None)
@@ -113,6 +129,27 @@ def parse(page: str) -> Node:
                 return len(page)
             end = page.find(">", end)
             return len(page) if end < 0 else end + 1
+        if tag in OPEN_ENDED:
+            inside = [*open_tags, tag]
+            while m := MARKUP.search(page, pos):
+                pos, name = m.end(), (m["name"] or "").lower()
+                if m["end"]:
+                    if name in BLOCKS and name in inside and name not in ("body", "html"):
+                        k = len(inside) - 1 - inside[::-1].index(name)
+                        if k <= len(open_tags):  # its own end, or the parent ends first
+                            return pos if k == len(open_tags) else m.start()
+                        del inside[k:]
+                    continue
+                if name in BLOCKS and name not in ("body", "html"):
+                    while (k := closed_by(name, inside)) is not None:
+                        if k <= len(open_tags):
+                            return m.start()
+                        del inside[k:]
+                    if name not in VOID:
+                        inside.append(name)
+                elif name in DROPPED:
+                    pos = skip(name, pos)
+            return len(page)
         depth = 1
         for m in MARKUP.finditer(page, pos):
             name = (m["name"] or "").lower()
@@ -153,16 +190,8 @@ def parse(page: str) -> Node:
             continue
         if tag in ("html", "body"):
             continue
-        if tag in BLOCKS and "p" in open_tags:
-            close(open_tags.index("p"))
-        if tag in CLOSES:
-            shut, walls = CLOSES[tag]
-            for k in range(len(open_tags) - 1, 0, -1):
-                if open_tags[k] in walls:
-                    break
-                if open_tags[k] in shut.split():
-                    close(k)
-                    break
+        while (k := closed_by(tag, open_tags)) is not None:
+            close(k)
         if unwanted(tag, m["attrs"], open_tags):
             at = skip(tag, at)
             continue

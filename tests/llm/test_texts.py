@@ -168,6 +168,22 @@ def test_main_text_keeps_the_article_around_its_densest_part(outer, menu):
     assert html_text.main_text(around(page)) == "\n".join(want)
 
 
+@pytest.mark.parametrize("inside, want", [
+    ('<p class="notice">x<p>One</p><p>Two</p>', "One\nTwo"),
+    ('<p class="notice">x <b>y</b><div>One</div><p class="ad">z</p><p>Two</p>', "One\nTwo"),
+    ('<ul><li>One<li class="ad">x<ul><li>y<li>z</ul>x<li>Two</ul><p>Three</p>', "One\nTwo\nThree"),
+    ('<ul><li>One</li><li class="ad">x<div><p>y</div>z</li><li>Two</li></ul><p>Three</p>', "One\nTwo\nThree"),
+    ('<ul><li class="ad">x</ul><p>One</p>', "One"),
+    ('<dl><dt class="ad">x<dd>One<dd class="ad">y<dt>Two<dd>Three</dl>', "One\nTwo\nThree"),
+    ('<table><tr><td class="ad">x<table><tr><td>y</table>x<td>One<tr class="ad"><td>z<td>z<tr><th class="ad">x<tr><td>Two</table><p>Three</p>', "One\nTwo\nThree"),
+    ('<table><tbody class="ad"><tr><td>x<tbody><tr><td>One</table><p>Two</p>', "One\nTwo"),
+    ('<p class="ad">x<svg><p>y</p></svg><script>"<p>"</script>z<!-- <p> --></p><p>One</p>', "One"),
+    ('<div><p class="ad">x</div><p>One</p>', "One"),
+])
+def test_left_out_end_tags_of_unwanted_parts(inside, want):
+    assert html_text.main_text(f"<body><article>{inside}</article></body>") == want
+
+
 def test_digests_are_those_of_the_library():
     codec = bpe.codec(RANKS, public_tokenizers.PATTERN)
     assert hashlib.sha256(codec.decode(codec.encode("été\n\n x"))).hexdigest() == hashlib.sha256("été\n\n x".encode()).hexdigest()
