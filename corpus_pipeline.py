@@ -15,6 +15,8 @@ from statloom.llm.common import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC_FROM = 0.5
+#: The share of the tokens that mixing keeps, whatever the size of the corpus and however rare its rarest cell.
+MIX_KEEP = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +37,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample in which rare sources, languages and topics weigh more than they did."""
-    return mixing.mix(docs, temper=0.9).select(*COLUMNS)
+    """A sample of MIX_KEEP of all tokens in which rare sources, languages and topics weigh more than they did."""
+    return mixing.mix(docs, temper=0.9, keep=MIX_KEEP).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

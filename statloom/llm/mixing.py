@@ -2,8 +2,9 @@
 
 Token counts are added up per cell (source x language x topic).  Raking scales the cells to the target share of
 each margin in turn, again and again, until all margins agree; the raked weight of a cell over its tokens is the
-cell's sampling rate.  Rates are scaled so that the highest one is `top_rate`, and every document is kept with the
-probability of its cell, by a hash of its id, so the sample is the same on every run.
+cell's sampling rate.  Rates are scaled so that a given share of all tokens is expected to be kept, no rate above
+`top_rate`, or else so that the highest one is `top_rate`.  Every document is kept with the probability of its
+cell, by a hash of its id, so the sample is the same on every run.
 """
 
 from __future__ import annotations
@@ -78,15 +79,38 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 8, margi
     return work
 
 
+def scale_for(raked: DataFrame, keep: float, top_rate: float = 1.0) -> float | None:
+    """The c for which cells sampled at min(top_rate, c * ratio) keep the share `keep` of all tokens; None if only
+    `top_rate` for every cell comes near it.
+
+    The kept tokens are piecewise linear and concave in c, so Newton's steps from below come to the exact c after
+    finitely many; each is one sum over the cells.
+    """
+    c, held = 0.0, -1
+    while True:
+        full = F.col("ratio") * F.lit(c) >= F.lit(float(top_rate))
+        total, capped, n, weight = raked.where("tokens > 0").agg(
+            F.sum("tokens"), F.sum(F.when(full, F.col("tokens"))), F.count(F.when(full, 1)), F.sum(F.when(~full, F.col("weight")))).first()
+        rest = keep * (total or 0) - top_rate * (capped or 0)
+        if not weight:
+            return None
+        if n == held:
+            return c
+        c, held = max(c, rest / weight), n
+
+
 def mix(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
     topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.9, sweeps: int = 8,
-    top_rate: float = 1.0, rate_out: str = "rate",
+    top_rate: float = 1.0, rate_out: str = "rate", keep: float | None = None,
 ) -> DataFrame:
     """The sampled documents with all their columns and the rate they were kept at.
 
     `targets` gives shares per margin ("source", "lang", "topic"); a margin that is not given is tempered: its
-    own shares to the power `temper`, normalised, which lifts rare values.  Defined cases: null sources,
+    own shares to the power `temper`, normalised, which lifts rare values.  `keep` is the share of all tokens that
+    is expected to be kept; cells that would need a rate above `top_rate` get `top_rate`, and the others make up for
+    them.  Without `keep` the cell with the largest weight per token sets the rates of all others, so that one rare
+    document can thin the rest.  Defined cases: null sources,
     languages and texts form their own class, written as an empty string; documents without tokens weigh
     nothing and get the rate of their cell, or `top_rate` in a cell without any tokens; rows that repeat an id
     are kept or dropped together if their cell is the same; an empty table stays empty; a column that bears
@@ -113,8 +137,12 @@ def mix(
         else:
             goal[m] = cut(tempered(cells, m, temper), "mix-target")
     raked = rake(cells, goal, sweeps).withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.when(F.col("tokens") > 0, F.col("tokens"))))
-    most = raked.agg(F.max("ratio")).first()[0] or 1.0
-    rate = F.coalesce(F.least(F.lit(float(top_rate)), F.col("ratio") / F.lit(most) * F.lit(float(top_rate))), F.lit(float(top_rate)))
+    if keep is None:
+        scale = F.col("ratio") / F.lit(raked.agg(F.max("ratio")).first()[0] or 1.0) * F.lit(float(top_rate))
+    else:
+        c = scale_for(raked, keep, top_rate)
+        scale = F.when(F.col("ratio") > 0, F.lit(float(top_rate))).otherwise(F.col("ratio")) if c is None else F.col("ratio") * F.lit(c)
+    rate = F.coalesce(F.least(F.lit(float(top_rate)), scale), F.lit(float(top_rate)))
     rates = cut(raked.select(*MARGINS, rate.alias("r")), "mix-rates")
     if rates.count() <= BROADCAST_CELLS:
         rates = F.broadcast(rates)

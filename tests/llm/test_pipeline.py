@@ -55,6 +55,13 @@ def test_mixing_stage_is_repeatable(spark, sf, steps):
     assert after.subtract(before).count() == 0 and after.count() > 0.3 * before.count()
 
 
+def test_one_stray_row_does_not_thin_the_mix(spark, sf, steps):
+    before, after = steps[3]
+    stray = spark.createDataFrame([(-1, "three small words", None, None, 17)], before.schema)
+    n = p.mix_sources(spark, before.unionByName(stray), sf).count()
+    assert n > 0.6 * before.count() and abs(n - after.count()) < 0.05 * before.count()
+
+
 def test_last_stage_agrees_with_tiktoken(steps):
     before, after = steps[4]
     enc, text = tiktoken_encoding(), {r["doc_id"]: r["text"] for r in before.collect()}

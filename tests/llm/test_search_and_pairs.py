@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from statloom.llm import hnsw, mixing, neardup, topk, toxicity, url_rules
@@ -198,6 +199,29 @@ def test_mixing_odd_tables_and_given_targets(spark, docs, no_docs):
     assert even.where("source = 'a' and rate > 0").count() == 0
 
 
+def test_one_rare_document_hardly_changes_the_rates_of_the_others(spark):
+    rows = [(i, "word " * (5 + i % 7), ("en", "de")[i % 5 == 0], ("s0", "s1", "s2")[i % 7 % 3]) for i in range(2000)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stray = plain.unionByName(spark.createDataFrame([(9999, "three small words", None, None)], plain.schema))
+    rates = []
+    for df in (plain, stray):
+        kept = mixing.mix(df, keep=0.7)
+        rates.append({(r["source"], r["lang"]): r["rate"] for r in kept.select("source", "lang", "rate").distinct().collect() if r["source"]})
+        tokens = mixing.count_tokens(F.col("text"))
+        share = kept.agg(F.sum(tokens)).first()[0] / df.agg(F.sum(tokens)).first()[0]
+        assert abs(share - 0.7) < 0.03
+    assert rates[0].keys() == rates[1].keys() and all(abs(rates[0][k] - rates[1][k]) < 0.01 for k in rates[0])
+
+
+def test_kept_share_is_met_exactly_or_as_far_as_rates_go(spark):
+    cells = spark.createDataFrame([(900, 800.0), (90, 100.0), (9, 90.0), (1, 0.0)], "tokens long, weight double").withColumn("ratio", F.col("weight") / F.col("tokens"))
+    for keep, top in ((0.1, 1.0), (0.5, 1.0), (0.9, 1.0), (0.2, 0.25), (0.0, 1.0)):
+        c = mixing.scale_for(cells, keep, top)
+        assert cells.agg(F.sum(F.least(F.lit(top), F.col("ratio") * c) * F.col("tokens"))).first()[0] == pytest.approx(keep * 1000)
+    assert mixing.scale_for(cells, 1.0) is None and mixing.scale_for(cells, 0.5, 0.25) is None
+    assert mixing.scale_for(cells.where("false"), 0.5) is None
+
+
 URLS = [
     ("http://a.com/x?y", "a.com", "/x"), ("HTTPS://WWW.Example.COM/en/1#z", "www.example.com", "/en/1"), ("x://h", "h", ""),
     ("x://h?q=/a", "h", ""), ("no scheme", "", ""), (None, "", ""), ("", "", ""), ("a://b://c/d", "b:", "//c/d"),
