@@ -251,3 +251,11 @@ def test_mined_rules_block_what_the_labels_say(spark):
     got = url_rules.judge_urls(df, rules, [])
     assert got.where("(verdict = 'block') <> bad").count() == 0
     assert url_rules.mine_rules(df.where("false"), "url", F.col("bad")).count() == 0
+
+
+def test_rules_count_every_labelled_row_of_a_large_table(spark):
+    n, k = 240_000, F.col("id")
+    url = F.when(k % 3 == 0, "http://hot.example/x").when(k % 3 == 1, F.concat(F.lit("http://b.example/y/"), k.cast("string")))
+    rules = url_rules.mine_rules(spark.range(n).select(url.alias("url"), ((k % 3 == 0) & (k % 12 != 0) | (k % 3 == 2)).alias("bad")), "url", F.col("bad"))
+    got = {tuple(r["tokens"]): (r["support"], r["confidence"]) for r in rules.collect()}
+    assert got == {("h:hot",): (n // 4, 0.75), ("p:x",): (n // 4, 0.75)}
