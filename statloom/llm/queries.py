@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm import bpe, hnsw, html_text, huffman, lines, mixing, neardup, topk, toxicity, url_rules
+from statloom.llm import bpe, hnsw, html_text, huffman, lines, mixing, neardup, phrases, spelling, substrings, topk, toxicity, url_rules
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -204,3 +204,99 @@ def op9(spark, sf):
 @query("op10_nearest_neighbours")
 def op10(spark, sf):
     return hnsw.nearest(table(spark, sf, "embeddings"), k=20, every=20)
+
+
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@query("op11_spelling_variants", f"""
+with recursive
+steps(i, k, c) as (
+  select i, 0, i from range(256) r(i)
+  union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from steps where k < 8),
+crc_table as (select i, c from steps where k = 8),
+found as (
+  select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) as run from documents),
+pairs as (select doc_id, translate(run, {_LOWER}) as run, count(*) as n from found group by 1, 2),
+numbered as (select row_number() over () as pair, run, n, hex(encode(concat(doc_id, ':', run))) as bytes from pairs),
+crc(pair, bytes, pos, c) as (
+  select pair, bytes, 0, 4294967295 from numbered
+  union all
+  select r.pair, r.bytes, r.pos + 2, xor(t.c, r.c >> 8)
+  from crc r join crc_table t on t.i = xor(r.c & 255, cast('0x' || substr(r.bytes, r.pos + 1, 2) as bigint))
+  where r.pos < length(r.bytes)),
+hashed as (select pair, xor(c, 4294967295) as h from crc where pos = length(bytes)),
+damaged as (
+  select n, case when h % 199 = 0 then concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) else run end as word
+  from numbered join hashed using (pair)),
+words as (select word, cast(sum(n) as bigint) as n from damaged where length(word) >= 6 group by word having sum(n) >= 5),
+cuts as (
+  select word, n, pos, concat(substr(word, 1, pos), substr(word, pos + 2)) as rest
+  from (select word, n, unnest(range(length(word))) as pos from words)),
+near as (
+  select a.word, a.n, b.word as other, b.n as other_n from cuts a join cuts b on a.rest = b.rest and a.pos = b.pos and a.word <> b.word
+  union select a.word, a.n, b.word, b.n from cuts a join words b on a.rest = b.word
+  union select b.word, b.n, a.word, a.n from cuts a join words b on a.rest = b.word),
+best as (
+  select word, n, other, other_n, count(*) over (partition by word) as n_near,
+    row_number() over (partition by word order by other_n desc, other) as r from near),
+judged as (
+  select w.word, w.n, coalesce(b.n_near, 0) as n_near, case when b.other_n >= 5 * w.n then b.other end as form,
+    case when b.other_n >= 5 * w.n then b.other_n end as form_n
+  from words w left join best b on b.word = w.word and b.r = 1),
+chain(word, root, depth) as (
+  select word, word, 0 from judged
+  union all select c.word, j.form, c.depth + 1 from chain c join judged j on j.word = c.root where j.form is not null),
+last as (select word, arg_max(root, depth) as root from chain group by word)
+select j.word, j.form, l.root, j.n, j.n_near, j.form_n from judged j join last l on l.word = j.word""")
+def op11(spark, sf):
+    return spelling.group_spellings(table(spark, sf, "documents"), min_chars=6, min_count=5, ratio=5, damage=199)
+
+
+@query("op12_substring_dedup", r"""
+with split as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+windows as (
+  select doc_id, w.pos, array_to_string(words[w.pos : w.pos + 12], ' ') as win
+  from split, lateral (select unnest(range(1, len(words) - 11)) as pos) w),
+earliest as (select win, min(doc_id) as doc_id from windows group by win),
+hits as (select w.doc_id, w.pos from windows w join earliest e on e.win = w.win and e.doc_id < w.doc_id),
+gone as (select distinct doc_id, unnest(range(pos, pos + 13)) as pos from hits),
+each as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as pos from split),
+kept as (select e.doc_id, string_agg(e.word, ' ' order by e.pos) as text from each e anti join gone g on g.doc_id = e.doc_id and g.pos = e.pos group by e.doc_id),
+counts as (select doc_id, count(*) as n from gone group by doc_id)
+select s.doc_id, cast(len(s.words) as bigint) as n_words, coalesce(c.n, 0) as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+from split s left join kept k on k.doc_id = s.doc_id left join counts c on c.doc_id = s.doc_id""")
+def op12(spark, sf):
+    kept = substrings.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"), words=13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op13_phrase_collocations", f"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+split as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as words from pieces),
+totals as (select lang, cast(sum(len(words)) as bigint) as n from split group by lang),
+grams as (
+  select lang, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: array_to_string(words[i : i + size - 1], ' '))) as phrase
+  from split, (select unnest([1, 2, 3]) as size) sizes where len(words) >= size),
+f as (select lang, size, phrase, count(*) as f from grams group by 1, 2, 3 having count(*) >= 10),
+candidates as (select lang, size, phrase, f as a, string_split(phrase, ' ') as words from f where size > 1),
+cuts as (
+  select c.lang, c.phrase, c.a, k, array_to_string(c.words[1 : k], ' ') as before, array_to_string(c.words[k + 1 : c.size], ' ') as after
+  from candidates c, (select unnest([1, 2]) as k) ks where k < c.size),
+scored as (
+  select c.*, l.f as l, r.f as r, cast((cast(1000000 as hugeint) * c.a * c.a) // (cast(l.f as hugeint) * r.f) as bigint) as score
+  from cuts c join f l on l.lang = c.lang and l.phrase = c.before join f r on r.lang = c.lang and r.phrase = c.after),
+lowest as (select *, row_number() over (partition by lang, phrase order by score, k) as nth from scored),
+inner_parts as (
+  select lang, array_to_string(words[1 : 2], ' ') as phrase, a from candidates where size = 3
+  union all select lang, array_to_string(words[2 : 3], ' '), a from candidates where size = 3),
+around as (select lang, phrase, max(a) as around from inner_parts group by 1, 2),
+kept as (
+  select s.lang, s.phrase, s.a, s.l, s.r, s.score from lowest s left join around x on x.lang = s.lang and x.phrase = s.phrase
+  where s.nth = 1 and (x.around is null or 100 * x.around < 50 * s.a)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score from ranked r join totals t on t.lang = r.lang where r.rank <= 2000""")
+def op13(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"), longest=3, min_count=10, inside_percent=50, scale=1_000_000, top=2000)
