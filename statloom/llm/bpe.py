@@ -13,15 +13,16 @@ import functools
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from statloom.llm.chunks import TextCodes
+from statloom.llm.chunks import ChunkCodes
 from statloom.llm.common import fresh, on_workers
+from statloom.llm.words import by_bytes
 
 BYTE_BASE = 0x100
-ROWS = 256  # texts in an output batch
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -99,9 +100,9 @@ class Codec:
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
         self.pattern = pre_token_pattern(pattern)
         self.entry = {rank: entry for entry, rank in ranks.items()}
-        self.encode = TextCodes(self._ids)
 
-    def _ids(self, text: str) -> bytes:
+    def ids(self, text: str) -> array:
+        """The ids of one text."""
         out = array("I")
         for token in self.pattern.findall(text):
             data = token.encode()
@@ -110,7 +111,7 @@ class Codec:
                 out.extend(map(self.by_piece.__getitem__, self.pieces.encode(spelled(data), num_threads=1)))
             else:
                 out.append(rank)
-        return out.tobytes()
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.entry.__getitem__, array("I", ids)))
@@ -118,7 +119,7 @@ class Codec:
 
 @functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """One codec per worker and vocabulary file; workers keep it between tasks."""
+    """One codec per worker and vocabulary file; workers keep it, but no codes of texts, between tasks."""
     return Codec(read_ranks(path), pattern)
 
 
@@ -141,12 +142,13 @@ def encode_and_decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
+        codes = ChunkCodes(c.ids, "<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                ids = [c.encode(text) for text in part.column(part.num_columns - 1).to_pylist()]
-                new = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
-                       pa.array(map(c.decode, ids), pa.binary())]
+            for part in by_bytes(batch, batch.num_columns - 1):
+                flat, n = codes(part.column(part.num_columns - 1))
+                ends = np.cumsum(n)
+                ids = [flat[e - k : e].tobytes() for e, k in zip(ends.tolist(), n.tolist())]
+                new = [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], [*part.schema.names[:-1], n_out, ids_out, decoded_out])
 
     return frame.mapInArrow(run, schema)

@@ -11,24 +11,26 @@ from __future__ import annotations
 import functools
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm.chunks import TextCodes
+from statloom.llm.chunks import ChunkCodes
 from statloom.llm.common import col, cut, on_workers, saved_path
+from statloom.llm.words import by_bytes
 
 CHECKPOINT = 128
 BLOCK_IDS = 1 << 18
 LONGEST = 16
 
-#: Letters of one script with at most one blank before them are a single pre-token.
-PLAIN_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+#: Letters of one script with at most one blank before them are a single pre-token, and the marks that follow
+#: them are another; no apostrophe, which may begin a suffix.
+PLAIN_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!\"#$%&()*+,\-./:;<=>?@\[\]^_`{|}~]*)")
 #: The published spelling of bytes in byte-level vocabularies: printable ones stand for themselves, the others follow 0x100.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_SPELLING = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
@@ -126,32 +128,58 @@ def unpack(n: int, payload: bytes, checkpoints: bytes, table: tuple[int, np.ndar
 
 @functools.lru_cache(maxsize=2)
 def _tokenizer(path: str):
-    """One tokenizer per worker; special strings in a text are ordinary text, as in training data they should be."""
+    """One tokenizer per worker, as the library loads it; ids of plain words skip its pre-tokenizer."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    dtype = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
-    kind, merges = ("H" if dtype.itemsize == 2 else "I"), t.model
-
-    def encode(text: str) -> bytes:
-        if PLAIN_WORD.fullmatch(text):  # one pre-token: straight to the merges
-            if text.isascii():
-                spelled = text.replace(" ", BLANK)
-            else:
-                spelled = text.encode().decode("latin-1").translate(BYTE_SPELLING)
-            return array(kind, [x.id for x in merges.tokenize(spelled)]).tobytes()
-        return array(kind, t.encode(text, add_special_tokens=False).ids).tobytes()
-
-    return TextCodes(encode), dtype, t.get_vocab_size()
+    merges = t.model
+
+    @functools.lru_cache(maxsize=4096)
+    def marks(text: str) -> list[int]:
+        return t.encode(text, add_special_tokens=False).ids
+
+    def encode(text: str) -> list[int]:
+        plain = PLAIN_WORD.fullmatch(text)
+        if plain is None:
+            return t.encode(text, add_special_tokens=False).ids
+        word, rest = plain.groups()  # one pre-token: straight to the merges
+        if word.isascii():
+            spelled = word.replace(" ", BLANK)
+        else:
+            spelled = word.encode().decode("latin-1").translate(BYTE_SPELLING)
+        ids = [x.id for x in merges.tokenize(spelled)]
+        return ids + marks(rest) if rest else ids
+
+    return t, encode, np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
+
+
+class TextIds:
+    """Ids of whole texts.  Texts that hold the string of a special token are handed to the library as they are."""
+
+    def __init__(self, path: str):
+        self.tokenizer, encode, self.dtype = _tokenizer(path)
+        self.codes = ChunkCodes(encode, self.dtype)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = "|".join(re.escape(x.content) for x in added if x.content)
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        held = pc.match_substring_regex(texts, self.special) if self.special else pa.array(np.zeros(len(texts), dtype=bool))
+        flat, n = self.codes(pc.if_else(held, "", texts))
+        ends = np.cumsum(n)
+        out = [flat[e - k : e] for e, k in zip(ends.tolist(), n.tolist())]
+        for i in np.flatnonzero(held.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=self.dtype)
+        return out
 
 
 def _raw_blocks(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, dtype, _ = _tokenizer(path)
+        ids_of = TextIds(path)
+        dtype = ids_of.dtype
         end, part = np.array([end_id], dtype=dtype).tobytes(), TaskContext.get().partitionId()
         docs, lengths, pieces, held, first, block = [], [], [], 0, 0, 0
 
@@ -161,14 +189,14 @@ def _raw_blocks(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], ["part", "block", "first", "doc_ids", "lengths", "ids"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                code = encode(text.as_py()) + end
-                docs.append(doc_id), lengths.append(len(code) // dtype.itemsize), pieces.append(code)
-                held += lengths[-1]
-                if held >= BLOCK_IDS:
-                    yield flush()
-                    first, block = first + held, block + 1
-                    docs, lengths, pieces, held = [], [], [], 0
+            for rows in by_bytes(batch, 1):
+                for doc_id, ids in zip(rows.column(0).to_pylist(), ids_of(rows.column(1))):
+                    docs.append(doc_id), lengths.append(len(ids) + 1), pieces.append(ids.tobytes() + end)
+                    held += lengths[-1]
+                    if held >= BLOCK_IDS:
+                        yield flush()
+                        first, block = first + held, block + 1
+                        docs, lengths, pieces, held = [], [], [], 0
         if docs:
             yield flush()
 
@@ -177,7 +205,8 @@ def _raw_blocks(path: str, end_id: int):
 
 def _counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, dtype, size = _tokenizer(path)
+        t, _, dtype = _tokenizer(path)
+        size = t.get_vocab_size()
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
             for ids in batch.column(0):
@@ -190,7 +219,7 @@ def _counts(path: str):
 
 def _packed(path: str, lengths: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = _tokenizer(path)[1]
+        dtype = _tokenizer(path)[2]
         codes = canonical(lengths)
         for batch in batches:
             for i in range(batch.num_rows):
@@ -211,8 +240,9 @@ def write_ids(df: DataFrame, folder: str, path: str, end_id: int = 2, id_col: st
     text), so that not even a repeated id holds up one task, and encoded once; the counts of all ids make the
     code.  Only the counts (one number per vocabulary entry) and the ids per partition reach the driver.
     Defined cases: a null or empty text is the end id alone; a null id comes first; rows that repeat an id
-    follow one another in the order of their text's hash; other columns are ignored, whatever their names; an
-    empty table makes empty files.
+    follow one another in the order of their text's hash; other columns are ignored, whatever their names; a very
+    long text is one document of its block, encoded whole; an empty table makes empty files.  Strings of special
+    tokens inside a text become those tokens, as the library has it by default.
     """
     spark = df.sparkSession
     on_workers(spark)
@@ -254,7 +284,8 @@ def _read(spark: SparkSession, folder: str, schema: str, last: tuple) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decode_table(lengths)
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):  # one block at a time
+                r = batch.slice(i, 1).to_pylist()[0]
                 n = np.array(r["lengths"], dtype=np.int64)
                 ids = unpack(int(n.sum()), r["payload"], r["checkpoints"], table)
                 ends = np.cumsum(n)

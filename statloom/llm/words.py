@@ -60,12 +60,9 @@ class Words:
         data = np.frombuffer(whole.as_buffer(), dtype=np.uint8) if len(texts) else np.zeros(0, dtype=np.uint8)
         self.data = LOWER[data] if lower else data
         kinds = classes[self.data]
-        inside = np.zeros(len(data) + 2, dtype=bool)
-        inside[1:-1] = self._inside(kinds)
-        self.start = np.flatnonzero(inside[1:] & ~inside[:-1])
-        self.end = np.flatnonzero(inside[:-1] & ~inside[1:])
-        self.text_start = np.cumsum(lengths + 1) - lengths - 1
-        self.first = np.append(np.searchsorted(self.start, self.text_start), len(self.start))
+        text_start = np.cumsum(lengths + 1) - lengths - 1
+        self.start, self.end = self._bounds(kinds, text_start, lengths)
+        self.first = np.append(np.searchsorted(self.start, text_start), len(self.start))
         #: whether a word begins a piece: no word before it belongs to the same piece
         self.opens = np.zeros(len(self.start) + 1, dtype=bool)
         self.opens[np.searchsorted(self.start, np.flatnonzero(kinds == END))] = True
@@ -74,6 +71,12 @@ class Words:
         if hashed:
             self.hash = self._hashes()
 
+    def _bounds(self, kinds: np.ndarray, text_start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First bytes and ends of the words."""
+        inside = np.zeros(len(kinds) + 2, dtype=bool)
+        inside[1:-1] = self._inside(kinds)
+        return np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+
     def _inside(self, kinds: np.ndarray) -> np.ndarray:
         return kinds == LETTER
 

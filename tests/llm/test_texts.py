@@ -5,9 +5,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from statloom.llm import bpe, html_text, huffman, lines
+from statloom.llm.chunks import ChunkCodes
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,14 +63,21 @@ def test_bpe_agrees_with_tiktoken_and_round_trips(spark, docs, sf):
 def test_bpe_on_odd_strings():
     enc, codec = tiktoken_encoding(), bpe.codec(RANKS, public_tokenizers.PATTERN)
     rng = np.random.default_rng(3)
+    cases = []
     alphabet = list("ab  \n\n\t'sS1٣é,.!☃😀\u00a0\u2028\u1680\x1c\x85\u058b\u0c5c漢字")
     for _ in range(3000):
         text = "".join(rng.choice(alphabet, rng.integers(0, 14)))
         ids = enc.encode_ordinary(text)
-        got = codec.encode(text)
-        assert np.frombuffer(got, "<u4").tolist() == ids, repr(text)
-        assert codec.decode(got) == text.encode()
-    assert codec.encode("a" * 20_000) == np.array(enc.encode_ordinary("a" * 20_000), "<u4").tobytes()
+        cases.append((text, ids))
+    cases += [("a" * 20_000, enc.encode_ordinary("a" * 20_000)), (None, [])]
+    for size in (1 << 12, 20 << 20):  # with and without room to remember
+        codes = ChunkCodes(codec.ids, "<u4", size)
+        for at in range(0, len(cases), 200):
+            part = cases[at : at + 200]
+            flat, n = codes(pa.array([text for text, _ in part]))
+            for (text, ids), got in zip(part, np.split(flat, np.cumsum(n)[:-1])):
+                assert got.tolist() == ids, repr(text)
+                assert codec.decode(got.tobytes()) == (text or "").encode()
 
 
 def test_bpe_of_an_empty_table_and_a_poor_vocabulary(no_docs):
@@ -99,8 +108,8 @@ def test_token_files_agree_with_the_library(spark, docs, no_docs, sf):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    for df in (docs, spark.read.parquet(f"{sf}/documents.parquet"), no_docs):
+    special = spark.createDataFrame([(3, "a <|endoftext|> b"), (1, "<|endoftext|>"), (2, "x<|endoftext|>y  <|endoftext|>")], "doc_id long, text string")
+    for df in (docs, spark.read.parquet(f"{sf}/documents.parquet"), no_docs, special):
         folder = huffman.store_ids(df, JSON)
         want = [(r["doc_id"], [*t.encode(r["text"] or "", add_special_tokens=False).ids, 2]) for r in df.collect()]
         got = sorted(huffman.read_ids(spark, folder).collect(), key=lambda r: r["start"])
