@@ -3,10 +3,11 @@
 1. Every text gets a digest of its words and one key per band of its signature.  Texts of equal words are one node.
 2. Nodes that share a band key are candidates.  Every member of a key's group is verified against the group's
    smallest node, each such pair once, and verified links are joined into components.
-3. Groups that still span several components are settled pair by pair inside tasks: cells of bounded size hold
-   the shingles of their members, an inverted index counts the overlaps of all pairs that are not yet connected,
-   and only the links that connect something new come out.  So no link between different components is lost,
-   and no list of all pairs of a group is ever written.
+3. In groups that still span several components, the members outside the commonest component are probes.  Probes
+   are held in blocks of bounded bytes, and all members of the group stream past each block once: an inverted
+   index of the probes counts the overlaps, a few members at a time, and only links that connect something new
+   come out.  A probe that has found its way into a component is not compared with that component again.  So no
+   link between different components is lost, and no list of all pairs of a group is ever written.
 """
 
 from __future__ import annotations
@@ -21,20 +22,22 @@ from pyspark.sql import functions as F
 from statloom.llm.common import col, cut, fresh, on_workers
 from statloom.llm.graphs import components
 from statloom.llm.sketch import Shingles, band_keys, numbered, signatures
+from statloom.llm.words import by_bytes
 
 #: 42 bands of 6 slots find a pair of similarity 0.8 with probability 0.999997, of 0.9 with more than 1 - 1e-13.
 BANDS, BAND_SLOTS = 42, 6
 #: Candidate lists of at most so many rows (24 bytes each) are broadcast.
 BROADCAST_ROWS = 500_000
-CELL_ROWS = 1024
-TEXT_ROWS = 800
+#: Shingles of the probes of one block, in bytes, and matches that are counted at a time.
+PROBE_BYTES = 1 << 20
+MATCHES = 1_000_000
+TEXT_BYTES = 2 << 20
 
 
 def _sketched(bands: int, slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXT_ROWS):
-                part = batch.slice(at, TEXT_ROWS)
+            for part in by_bytes(batch, 2, TEXT_BYTES):
                 s = Shingles(part.column(2))
                 keys = band_keys(signatures(s, bands * slots), bands)
                 digests = np.frombuffer(b"".join(s.digests), dtype="<i8").reshape(-1, 2)
@@ -48,8 +51,7 @@ def _sketched(bands: int, slots: int):
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, TEXT_ROWS):
-            part = batch.slice(at, TEXT_ROWS)
+        for part in by_bytes(batch, 1, TEXT_BYTES):
             s = Shingles(part.column(1))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([numbered(s, i).tobytes() for i in range(part.num_rows)], pa.binary())], ["node", "shingles"])
@@ -70,69 +72,100 @@ def _verified(threshold: float):
     return run
 
 
-def new_links(nodes: list[int], roots: list[int], sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """Links of at least `threshold` that connect members of different roots, as few as connect them all.
-
-    All pairs of different roots are looked at: the members of the commonest root need not start a search.
-    """
-    parent = {r: r for r in roots}
-
-    def find(r):
-        while parent[r] != r:
-            parent[r] = parent[parent[r]]
-            r = parent[r]
-        return r
-
-    if len(parent) < 2:
-        return []
-    size = np.array([len(s) for s in sets])
-    values = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), size)
-    order = np.argsort(values, kind="stable")
-    place = np.empty(len(values), dtype=np.int64)
-    ordered = values[order]
-    group = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])) if len(values) else np.zeros(0, dtype=np.int64)
-    place[order] = group
-    count = np.bincount(group)
-    first = np.cumsum(count) - count
-    holders = owner[order]
-    names, times = np.unique(roots, return_counts=True)
-    commonest = names[times.argmax()]
-    ends = np.cumsum(size)
-    out = []
-    for x in np.flatnonzero(np.array(roots) != commonest).tolist():
-        mine = place[ends[x] - size[x] : ends[x]]
-        mine = mine[count[mine] > 1]
-        n = count[mine]
-        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - first[mine], n)
-        both = np.bincount(holders[at], minlength=len(sets))
-        for y in np.flatnonzero(both >= threshold * (size + size[x] - both)).tolist():
-            p, q = find(roots[x]), find(roots[y])
-            if p != q and size[x]:
-                parent[max(p, q)] = min(p, q)
-                out.append((nodes[x], nodes[y]))
-    return out
+class Probes:
+    """Members of a group that are looked for among the others, as an inverted index of their shingles."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.nodes: list[int] = []
+        self.roots: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.parent: dict[int, int] = {}
+        self.values = None
+
+    def add(self, node: int, root: int, shingles: np.ndarray) -> None:
+        self.nodes.append(node), self.roots.append(root), self.sets.append(shingles)
+
+    def find(self, root: int) -> int:
+        parent = self.parent
+        while parent.setdefault(root, root) != root:
+            parent[root] = parent[parent[root]]
+            root = parent[root]
+        return root
+
+    def _index(self) -> None:
+        self.size = np.array([len(x) for x in self.sets])
+        flat = np.concatenate(self.sets)
+        order = np.argsort(flat, kind="stable")
+        self.holder = np.repeat(np.arange(len(self.sets)), self.size)[order]
+        self.values, self.first = np.unique(flat[order], return_index=True)
+        self.count = np.diff(np.append(self.first, len(flat)))
+
+    def pass_by(self, nodes: list[int], roots: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Links between the members that come by and the probes, as few as connect what is not connected yet."""
+        if self.values is None:
+            self._index()
+        own = {self.find(r) for r in self.roots}
+        open_ = [k for k, r in enumerate(roots) if len(own) > 1 or self.find(r) not in own]
+        out, at = [], 0
+        while at < len(open_):
+            place, hits, to, matches = [], [], at, 0
+            while to < len(open_) and (to == at or matches < MATCHES):
+                x = sets[open_[to]]
+                p = np.minimum(np.searchsorted(self.values, x), max(len(self.values) - 1, 0))
+                p = p[self.values[p] == x] if len(self.values) else p[:0]
+                place.append(p), hits.append(int(self.count[p].sum()))
+                matches += hits[-1]
+                to += 1
+            flat = np.concatenate(place)
+            n = self.count[flat]
+            holder = self.holder[np.repeat(self.first[flat] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            probes = len(self.sets)
+            both = np.bincount(np.repeat(np.arange(to - at), hits) * probes + holder, minlength=(to - at) * probes).reshape(-1, probes)
+            size = np.array([len(sets[k]) for k in open_[at:to]])
+            near = (both > 0) & (both >= self.threshold * (size[:, None] + self.size - both))
+            for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+                k = open_[at + i]
+                p, q = self.find(roots[k]), self.find(self.roots[j])
+                if p != q:
+                    self.parent[max(p, q)] = min(p, q)
+                    out.append((nodes[k], self.nodes[j]))
+            at = to
+        return out
 
 
 def _settled(threshold: float):
+    """Rows come by bucket and block, probes first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, roots, sets = None, [], [], []
+        cell, probes = None, None
+        for batch in batches:
+            links, waiting, held = [], ([], [], []), 0
 
-        def done():
-            links = new_links(nodes, roots, sets, threshold)
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+            def passed():
+                if waiting[0]:
+                    links.extend(probes.pass_by(*waiting))  # noqa: B023
+                    for x in waiting:  # noqa: B023
+                        x.clear()
 
-        for batch in batches:
-            bucket, i, j, node, root = (batch.column(k).to_pylist() for k in range(5))
+            bucket, block, streams, node, root = (batch.column(k).to_pylist() for k in range(5))
             for k in range(batch.num_rows):
-                if (bucket[k], i[k], j[k]) != key:
-                    if len(nodes) > 1:
-                        yield done()
-                    key, nodes, roots, sets = (bucket[k], i[k], j[k]), [], [], []
-                nodes.append(node[k]), roots.append(root[k])
-                sets.append(np.frombuffer(batch.column(5)[k].as_buffer(), dtype=np.uint64))
-        if len(nodes) > 1:
-            yield done()
+                if (bucket[k], block[k]) != cell:
+                    passed()
+                    held = 0
+                    cell, probes = (bucket[k], block[k]), Probes(threshold)
+                shingles = np.frombuffer(batch.column(5)[k].as_buffer(), dtype=np.uint64)
+                if not streams[k]:
+                    probes.add(node[k], root[k], shingles.copy())
+                elif probes.nodes:
+                    for x, v in zip(waiting, (node[k], root[k], shingles)):
+                        x.append(v)
+                    held += shingles.nbytes
+                    if held > PROBE_BYTES:
+                        passed()
+                        held = 0
+            passed()
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
@@ -145,7 +178,7 @@ def near_duplicate_classes(
     Two documents are linked if the weighted Jaccard similarity of their five-word shingles is `threshold` or
     more; a class is a connected component.  Defined cases: null and empty texts, and texts of white space only,
     are copies of each other; texts under five words are linked only if their words are equal; words are compared
-    in lower case; a null id is smaller than all others; an empty table gives an empty result.
+    in lower case; a very long text is read whole, by itself; a null id is smaller than all others; an empty table gives an empty result.
     """
     on_workers(df.sparkSession)
     rows = df.select(
@@ -173,14 +206,19 @@ def near_duplicate_classes(
     rooted = members.where("members > 2").select("bucket", "node", "members").join(found, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
     rooted = cut(rooted, "dup-rooted")
-    open_groups = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-    blocks = F.ceil(F.col("members") / F.lit(CELL_ROWS)).cast("int")
-    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    cells = rooted.join(open_groups, "bucket").withColumns({"blocks": blocks, "block": block}).select(
-        "bucket", "node", "root", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
-            F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))).alias("cell"))
-    cells = cells.join(shingles, "node").select("bucket", "cell.i", "cell.j", "node", "root", "shingles")
-    cells = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    sizes = shingles.select(F.col("node"), F.octet_length("shingles").alias("bytes"))
+    shares = rooted.join(sizes, "node").groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    per_bucket = shares.groupBy("bucket").agg(
+        F.count("*").alias("roots"), F.max(F.struct("n", "root", "bytes")).alias("most"), F.sum("bytes").alias("bytes")).where("roots > 1")
+    # the probes are all but the members of the commonest component
+    per_bucket = cut(per_bucket.select("bucket", F.col("most.root").alias("commonest"), F.ceil(
+        (F.col("bytes") - F.col("most.bytes")) / F.lit(PROBE_BYTES)).cast("int").alias("blocks")), "dup-open")
+    opened = rooted.select("bucket", "node", "root").join(per_bucket, "bucket").withColumn("blocks", F.greatest("blocks", F.lit(1)))
+    cells = opened.where("root != commonest").select(
+        "bucket", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.lit(False).alias("streams"), "node", "root").union(opened.select(
+            "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("streams"), "node", "root"))
+    cells = cells.join(shingles, "node").select("bucket", "block", "streams", "node", "root", "shingles")
+    cells = cells.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "streams")
     more = cut(cells.mapInArrow(_settled(threshold), "a long, b long"), "dup-more-links")
     if more.take(1):
         stars = found.select(F.col("node").alias("a"), F.col("root").alias("b"))

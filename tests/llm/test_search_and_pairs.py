@@ -259,3 +259,67 @@ def test_rules_count_every_labelled_row_of_a_large_table(spark):
     rules = url_rules.mine_rules(spark.range(n).select(url.alias("url"), ((k % 3 == 0) & (k % 12 != 0) | (k % 3 == 2)).alias("bad")), "url", F.col("bad"))
     got = {tuple(r["tokens"]): (r["support"], r["confidence"]) for r in rules.collect()}
     assert got == {("h:hot",): (n // 4, 0.75), ("p:x",): (n // 4, 0.75)}
+
+
+def test_probes_find_every_link_that_connects():
+    rng = np.random.default_rng(6)
+    for trial in range(30):
+        base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+        sets = []
+        for _ in range(40):
+            keep = base[rng.random(60) < rng.choice([0.5, 0.85, 0.97])]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, rng.integers(0, 12), dtype=np.uint64)])))
+        sets.append(np.zeros(0, dtype=np.uint64))
+        roots = rng.integers(0, 12, len(sets)).tolist()
+        common = max(set(roots), key=roots.count)
+        probes = neardup.Probes(0.8)
+        for k, r in enumerate(roots):
+            if r != common:
+                probes.add(k, r, sets[k])
+        links = []
+        for at in range(0, len(sets), 7):
+            links += probes.pass_by(list(range(at, min(at + 7, len(sets)))), roots[at : at + 7], sets[at : at + 7])
+
+        def joined(pairs):
+            name = dict(zip(range(len(sets)), roots))
+            for a, b in pairs:
+                old, new = name[a], name[b]
+                name = {k: new if v == old else v for k, v in name.items()}
+            groups = {}
+            for k, v in name.items():
+                groups.setdefault(v, set()).add(k)
+            return {frozenset(g) for g in groups.values()}
+
+        every = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a]) and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+        assert joined(links) == joined(every) and len(links) < len(set(roots))
+
+
+def test_a_large_family_of_near_copies_and_very_long_texts(spark):
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for at in rng.integers(0, 400, int(rng.integers(0, 14))):
+            words[at] = f"x{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    long = " ".join(f"v{j}" for j in range(400_000))
+    rows += [(1000, long), (1001, long + " end"), (1002, "v5 " * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.mark_near_duplicates(df).collect()}
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(396)} for _, t in rows[:260]]
+    parent = list(range(260))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(260):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    assert [got[i] for i in range(260)] == [find(i) for i in range(260)]
+    assert got[1001] == 1000 and got[1002] == 1002
