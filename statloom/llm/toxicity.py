@@ -13,7 +13,6 @@ from the labelled texts; a table that brings its own categories can name them in
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ from statloom.llm.common import col, cut, fresh, on_workers
 CATEGORIES = ("insult", "repeated", "toxic")
 LETTERS = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 4, 7
-CACHE_WORDS = 300_000
+CACHE_WORDS = 80_000  # about 16 MB in a task
 ROWS = 512
 
 
@@ -189,11 +188,6 @@ def learn(
     return scorer
 
 
-@functools.lru_cache(maxsize=2)
-def _worker_scorer(names: tuple[str, ...], weights: tuple[bytes, ...]) -> Scorer:
-    return Scorer(list(names), [np.frombuffer(w) for w in weights])
-
-
 def score(df: DataFrame, scorer: Scorer, text_col: str = "text", prefix: str = "p_", keep: list[str] | None = None) -> DataFrame:
     """Add the probability of each category.  Whole texts are read; a null or empty text has the lowest there are."""
     on_workers(df.sparkSession)
@@ -205,7 +199,7 @@ def score(df: DataFrame, scorer: Scorer, text_col: str = "text", prefix: str = "
     names, weights = tuple(scorer.place), tuple(w.tobytes() for w in scorer.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = _worker_scorer(names, weights)
+        mine = Scorer(list(names), [np.frombuffer(w) for w in weights])  # of this task; what it has seen goes with it
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
