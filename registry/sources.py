@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from registry.base import DIRTY_SQL, dirty_orders, people, query, rd, table
-from statloom.functions.frames import scratch_dir
+from statloom.functions.frames import cut, scratch_dir
 from statloom.functions.missing import NA_TOKENS, normalise_missing
 from statloom.sources import readers, writers
 
@@ -39,6 +39,23 @@ def csv_scan_with_gaps(spark, sf):
     return readers.read_csv(spark, path)
 
 
+@query("csv_scan_split", f"""
+select doc_id, case when text in ({TOKENS}) then null else text end as text, lang, n_chars from documents""")
+def csv_scan_split(spark, sf):
+    """One large file with quoted line breaks, read in many ranges."""
+    path = _folder(spark, "csv")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", F.col("n_chars").cast("long").alias("n_chars"))
+    docs.coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    usual = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        return cut(readers.read_csv(spark, path), "csv-ranges")
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+
+
 @query("na_tokens", f"""
 with {DIRTY_SQL}
 select o_orderkey, o_totalprice, o_orderpriority, o_orderstatus,

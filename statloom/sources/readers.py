@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.functions.frames import chunks, col
+from statloom.functions.frames import chunks, col, cut
 from statloom.functions.missing import NUMBER_TEXT, NA_TOKENS, normalise_missing, number_or_null
+from statloom.sources import quoted
 
 WHOLE_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 # Texts that make a boolean column.
@@ -54,11 +55,25 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", schema: T.
              multi_line: bool = True, na_tokens=NA_TOKENS) -> DataFrame:
     """Scan CSV with a header; types inferred unless a schema is given.
 
-    Line breaks inside quotes are read right, at the price of one task per file.
-    `multi_line=False` splits large files and is an error if any line has an odd
-    number of quotes.  Production jobs should pass `schema`: it saves the
-    inference pass.
+    Line breaks inside quotes are read right.  UTF-8 files are read in ranges,
+    however large one file is (see `quoted`); other encodings take one task per
+    file.  `multi_line=False` saves the pass that looks for quotes and is an error
+    if any line has an odd number of them.  Production jobs should pass `schema`:
+    it saves the inference pass.
     """
+    if multi_line and encoding.upper().replace("_", "-") in ("UTF-8", "UTF8", "US-ASCII", "ASCII"):
+        rows = quoted.records(spark, path)
+        # without a schema the records are looked at several times
+        raw = quoted.parsed(rows if schema else cut(rows, "csv-records"), schema)
+    else:
+        raw = _plain_scan(spark, path, encoding, schema, multi_line)
+    if not raw.columns or raw.isEmpty():
+        raise EmptyInputError("CSV file is empty or has no columns.")
+    clean = normalise_missing(raw, na_tokens)
+    return clean if schema else infer_types(clean)
+
+
+def _plain_scan(spark: SparkSession, path: str, encoding: str, schema: T.StructType | None, multi_line: bool) -> DataFrame:
     if not multi_line:
         quotes = F.char_length("value") - F.char_length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
         if not spark.read.text(path).where(quotes % 2 == 1).isEmpty():
@@ -67,11 +82,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", schema: T.
         spark.read.option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"')
         .option("multiLine", multi_line).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     )
-    raw = reader.schema(schema).csv(path) if schema else reader.csv(path, inferSchema=False)
-    if not raw.columns or raw.isEmpty():
-        raise EmptyInputError("CSV file is empty or has no columns.")
-    clean = normalise_missing(raw, na_tokens)
-    return clean if schema else infer_types(clean)
+    return reader.schema(schema).csv(path) if schema else reader.csv(path, inferSchema=False)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
