@@ -246,6 +246,28 @@ def auto_correlation(spark, sf):
     return rounded(correlation.auto_correlation(table(spark, sf, "part")))
 
 
+WIDE = 40
+_WIDE_EXPR = {i: f"((o_orderkey * {2 * i + 7} + o_custkey * {i + 3}) % {31 + 13 * i}) * 1.0 + o_totalprice * {i % 5} / 100000" for i in range(WIDE)}
+_WIDE_GAP = {i: f"(o_orderkey + {i}) % {i % 7 + 5} = 0 or (o_custkey % 3 = {i % 3} and o_orderkey % 4 = 1)" for i in range(WIDE)}
+_WIDE_COLS = ", ".join(f"case when {_WIDE_GAP[i]} then null else {_WIDE_EXPR[i]} end as w{i}" for i in range(WIDE))
+
+
+@query("spearman_many_columns_with_gaps", f"""
+with wide as (select o_orderkey, {_WIDE_COLS} from orders),
+long as (select o_orderkey as id, unnest([{", ".join(str(i) for i in range(WIDE))}]) as k, unnest([{", ".join(f"w{i}" for i in range(WIDE))}]) as v from wide),
+pairs as (
+  select a.k as ka, b.k as kb, a.v as x, b.v as y from long a join long b on a.id = b.id and a.k < b.k where a.v is not null and b.v is not null),
+ranked as (
+  select ka, kb,
+    rank() over (partition by ka, kb order by x) + (count(*) over (partition by ka, kb, x) - 1) / 2.0 as rx,
+    rank() over (partition by ka, kb order by y) + (count(*) over (partition by ka, kb, y) - 1) / 2.0 as ry from pairs)
+select 'w' || ka as x, 'w' || kb as y, count(*) as n, {rd('corr(rx, ry)')} as r from ranked group by ka, kb""")
+def spearman_many_columns_with_gaps(spark, sf):
+    wide = spark.sql(f"select {_WIDE_COLS} from {{orders}}", orders=table(spark, sf, "orders"))
+    cols = [f"w{i}" for i in range(WIDE)]
+    return correlation.spearman(wide, list(combinations(cols, 2))).select("x", "y", "n", F.round("r", 6).alias("r"))
+
+
 @query("correlation_strength", f"""
 with {REG_SQL}, {_with_p(_pairs_sql('reg_lines', [('disc_price', 'charge'), ('l_extendedprice', 'charge'), ('l_discount', 'disc_price')]))}
 select x, y, n, {rd('r')} as r, {rd('p_value')} as p_value, p_value < 0.05 as significant, {LABEL} as strength, {SIDE} as direction,

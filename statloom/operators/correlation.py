@@ -11,14 +11,17 @@ from statloom.functions.frames import (
     TASK_ROWS, as_double, chunks, col, div, empty, local_table, union_all,
 )
 from statloom.functions.special import t_pvalue
+from statloom.operators.gappy import gappy_spearman, present_moments
 from statloom.operators.gram import column_means, pair_sums
-from statloom.operators.normality import normality
+from statloom.operators.normality import LARGE_ROWS, MIN_ROWS, normality, omnibus
 from statloom.operators.ranks import attach_ranks, non_null_counts
 from statloom.operators.roles import varying_numeric
 
 ALPHA = 0.05
 # Larger aggregates compile to methods the JVM interprets.
 PAIRS_PER_PASS = 6
+# Pairs with gaps that are ranked one by one.
+FEW_PAIRS = 3
 PAIR_SCHEMA = "x string, y string, n long, r double"
 
 
@@ -101,8 +104,9 @@ def spearman(df: DataFrame, pairs: list[tuple[str, str]], task_rows: int = TASK_
              broadcast_ok: bool = True) -> DataFrame:
     """(x, y, n, r, p_value): Pearson on exact average ranks.
 
-    Columns without nulls are ranked once and shared by their pairs; a pair
-    with nulls is ranked on its own complete rows.
+    Columns without nulls are ranked once and shared by their pairs.  A few pairs
+    with nulls are ranked on their own complete rows one by one; more of them
+    share one table of counts (see `gappy`), with equal results.
     """
     return with_r_pvalue(_rank_correlation(df, pairs, task_rows, broadcast_ok))
 
@@ -119,7 +123,9 @@ def _rank_correlation(df, pairs, task_rows, broadcast_ok, total=None, filled=Non
         used = [c for c in cols if any(c in p for p in whole)]
         parts.append(_ranked_pairs(df, used, whole, total, task_rows, broadcast_ok))
     rest = [p for p in pairs if p not in whole]
-    if rest:
+    if len(rest) > FEW_PAIRS:
+        parts.append(gappy_spearman(df, rest, task_rows))
+    elif rest:
         sizes = {(r["x"], r["y"]): r["n"] for r in _pair_sizes(df, rest).collect()}
         for a, b in rest:
             both = df.where(as_double(df, a).isNotNull() & as_double(df, b).isNotNull())
@@ -190,18 +196,10 @@ def auto_correlation(df: DataFrame, cols: list[str] | None = None, task_rows: in
         filled = {r["variable"]: r["n"] for r in moment_table.select("variable", "n").collect()}
     gaps = [p for p in pairs if filled[p[0]] < total or filled[p[1]] < total]
     shared = [c for c in cols if any(c in p for p in pairs if p not in gaps)]
-    probes, probe_of = {}, {}
-    for a, b in gaps:  # each side restricted to the pair's complete rows
-        both = as_double(df, a).isNotNull() & as_double(df, b).isNotNull()
-        for side in (a, b):
-            name = f"_probe_{len(probes)}"
-            probes[name] = F.when(both, as_double(df, side))
-            probe_of[(a, b, side)] = name
     tests = [normality(df, shared, moment_table)] if shared else []
-    if probes:
-        tests.append(normality(df.select(*[e.alias(n) for n, e in probes.items()]), list(probes)))
-    verdict = {r["variable"]: (r["is_normal"], r["n"]) for r in union_all(tests).collect()}
-    of = lambda a, b, side: verdict[probe_of.get((a, b, side), side)]
+    verdict = {r["variable"]: (r["is_normal"], r["n"]) for r in union_all(tests).collect()} if tests else {}
+    within = _normal_within(df, gaps) if gaps else {}
+    of = lambda a, b, side: within[a, b, side] if (a, b, side) in within else verdict[side]
     usable = [p for p in pairs if of(*p, p[0])[1] >= 5]
     normal = [p for p in usable if of(*p, p[0])[0] and of(*p, p[1])[0]]
     other = [p for p in usable if p not in normal]
@@ -216,6 +214,33 @@ def auto_correlation(df: DataFrame, cols: list[str] | None = None, task_rows: in
     return labelled(with_r_pvalue(union_all(parts)))
 
 
+def _normal_within(df: DataFrame, gaps: list[tuple[str, str]]) -> dict:
+    """(is_normal, n) by (a, b, side): each side of a pair on the pair's complete rows.
+
+    Large sides are judged by one matrix of moments; only sides with few rows are sorted.
+    """
+    cols = list(dict.fromkeys(c for pair in gaps for c in pair))
+    at = {c: i for i, c in enumerate(cols)}
+    moments = present_moments(df, cols)
+    size = {(r["i"], r["j"]): r["n"] for r in moments.select("i", "j", "n").collect()}
+    k2 = omnibus(moments.where((F.col("i") != F.col("j")) & (F.col("n") >= LARGE_ROWS)), ["i", "j"])
+    large = {(r["i"], r["j"]): r["p_value"] is not None and r["p_value"] > ALPHA for r in k2.collect()}
+    out, probes = {}, {}
+    for a, b in gaps:
+        for side, other in ((a, b), (b, a)):
+            key = (at[side], at[other])
+            n = size.get(key, 0)
+            out[a, b, side] = (large.get(key, False), n)
+            if MIN_ROWS <= n < LARGE_ROWS:
+                both = as_double(df, a).isNotNull() & as_double(df, b).isNotNull()
+                probes[f"_probe_{len(probes)}"] = (a, b, side, F.when(both, as_double(df, side)))
+    for part in chunks(list(probes), 200):
+        tested = normality(df.select(*[probes[name][3].alias(name) for name in part]), part)
+        for r in tested.collect():
+            out[probes[r["variable"]][:3]] = (r["is_normal"], r["n"])
+    return out
+
+
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Long form (x, y, n, r) with every ordered pair; the diagonal is 1."""
     cols = varying_numeric(df) if cols is None else cols
