@@ -8,6 +8,7 @@ from registry.base import REG_SQL, norm_ppf, query, rd, reg_lines, rounded, tabl
 from registry.modelling import ACF, TWO, _ordered, _two
 from statloom.operators import chartdata as cd
 from statloom.operators import regression as reg
+from statloom.operators.ranks import grouped_quantiles
 
 
 def _hist(source: str, c: str, bins: str, name: str | None = None) -> str:
@@ -44,6 +45,21 @@ def box_summary(spark, sf):
     return rounded(cd.box_summary(table(spark, sf, "events"), "value", "event_type"))
 
 
+NARROW = """select case when l_orderkey % 3 = 0 then 'large' when l_orderkey % 3 = 1 then concat('g', cast(l_partkey % 1500 as {text})) end as grp,
+       case when l_orderkey % 3 = 0 then 1000 + l_extendedprice / 1e9 else l_extendedprice end as value from {lineitem}"""
+
+
+@query("quantiles_of_large_groups", f"""
+with rows_of as ({NARROW.format(text='varchar', lineitem='lineitem')})
+select grp, count(*) as n, round(quantile_cont(value, 0.25), 9) as q1, round(quantile_cont(value, 0.5), 9) as median, round(quantile_cont(value, 0.75), 9) as q3
+from rows_of group by grp""")
+def quantiles_of_large_groups(spark, sf):
+    """A third of the rows in one group of a narrow range, a third without a group, the rest in very many."""
+    rows = spark.sql(NARROW.format(text="string", lineitem="{lineitem}"), lineitem=table(spark, sf, "lineitem"))
+    q = grouped_quantiles(rows, "value", ["grp"], [0.25, 0.5, 0.75], task_rows=2000)
+    return q.select("grp", "n", *[F.round(F.col("q")[i], 9).alias(name) for i, name in enumerate(("q1", "median", "q3"))])
+
+
 @query("box_summary_bucketed", f"""
 with {BOX} select grp, n, {rd('q1')} as q1, {rd('med')} as median, {rd('q3')} as q3,
   min(case when value between lo and hi then value end) as whisker_low, max(case when value between lo and hi then value end) as whisker_high,

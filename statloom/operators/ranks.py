@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.frames import (
-    TASK_ROWS, as_double, chunks, col, cut, div, lay_out, local_table, q, unpivot_numeric,
+    PIN_ROWS, TASK_ROWS, as_double, chunks, col, cut, div, lay_out, local_table, q, unpivot_numeric,
 )
+from statloom.operators.selection import large_group_quantiles
 
 # Buckets come from split points (a binary tree of comparisons per value) and,
 # above MAX_BUCKETS x task_rows rows, from equal slices between split points.
@@ -245,15 +246,6 @@ def _windowed_rank(df: DataFrame, rows: DataFrame, name: str, rank: str, splits:
 
 # --- exact quantiles -------------------------------------------------------
 
-def _interpolate(probs):
-    """Lower index and fraction of each quantile, given a count column `n`."""
-    out = []
-    for p in probs:
-        h = (F.col("n") - 1) * F.lit(float(p))
-        out.append((F.floor(h), h - F.floor(h)))
-    return out
-
-
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], task_rows: int = TASK_ROWS) -> dict:
     """Exact linear-interpolation quantiles: {column: [q1, q2, ...]} (None if no values).
 
@@ -427,42 +419,26 @@ def grouped_quantiles(df: DataFrame, value: str, by: list[str], probs: list[floa
                       task_rows: int = TASK_ROWS) -> DataFrame:
     """One row per group: by..., n, quantile array `q`; exact at any group size.
 
-    Groups of bounded size use the built-in percentile; larger groups are
-    ranked through value buckets, so no group is gathered in one task.
+    Groups of at most `task_rows` rows use the built-in percentile, however many
+    they are.  Larger ones are never gathered in one task: all of them are narrowed
+    together, each between cuts of its own (see `selection`).
     """
     rows = df.select(*[col(b) for b in by], as_double(df, value).alias("value")).where("value is not null")
     arr = F.array(*[F.lit(float(p)) for p in probs])
-    largest = rows.groupBy(*[q(b) for b in by]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
-    if (largest[0] or 0) <= task_rows:
-        return rows.groupBy(*[q(b) for b in by]).agg(
-            F.count(F.lit(1)).alias("n"), F.percentile("value", arr).alias("q")
-        )
-    splits = split_points(rows, ["value"], largest[1], task_rows)
     keys = [q(b) for b in by]
-    counts = (
-        with_bucket(rows, splits)
-        .groupBy(*keys, "bucket", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
-    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("n"))
-    # Groups are null-safe keys: a null group is a group of its own in groupBy.
-    ranked = rank_counts(
-        counts.select(F.struct(*[col(b).alias(f"k{i}") for i, b in enumerate(by)]).alias("g"), "bucket", "value", "n"),
-        ["g"],
-    ).select("g", "value", "ties", "below")
-    sizes = sizes.select(F.struct(*[col(b).alias(f"k{i}") for i, b in enumerate(by)]).alias("g"), "n")
-    joined = ranked.join(sizes, "g")
-    picks = []
-    for j, (low, frac) in enumerate(_interpolate(probs)):
-        for side in (0, 1):
-            pos = F.least(low + side, F.col("n") - 1)
-            hit = (F.col("below") <= pos) & (pos < F.col("below") + F.col("ties"))
-            weight = frac if side else 1 - frac
-            picks.append(F.sum(F.when(hit, F.col("value") * weight)).alias(f"v{j}_{side}"))
-    flat = joined.groupBy("g", "n").agg(*picks)
-    return flat.select(
-        *[F.col(f"g.k{i}").alias(b) for i, b in enumerate(by)], "n",
-        F.array(*[F.col(f"v{j}_0") + F.col(f"v{j}_1") for j in range(len(probs))]).alias("q"),
-    )
+    largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    whole = lambda frame: frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile("value", arr).alias("q"))
+    if largest <= task_rows:
+        return whole(rows)
+    # a null is a group of its own, as in groupBy; equal structs join whatever they hold
+    g = F.struct(*[col(b).alias(f"k{i}") for i, b in enumerate(by)])
+    large = cut(rows.groupBy(g.alias("g")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > task_rows), "large-groups")
+    # values of one sign of zero
+    keyed = rows.select(g.alias("g"), F.when(F.col("value") == 0, F.lit(0.0)).otherwise(F.col("value")).alias("value"))
+    exact = large_group_quantiles(keyed, large, probs, task_rows)
+    small = rows.withColumn("_g", g).join(F.broadcast(large.select(F.col("g").alias("_g"))) if large.limit(PIN_ROWS + 1).count() <= PIN_ROWS
+                                          else large.select(F.col("g").alias("_g")), "_g", "left_anti")
+    return whole(small).unionByName(exact.select(*[F.col(f"g.k{i}").alias(b) for i, b in enumerate(by)], "n", "q"))
 
 
 # --- global row order ------------------------------------------------------

@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from statloom.operators import ordered, ranks
+from statloom.operators import ordered, ranks, selection
 
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
 
@@ -122,3 +122,35 @@ def test_partial_autocorrelation_solves_yule_walker():
     for k in range(1, 5):
         matrix = np.array([[acf[abs(i - j)] for j in range(k)] for i in range(k)])
         assert pacf[k] == pytest.approx(np.linalg.solve(matrix, acf[1 : k + 1])[-1])
+
+
+def test_many_groups_one_of_which_is_large_and_narrow(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    n = 24_000
+    group = np.where(rng.random(n) < 1 / 3, -1, rng.integers(0, 900, n))
+    x = np.where(group == -1, 50 + rng.normal(0, 1e-7, n), rng.lognormal(0, 4, n))
+    x[(group == -1) & (rng.random(n) < 0.4)] = 50.0
+    x[(group == -1) & (rng.random(n) < 0.01)] = np.inf
+    group = np.where(group == 7, -2, group)
+    group[: n // 10] = -2
+    x[: n // 20] = -0.0
+    frame = pd.DataFrame({"k": [None if v == -2 else f"g{v}" for v in group], "z": group % 2, "x": x})
+    df = spark.createDataFrame(frame).repartition(7)
+    largest = []
+    plain = selection._sorted_picks
+    monkeypatch.setattr(selection, "_sorted_picks", lambda rows, spots: (
+        largest.append(spots.agg(F.max("size")).first()[0]), plain(rows, spots))[1])
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    rows = ranks.grouped_quantiles(df, "x", ["k", "z"], probs, task_rows=300).collect()
+    got = {(r["k"], r["z"]): (r["n"], list(r["q"])) for r in rows}
+    want = frame.groupby(["k", "z"], dropna=False)["x"]
+    assert len(rows) == len(got) == want.ngroups
+    for (k, z), part in want:
+        key = (None if not isinstance(k, str) else k, z)
+        assert got[key][0] == len(part)
+        ordered_values = np.sort(part.to_numpy())
+        for p, q in zip(probs, got[key][1]):
+            h = (len(part) - 1) * p
+            a, b = ordered_values[int(h)], ordered_values[min(len(part) - 1, int(h) + 1)]
+            assert q == (a if a == b else pytest.approx(a + (b - a) * (h - int(h)), rel=1e-12))
+    assert largest and largest[0] <= 300
