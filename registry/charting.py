@@ -174,6 +174,39 @@ def violin_density(spark, sf):
     return rounded(cd.violin_density(table(spark, sf, "events"), "value", "event_type"), 6, density=8)
 
 
+VIOLIN = """
+g as (select event_type as grp, count(*) as n, min(value) as lo, max(value) as hi, stddev_samp(value) as sd,
+  quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.5) as median, quantile_cont(value, 0.75) as q3 from events group by 1),
+shape as (
+  select grp, n, lo, hi, (hi - lo) / 99 as step, 1.059 * least(sd, case when q3 > q1 then (q3 - q1) / 1.349 else sd end) * pow(n, -0.2) as h,
+    q1, median, q3, q1 - 1.5 * (q3 - q1) as fence_low, q3 + 1.5 * (q3 - q1) as fence_high from g),
+fine as (select *, greatest(1024, least(16384, cast(ceil(16 * (hi - lo) / h) as integer) + 1)) as bins from shape),
+wide as (select *, (hi - lo) / (bins - 1) as w from fine),
+shared as (
+  select grp, least(bins - 2, cast(floor((value - lo) / w) as integer)) as bin, (value - lo) / w as place from events join wide on event_type = grp),
+centres as (
+  select grp, bin, sum(1 - (place - bin)) as weight from shared group by 1, 2
+  union all select grp, bin + 1, sum(place - bin) from shared group by 1, 2),
+density as (
+  select s.grp, i as point, s.lo + i * s.step as x,
+    sum(c.weight * exp(-pow((s.lo + i * s.step - (s.lo + c.bin * s.w)) / s.h, 2) / 2)) / (max(s.n) * max(s.h) * sqrt(2 * pi())) as density
+  from wide s join centres c on c.grp = s.grp, range(100) r(i) group by s.grp, i, s.lo, s.step),
+ends as (
+  select s.grp, min(value) filter (value between fence_low and fence_high) as whisker_low, max(value) filter (value between fence_low and fence_high) as whisker_high
+  from events join shape s on event_type = s.grp group by s.grp)"""
+
+
+@query("violin", f"""
+with {VIOLIN}
+select grp, 'density' as part, cast(point as integer) as point, {rd('x')} as x, {rd('density', 8)} as density from density
+union all select grp, unnest(['q1', 'median', 'q3']), null, unnest([{rd('q1')}, {rd('median')}, {rd('q3')}]), null from shape
+union all select grp, unnest(['whisker_low', 'whisker_high']), null, unnest([{rd('whisker_low')}, {rd('whisker_high')}]), null from ends
+union all select s.grp, 'outlier', null, {rd('value')}, null from events join shape s on event_type = s.grp where value < fence_low or value > fence_high""")
+def violin(spark, sf):
+    """Density from bins, box and outliers."""
+    return rounded(cd.violin(table(spark, sf, "events"), "value", "event_type"), 6, density=8)
+
+
 def _qq(rows: str) -> str:
     """CTE `qq(rank, n, theoretical, sample)` from a one-column relation `v(sample)`."""
     return f"""ranked as (select sample, row_number() over (order by sample) as rank, count(*) over () as n from ({rows})),

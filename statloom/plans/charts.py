@@ -59,7 +59,7 @@ def chart_tables(df: DataFrame, found: Findings) -> dict[str, DataFrame]:
         if kind == "scatter":
             out[title] = chartdata.trend_line(df, cols[0], cols[1], cols[2] if len(cols) > 2 else None)
         elif kind == "violin":
-            out[title] = chartdata.violin_density(df, cols[0], cols[1])
+            out[title] = chartdata.violin(df, cols[0], cols[1])
         elif kind == "stacked":
             out[title] = chartdata.stacked_percent(df, *cols)
         elif kind == "histogram":

@@ -152,6 +152,33 @@ def test_qq_points_of_tied_values(skewed, monkeypatch, task_rows, piece):
     assert (line["slope"], line["intercept"]) == (pytest.approx(slope), pytest.approx(intercept))
 
 
+@pytest.mark.parametrize("tail", [0.0, 1e4])
+def test_binned_density_is_within_its_bound(spark, tail):
+    rng = np.random.default_rng(17)
+    x = np.concatenate([rng.normal(0, 1, 1500), rng.exponential(3, 500), [tail]])
+    x[:300] = 0.25
+    frame = pd.DataFrame({"g": ["a"] * 2001 + ["b"] * 40 + ["flat"] * 3, "x": np.concatenate([x, rng.uniform(0, 1, 40), [2.0] * 3])})
+    df = spark.createDataFrame(frame)
+    exact = cd.violin_density(df, "x", "g").toPandas().set_index(["grp", "point"])
+    binned = cd.violin_binned(df, "x", "g").toPandas().set_index(["grp", "point"])
+    assert set(exact.index) == set(binned.index) and len(exact) == 200
+    off = (binned["density"] - exact["density"].reindex(binned.index)).abs()
+    assert (off <= binned["error_bound"] * (1 + 1e-9) + 1e-15).all() and off.max() > 0
+    parts = cd.violin(df, "x", "g").toPandas()
+    box = cd.box_summary(df, "x", "g").toPandas().set_index("grp")
+    for name in ("q1", "median", "q3", "whisker_low", "whisker_high"):
+        assert parts[parts["part"] == name].set_index("grp")["x"].to_dict() == box[name].to_dict()
+    assert parts[parts["part"] == "outlier"].groupby("grp").size().to_dict() == {g: n for g, n in box["outliers"].items() if n}
+    assert cd.violin(df.where("false"), "x", "g").count() == 0
+
+
+def test_a_chart_that_fails_on_its_rows_shows_in_the_status(spark):
+    df = spark.range(10).selectExpr("cast(id as double) as ok", "case when id < 9 then 1.0D else raise_error('broken row') end as bad")
+    made, status = cd.run_requests(df, [{"type": "histogram", "columns": ["ok"], "title": "a"}, {"type": "bar", "column": "bad", "title": "b"}])
+    rows = {r["title"]: r["error"] for r in status.collect()}
+    assert set(made) == {"a"} and rows["a"] is None and "broken row" in rows["b"]
+
+
 def test_radar_scales_by_the_largest_mean(spark):
     df = spark.createDataFrame([("a", 1.0, 0.0), ("b", 4.0, 0.0), ("c", 2.0, 0.0)], "g string, v double, zero double")
     got = {(r["category"], r["metric"]): r["scaled"] for r in cd.radar(df, "g", ["v", "zero"], k=2).collect()}
