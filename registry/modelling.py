@@ -279,3 +279,21 @@ def regression_run_tables(spark, sf):
     df = reg_lines(spark, sf).drop("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     run = regression_run(df)
     return rounded(run.tables["coefficients"], 4)
+
+
+NEARLY = "l_linenumber / 8.0D as u, l_linenumber / 8.0D + (l_partkey % 17 - 8) / 2147483648.0D as w, l_extendedprice / 1000 as y"
+
+
+@query("ols_nearly_collinear", """
+with rows_of as (select l_linenumber / 8.0 as u, cast(l_partkey % 17 - 8 as double) as v, l_extendedprice / 1000 as y from lineitem),
+s as (select covar_pop(u, u) as uu, covar_pop(v, v) as vv, covar_pop(u, v) as uv, covar_pop(u, y) as uy, covar_pop(v, y) as vy,
+  avg(u) as mu, avg(v) as mv, avg(y) as my from rows_of),
+b as (select (uy * vv - vy * uv) / (uu * vv - uv * uv) as bu, (vy * uu - uy * uv) / (uu * vv - uv * uv) as bv, mu, mv, my from s)
+select 'const' as variable, round(my - bu * mu - bv * mv, 4) as coefficient from b
+union all select 'u', round(bu / 2147483648 - bv, 6) from b union all select 'w', round(bv, 6) from b""")
+def ols_nearly_collinear(spark, sf):
+    """Two predictors that differ by billionths: the condition is about 1e9, its square beyond double precision."""
+    rows = spark.sql(f"select {NEARLY} from {{lineitem}}", lineitem=table(spark, sf, "lineitem"))
+    c = reg.fit_ols(rows, "y", ["u", "w"]).coefficients()
+    scaled = F.when(F.col("variable") == "const", F.round("coefficient", 4)).otherwise(F.round(F.col("coefficient") / 2147483648, 6))
+    return c.select("variable", scaled.alias("coefficient"))

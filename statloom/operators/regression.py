@@ -1,8 +1,7 @@
 """Ordinary least squares with diagnostics.
 
-Four scans whatever the row count: column centres, a Gram matrix, residual
-sums, and (when an order is given) lag products.  The p x p algebra runs on the
-driver; predictions and residuals are column expressions over the source rows.
+Four scans whatever the row count: column centres, a QR factor, residual sums,
+and (when an order is given) lag products.  The p x p algebra runs on the driver; predictions and residuals are column expressions over the source rows.
 """
 
 from __future__ import annotations
@@ -19,13 +18,15 @@ from pyspark.sql import functions as F
 from statloom.functions import special
 from statloom.functions.frames import as_double, chunks, col, local_table
 from statloom.operators.correlation import pair_aggregate
-from statloom.operators.gram import column_means, pair_sums
+from statloom.operators.gram import column_means
 from statloom.operators.ordered import LagSums, lag_sums, partial_autocorrelation
 from statloom.operators.roles import varying_numeric
+from statloom.operators.tallskinny import triangular_factor
 
 ALPHA = 0.05
 MAX_LAGS = 20
-# Correlation-matrix eigenvalues below this (times p) count as exact collinearity.
+# Singular values of the scaled predictors (and, for VIF, shares left unexplained) below this, times p, count as
+# exact collinearity.
 RANK_TOLERANCE = 1e-12
 
 
@@ -66,6 +67,7 @@ class OLSFit:
     beta: np.ndarray  # intercept first
     unscaled_cov: np.ndarray  # (X'X)^+, intercept first
     rank: int  # including the intercept
+    factor: np.ndarray  # triangular factor of the centred predictors
     order_by: list[str] | None = None
     _lags: dict = field(default_factory=dict)
 
@@ -166,13 +168,11 @@ class OLSFit:
 
     def condition_number(self) -> float:
         """Ratio of extreme singular values of the design matrix, from a triangular factor."""
-        s, x = self.centred[1:, 1:], self.means[1:]
+        x = self.means[1:]
         if self.rank < len(x) + 1:
             return math.inf
-        scale = np.sqrt(np.diag(s))
-        root = np.linalg.cholesky(s / np.outer(scale, scale)) * scale[:, None]
         top = np.concatenate([[1.0], x]) * math.sqrt(self.n)
-        factor = np.vstack([top, np.column_stack([np.zeros(len(x)), root.T])])
+        factor = np.vstack([top, np.column_stack([np.zeros(len(x)), self.factor])])
         values = np.linalg.svd(factor, compute_uv=False)
         return float(values[0] / values[-1])
 
@@ -335,36 +335,35 @@ def fit_ols(df: DataFrame, target: str | None = None, predictors: list[str] | No
     source = complete_rows(df, names)
     p = len(predictors)
     centres = column_means(source, names)
-    sums = pair_sums(source, names, centres, complete=True).collect()
-    n = int(max((r["n"] for r in sums), default=0))
+    # predictors first: the last column of the factor is the target's
+    n, factor = triangular_factor(source, [*predictors, target], [*centres[1:], centres[0]])
     if n < p + 2:
         raise ValueError(f"Not enough complete rows ({n}) for {p} predictors.")
-    shift, cross = np.zeros(p + 1), np.zeros((p + 1, p + 1))
-    for r in sums:
-        cross[r["i"], r["j"]] = cross[r["j"], r["i"]] = r["sxy"]
-        if r["i"] == r["j"]:
-            shift[r["i"]] = r["sx"]
-    centred = cross - np.outer(shift, shift) / n
-    means = np.array(centres) + shift / n
-    beta, cov, rank = _solve(centred, means, n)
-    return OLSFit(source, target, predictors, n, means, centred, beta, cov, rank, order_by)
-
-
-def _solve(centred: np.ndarray, means: np.ndarray, n: int):
-    """Slopes, intercept and (X'X)^+ from centred products; target first."""
-    s, sy, x = centred[1:, 1:], centred[1:, 0], means[1:]
+    shift = factor[0, 1:] / factor[0, 0]
+    means = np.array(centres) + np.concatenate([shift[-1:], shift[:-1]])
+    below = factor[1:, 1:]  # the factor of the columns less their means
+    order = [p, *range(p)]
+    centred = (below.T @ below)[np.ix_(order, order)]
+    beta, cov, rank = _solve(below[:p, :p], below[:p, p], means, n)
+    return OLSFit(source, target, predictors, n, means, centred, beta, cov, rank, below[:p, :p], order_by)
+
+
+def _solve(factor: np.ndarray, target: np.ndarray, means: np.ndarray, n: int):
+    """Slopes, intercept and (X'X)^+ from the triangular factor of the centred predictors; target first in `means`."""
+    x = means[1:]
     p = len(x)
-    scale = np.sqrt(np.maximum(np.diag(s), 0.0))
+    scale = np.linalg.norm(factor, axis=0)
     noise = math.sqrt(n) * 1e-13 * np.maximum(np.abs(x), 1e-300)
     flat = scale <= noise
     unit = np.where(flat, 1.0, scale)
-    r = np.where(np.outer(flat, flat), 0.0, s / np.outer(unit, unit))
-    r[flat, :] = r[:, flat] = 0.0
-    values, vectors = np.linalg.eigh(r)
-    keep = values > RANK_TOLERANCE * p
-    inv = (vectors[:, keep] / values[keep]) @ vectors[:, keep].T
+    left, values, right = np.linalg.svd(np.where(flat, 0.0, factor / unit))
+    # values that rounding alone can make: of the sums, and of columns that lie far from zero
+    rounding = 8 * np.finfo(float).eps * math.sqrt(n) * float(np.max(np.abs(x) / unit, initial=0.0))
+    keep = values > max(RANK_TOLERANCE * p, rounding)
+    vectors = right.T
+    inv = (vectors[:, keep] / values[keep] ** 2) @ vectors[:, keep].T
     g = inv / np.outer(unit, unit)
-    slopes = g @ sy
+    slopes = (vectors[:, keep] / values[keep]) @ (left[:, keep].T @ target) / unit
     beta = np.concatenate([[means[0] - x @ slopes], slopes])
     gx = g @ x
     cov = np.empty((p + 1, p + 1))

@@ -179,6 +179,21 @@ def test_a_chart_that_fails_on_its_rows_shows_in_the_status(spark):
     assert set(made) == {"a"} and rows["a"] is None and "broken row" in rows["b"]
 
 
+@pytest.mark.parametrize("parts", [1, 7, 150])
+def test_nearly_collinear_predictors_keep_their_digits(spark, parts):
+    rng = np.random.default_rng(31)
+    n = 4000
+    a = rng.normal(0, 1, n)
+    u, v = rng.integers(-8, 9, n) / 8.0, rng.integers(-8, 9, n) * 2.0**-31  # exact in floating point
+    frame = pd.DataFrame({"a": a, "u": u, "w": u + v})  # condition about 1e9
+    frame["y"] = 3.0 + 2.0 * frame["a"] + 2.0**31 * v + 5.0 * u
+    fit = reg.fit_ols(spark.createDataFrame(frame).repartition(parts), "y", ["a", "u", "w"])
+    assert fit.rank == 4 and fit.condition_number() > 5e8
+    assert fit.beta == pytest.approx([3.0, 2.0, 5.0 - 2.0**31, 2.0**31], rel=1e-6)
+    copies = reg.fit_ols(spark.createDataFrame(frame.assign(w=frame["u"])).repartition(parts), "y", ["a", "u", "w"])
+    assert copies.rank == 3 and copies.condition_number() == np.inf and copies.beta[2] == pytest.approx(copies.beta[3])
+
+
 def test_radar_scales_by_the_largest_mean(spark):
     df = spark.createDataFrame([("a", 1.0, 0.0), ("b", 4.0, 0.0), ("c", 2.0, 0.0)], "g string, v double, zero double")
     got = {(r["category"], r["metric"]): r["scaled"] for r in cd.radar(df, "g", ["v", "zero"], k=2).collect()}
