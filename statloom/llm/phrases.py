@@ -37,7 +37,9 @@ NO_LANG = "und"
 MASS_BITS = 12
 #: Occurrences that one merging task should stand for.
 RANGE_MASS = 8_000_000
-HELD_ROWS = 400_000
+HELD_ROWS = 150_000
+#: Bytes of text that are counted at a time.
+TEXT_BYTES = 2 << 20
 _CLASSES = byte_classes(BLANKS, STOPS)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -109,7 +111,7 @@ def _words_and_masses(longest: int):
             return t.rename_columns(["lang", "word", "n"])
 
         for batch in batches:
-            for part in by_bytes(batch, 1):
+            for part in by_bytes(batch, 1, TEXT_BYTES):
                 s = Slice(part.column(0), part.column(1))
                 if not len(s.at):
                     continue
@@ -139,7 +141,7 @@ def _words_and_masses(longest: int):
 def _slices(batches: Iterator[pa.RecordBatch], maps: list[Bitmap]) -> Iterator[Slice]:
     """Slices taken to the n-grams of one word more than the last bitmap judges."""
     for batch in batches:
-        for part in by_bytes(batch, 1):
+        for part in by_bytes(batch, 1, TEXT_BYTES):
             s = Slice(part.column(0), part.column(1))
             s.longer()
             for m in maps:
@@ -223,7 +225,7 @@ def _exact(maps):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judges = [Bitmap(*m.value) for m in maps]
         for batch in batches:
-            for part in by_bytes(batch, 1):
+            for part in by_bytes(batch, 1, TEXT_BYTES):
                 s = Slice(part.column(0), part.column(1))
                 keep = None
                 for m in judges:
