@@ -397,6 +397,23 @@ def mann_whitney(spark, sf):
     return _scaled(groups.compare_groups(table(spark, sf, "lineitem"), "mannwhitney", MW_PAIRS))
 
 
+@query("mann_whitney_exact", f"""
+with placed as (select o_orderkey, row_number() over (order by o_totalprice desc, o_orderkey) <= 2 as dear, row_number() over (order by o_orderkey) as r from orders),
+u as (select cast(sum(r) filter (not dear) as double) - (count(*) - 2.0) * (count(*) - 1.0) / 2 as statistic, count(*) as n from placed),
+t as (select *, cast(least(statistic, 2.0 * (n - 2) - statistic) as bigint) as tail from u),
+places as (select unnest(range(tail // 2 + 1)) as a, tail, n from t),
+ways as (select sum(least(n - 2, tail - a) - a + 1) as ways from places where a <= n - 2)
+select 'dear' as category, 'o_orderkey' as variable, n, {rd('statistic / 1e6')} as statistic,
+  {rd('least(1.0, 2.0 * ways / (n * (n - 1.0) / 2))')} as p_value, 'exact' as method from t, ways""")
+def mann_whitney_exact(spark, sf):
+    """The two dearest orders against all others: exact however many the others are."""
+    orders = table(spark, sf, "orders")
+    dear = {r["o_orderkey"] for r in orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(2).collect()}
+    marked = orders.select("o_orderkey", F.col("o_orderkey").isin(dear).alias("dear"))
+    out = groups.mann_whitney_pairs(marked, [("dear", "o_orderkey")], min_group=2)
+    return rounded(out.select("category", "variable", "n", (F.col("statistic") / 1e6).alias("statistic"), "p_value", "method"))
+
+
 KW_PAIRS = [("event_type", "value"), ("event_type", "user_id")]
 
 

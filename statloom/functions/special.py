@@ -8,6 +8,8 @@ column expressions (`with_norm_ppf`) and stays inside generated JVM code.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -240,24 +242,70 @@ def t_quantile(p: float, df: float) -> float:
     return 0.5 * (lo + hi)
 
 
-# Beyond this many table entries the normal approximation is used.
-EXACT_U_LIMIT = 1_000_000
+#: Up to this many values on the smaller side the exact U is a closed form, at any size of the other side.
+FEW = 8
 
 
-def mann_whitney_exact(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact p of the larger U, by counting rank arrangements."""
-    m, n = (n1, n2) if n1 <= n2 else (n2, n1)
-    top = m * n
-    tail = int(round(min(u, top - u)))
+@lru_cache(maxsize=FEW)
+def _at_most(m: int) -> tuple[int, list[int]]:
+    """Period and numerator of the series that counts multisets of parts 1, 1, 2, ..., m by their sum.
+
+    1 / ((1 - q) (1 - q) (1 - q^2) ... (1 - q^m)) is brought over (1 - q^period)^(m + 1): each factor 1 - q^i is
+    filled up with 1 + q^i + ... + q^(period - i), so the numerator is a polynomial that depends on m alone.
+    """
+    period = math.lcm(*range(1, m + 1))
+    numerator = [1]
+    for part in (1, *range(1, m + 1)):
+        grown = [0] * (len(numerator) + period - part)
+        for k in range(period // part):
+            for j, c in enumerate(numerator):
+                grown[j + k * part] += c
+        numerator = grown
+    return period, numerator
+
+
+def _fillings(m: int, total: int) -> int:
+    """Number of multisets of the parts 1, 1, 2, ..., m with the given sum."""
+    period, numerator = _at_most(m)
+    return sum(numerator[r] * math.comb((total - r) // period + m, m) for r in range(total % period, min(total, len(numerator) - 1) + 1, period))
+
+
+@lru_cache(maxsize=FEW)
+def _signed_sums(m: int) -> list[tuple[int, int, int]]:
+    """(size, sum, signed number) of the subsets of 1..m."""
+    counts = {(0, 0): 1}
+    for i in range(1, m + 1):
+        for (k, s), c in list(counts.items()):
+            counts[k + 1, s + i] = counts.get((k + 1, s + i), 0) - c
+    return [(k, s, c) for (k, s), c in counts.items()]
+
+
+def arrangements_up_to(tail: int, n1: int, n2: int) -> int:
+    """Number of rank arrangements of n1 and n2 untied values whose U is at most `tail`.
+
+    The Gaussian binomial is the product of (1 - q^(n + i)) / (1 - q^i) for i up to the smaller side m.  For m up to
+    FEW the numerator is multiplied out, at most 2^m signed powers, and each of them needs one value of the series
+    of `_at_most`: the work depends on m alone.  Larger sides take a table of tail + 1 counts.
+    """
+    m, n = sorted((n1, n2))
+    if tail < 0:
+        return 0
+    if m <= FEW:
+        return sum(c * _fillings(m, tail - k * n - s) for k, s, c in _signed_sums(m) if k * n + s <= tail)
     counts = [0] * (tail + 1)
     counts[0] = 1
-    # Gaussian binomial coefficients: multiply by (1 - q^(n+i)), divide by (1 - q^i).
     for i in range(1, m + 1):
         for j in range(tail, n + i - 1, -1):
             counts[j] -= counts[j - n - i]
         for j in range(i, tail + 1):
             counts[j] += counts[j - i]
-    return min(1.0, 2.0 * sum(counts) / math.comb(m + n, m))
+    return sum(counts)
+
+
+def mann_whitney_exact(u: float, n1: int, n2: int) -> float:
+    """Two-sided exact p of a U without ties, by counting rank arrangements."""
+    tail = int(round(min(u, n1 * n2 - u)))
+    return min(1.0, float(Fraction(2 * arrangements_up_to(tail, n1, n2), math.comb(n1 + n2, min(n1, n2)))))
 
 
 def omnibus(n: float, skew: float, kurt: float) -> tuple[float, float]:

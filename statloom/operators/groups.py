@@ -14,7 +14,7 @@ from statloom.functions.frames import (
     TASK_ROWS, as_double, broadcast_if_small, col, div, empty, local_table, pin, union_all,
 )
 from statloom.functions.special import (
-    EXACT_U_LIMIT, chi2_pvalue, f_pvalue, mann_whitney_exact_pvalue, norm_upper, t_pvalue,
+    FEW, chi2_pvalue, f_pvalue, mann_whitney_exact_pvalue, norm_upper, t_pvalue,
 )
 from statloom.operators.describe import finite, moment_aggs
 from statloom.operators.normality import grouped_normality
@@ -148,12 +148,15 @@ def rank_sums(df: DataFrame, pairs: list[tuple[str, str]], usable: DataFrame,
     return _named(sums, pairs)
 
 
-def mann_whitney(sums: DataFrame) -> DataFrame:
-    """Two-sided Mann-Whitney U of the first group, for keys with two groups.
+def mann_whitney(sums: DataFrame, method: str = "auto") -> DataFrame:
+    """Two-sided Mann-Whitney U of the first group, for keys with two groups, and the `method` of its p-value.
 
-    Exact when a side has at most 8 values and nothing is tied (up to
-    EXACT_U_LIMIT table entries); else normal with tie and continuity correction.
+    method "auto" is exact where a side has at most FEW values and nothing is tied, at any size of the other side;
+    "exact" is exact wherever nothing is tied, which takes time n1 * n2 when both sides are larger; "normal" never is.
+    Otherwise the p-value is normal with tie and continuity correction.
     """
+    if method not in ("auto", "exact", "normal"):
+        raise ValueError(f"unknown method {method!r}")
     pair = _two_groups(sums, ["n", "rank_sum"], F.sum("tie_term").alias("tie_term"))
     a, b = F.col("a"), F.col("b")
     n1, n2 = a["n"].cast("double"), b["n"].cast("double")
@@ -161,17 +164,18 @@ def mann_whitney(sums: DataFrame) -> DataFrame:
     u1 = a["rank_sum"] - n1 * (n1 + 1) / 2.0
     upper = F.greatest(u1, n1 * n2 - u1)
     sd = F.sqrt(n1 * n2 / 12.0 * ((total + 1) - F.col("tie_term") / (total * (total - 1))))
-    few = (F.least(n1, n2) <= 8) & (F.col("tie_term") == 0) & (n1 * n2 <= EXACT_U_LIMIT)
+    small = {"auto": F.least(n1, n2) <= FEW, "exact": F.lit(True), "normal": F.lit(False)}[method]
+    exact = small & (F.col("tie_term") == 0)
     flat = pair.select(
         *KEYS, F.lit(2).cast("long").alias("groups"), (a["n"] + b["n"]).alias("n"), u1.alias("statistic"),
-        F.when(few, upper).alias("_u"), a["n"].alias("_n1"), b["n"].alias("_n2"),
-        div(upper - n1 * n2 / 2.0 - 0.5, sd).alias("_z"),
+        F.when(exact, upper).alias("_u"), a["n"].alias("_n1"), b["n"].alias("_n2"),
+        div(upper - n1 * n2 / 2.0 - 0.5, sd).alias("_z"), F.when(exact, "exact").otherwise("normal").alias("method"),
     )
     normal = F.coalesce(F.least(F.lit(1.0), 2.0 * norm_upper("_z")), F.lit(1.0))  # no spread: p = 1
     return flat.select(
         *KEYS, F.lit("Mann-Whitney U").alias("test_name"), "groups", "n", "statistic",
         F.lit(None).cast("double").alias("df"),
-        F.coalesce(mann_whitney_exact_pvalue("_u", "_n1", "_n2"), normal).alias("p_value"),
+        F.coalesce(mann_whitney_exact_pvalue("_u", "_n1", "_n2"), normal).alias("p_value"), "method",
     )
 
 
@@ -208,6 +212,15 @@ def compare_groups(df: DataFrame, test: str, pairs: list[tuple[str, str]], min_g
     return {"mannwhitney": mann_whitney, "kruskal": kruskal_wallis}[test](sums).select(*RESULT)
 
 
+def mann_whitney_pairs(df: DataFrame, pairs: list[tuple[str, str]], method: str = "auto", min_group: int = MIN_GROUP,
+                       task_rows: int = TASK_ROWS) -> DataFrame:
+    """Mann-Whitney U of (category, numeric) pairs with the `method` that each p-value was found by."""
+    cats = list(dict.fromkeys(c for c, _ in pairs))
+    nums = list(dict.fromkeys(v for _, v in pairs))
+    wanted = pin(_only(df, group_moments(df, cats, nums, min_group), pairs).select(*KEYS, "group"))
+    return mann_whitney(rank_sums(df, pairs, wanted, task_rows), method).select(*RESULT, "method")
+
+
 def _categories(df: DataFrame, cats: list[str] | None, lo: int, hi: int, levels: dict | None = None) -> list[str]:
     cats = columns_of(df, "categorical") if cats is None else cats
     levels = level_counts(df, cats, hi) if levels is None else levels

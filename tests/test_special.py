@@ -54,3 +54,36 @@ def test_exact_u_counts_every_arrangement(n1, n2):
         big = max(u, n1 * n2 - u)
         want = min(1.0, 2 * np.mean(us >= big))
         assert sp.mann_whitney_exact(big, n1, n2) == pytest.approx(want, abs=1e-12)
+
+
+def _table_of_arrangements(m, n):
+    """Arrangements by U: U grows by the number of second-side values under the last first-side value."""
+    rows = {(0, k): np.array([1.0]) for k in range(n + 1)}
+    for i in range(1, m + 1):
+        rows[i, 0] = np.array([1.0])
+        for k in range(1, n + 1):
+            out = np.zeros(i * k + 1)
+            out[k : k + len(rows[i - 1, k])] += rows[i - 1, k]
+            out[: len(rows[i, k - 1])] += rows[i, k - 1]
+            rows[i, k] = out
+    return np.cumsum(rows[m, n])
+
+
+@pytest.mark.parametrize("m,n", [(1, 30), (2, 25), (3, 17), (5, 12), (6, 40), (8, 8), (8, 33), (9, 11)])
+def test_exact_u_is_the_sum_of_the_counted_table(m, n):
+    want = _table_of_arrangements(m, n)
+    for tail in {0, 1, 2, n, m * n // 3, m * n // 2, m * n - 1, m * n}:
+        assert sp.arrangements_up_to(tail, m, n) == sp.arrangements_up_to(tail, n, m) == want[tail]
+    assert sp.arrangements_up_to(m * n, m, n) == math.comb(m + n, m) and sp.arrangements_up_to(-1, m, n) == 0
+
+
+def test_exact_u_of_eight_against_a_million_values():
+    n = 1_000_000
+    assert sp.arrangements_up_to(8 * n, 8, n) == math.comb(n + 8, 8)
+    # symmetric: below the middle lies half of what is not in the middle
+    below, upto = sp.arrangements_up_to(4 * n - 1, 8, n), sp.arrangements_up_to(4 * n, 8, n)
+    assert below + upto == math.comb(n + 8, 8)
+    # far from the middle the normal approximation is wrong, near it it is close
+    u = 4.0 * n + 1.5 * math.sqrt(8 * n / 12 * (n + 9))
+    assert sp.mann_whitney_exact(u, 8, n) == pytest.approx(2 * float(sp.norm_sf(np.array([1.5]))[0]), rel=0.05)
+    assert sp.mann_whitney_exact(8.0 * n, n, 8) == pytest.approx(2 / math.comb(n + 8, 8), rel=1e-12)
