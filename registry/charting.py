@@ -81,6 +81,20 @@ def scatter_points(spark, sf):
     return cd.scatter_points(table(spark, sf, "part"), "p_size", "p_retailprice", "p_type")
 
 
+@query("scatter_thinned", """
+with points as (select l_returnflag as grp, l_extendedprice as x, l_quantity as y from lineitem),
+ends as (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from points),
+cells as (select grp, cast(least(199, floor((x - x0) / (x1 - x0) * 200)) as integer) as cell_x,
+  cast(least(199, floor((y - y0) / (y1 - y0) * 200)) as integer) as cell_y from points, ends)
+select grp, cell_x, cell_y, count(*) as n, true as is_a_point from cells group by 1, 2, 3""")
+def scatter_thinned(spark, sf):
+    """A point per cell of the raster with the rows of its cell; the point is one of the table's."""
+    lines = table(spark, sf, "lineitem")
+    drawn = cd.scatter_thinned(lines, "l_extendedprice", "l_quantity", "l_returnflag")
+    there = cd.scatter_points(lines, "l_extendedprice", "l_quantity", "l_returnflag").distinct().withColumn("there", F.lit(True))
+    return drawn.join(there, ["grp", "x", "y"], "left").select("grp", "cell_x", "cell_y", "n", F.coalesce("there", F.lit(False)).alias("is_a_point"))
+
+
 @query("scatter_trend", f"""
 with {REG_SQL} select cast(l_linenumber as varchar) as grp, count(*) as n, {rd('regr_slope(charge, disc_price)')} as slope,
   {rd('regr_intercept(charge, disc_price)', 4)} as intercept, {rd('regr_r2(charge, disc_price)')} as r2,
@@ -219,6 +233,16 @@ def qq_points(spark, sf):
     return rounded(cd.qq_points(table(spark, sf, "events"), "value"))
 
 
+@query("qq_thinned", f"""
+with {_qq('select l_extendedprice as sample from lineitem')},
+chosen as (select distinct unnest(list_concat(list_transform(range(500), lambda i: 1 + (i * (n - 1)) // 499), range(1, 21), range(n - 19, n + 1))) as rank
+  from (select count(*) as n from lineitem))
+select rank, {rd('theoretical')} as theoretical, sample from qq semi join chosen using (rank)""")
+def qq_thinned(spark, sf):
+    """Five hundred even ranks and the outermost twenty of either side, out of all lines."""
+    return rounded(cd.qq_thinned(table(spark, sf, "lineitem"), "l_extendedprice", points=500, ends=20, task_rows=5000))
+
+
 QQ_OUT = """select max(n) as n, {slope} as slope, {intercept} as intercept, {r} as r from qq""".format(
     slope=rd("regr_slope(sample, theoretical)", 4), intercept=rd("regr_intercept(sample, theoretical)", 3), r=rd("corr(sample, theoretical)"))
 

@@ -74,7 +74,7 @@ union all select 4, 'histogram', '{", ".join(PLAN_COLS[:4])}', 'Distributions &
 union all select 5, 'qq', 'l_quantity', 'QQ Plot: l_quantity' from top where position = 1
 union all select 6, 'heatmap', '{", ".join(PLAN_COLS)}', 'Correlation Matrix' from top where position = 1""")
 def chart_plan(spark, sf):
-    plan = charts.chart_plan(general.findings(reg_lines(spark, sf).drop("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")), spark)
+    plan = charts.chart_plan(general.findings(reg_lines(spark, sf).drop("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")), spark, charts.ONE_PAGE)
     return plan.withColumn("columns", F.concat_ws(", ", "columns"))
 
 

@@ -105,6 +105,47 @@ def scatter_points(df: DataFrame, x: str, y: str, hue: str | None = None, fracti
     return rows if fraction is None else rows.sample(fraction, seed)
 
 
+def scatter_thinned(df: DataFrame, x: str, y: str, hue: str | None = None, grid: int = 200, per_cell: int = 1) -> DataFrame:
+    """(grp, cell_x, cell_y, n, x, y): points to draw, at most `per_cell` of each cell of a grid x grid raster.
+
+    The raster spans the finite range of all points; infinite ones fall into the outermost cells.  `n` counts the
+    points of the cell, so a chart can shade dense cells, and a point that lies alone is always drawn: thinning
+    never loses an outlier.  The points of a cell are those with the smallest of `per_cell` independent hashes of
+    (x, y), which does not depend on the layout of the table.  Counts and smallest hashes collapse within tasks, so
+    what is shuffled is bounded by the cells, and a cell that holds a third of the rows is one row per task.
+    """
+    rows = scatter_points(df, x, y, hue)
+    finite = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c))
+    ends = rows.agg(*[f(finite(c)).alias(f"{c}_{name}") for c in ("x", "y") for name, f in (("low", F.min), ("high", F.max))]).first()
+
+    def cell(c: str) -> Column:
+        low, high = ends[f"{c}_low"], ends[f"{c}_high"]
+        if low is None or not high > low:
+            return F.when(F.col(c) == float("inf"), grid - 1).otherwise(0)
+        at = F.floor((F.col(c) - F.lit(low)) / F.lit(high - low) * grid)
+        return F.greatest(F.lit(0), F.least(F.lit(grid - 1), at)).cast("int")
+
+    hashes = [F.xxhash64(F.lit(j), F.col("x"), F.col("y")) for j in range(per_cell)]
+    cells = rows.withColumns({"cell_x": cell("x"), "cell_y": cell("y")}).groupBy("grp", "cell_x", "cell_y").agg(
+        F.count(F.lit(1)).alias("n"), *[F.min_by(c, h).alias(f"{c}{j}") for j, h in enumerate(hashes) for c in ("x", "y")])
+    drawn = F.array_distinct(F.array(*[F.struct(F.col(f"x{j}").alias("x"), F.col(f"y{j}").alias("y")) for j in range(per_cell)]))
+    return cells.select("grp", "cell_x", "cell_y", "n", F.inline(drawn))
+
+
+def scatter(df: DataFrame, x: str, y: str, hue: str | None = None, grid: int = 200) -> DataFrame:
+    """(grp, part, x, y, n, r2): all that a scatter chart shows.
+
+    part "point" has the thinned points with the number of rows in their cell; "trend" has the two ends of each
+    group's least-squares line with the rows and r2 it was fitted on.
+    """
+    none = F.lit(None).cast("double")
+    points = scatter_thinned(df, x, y, hue, grid).select("grp", F.lit("point").alias("part"), "x", "y", "n", none.alias("r2"))
+    end = lambda c: F.struct(F.col(c).alias("x"), (F.col("intercept") + F.col("slope") * F.col(c)).alias("y"))
+    line = trend_line(df, x, y, hue).where("slope is not null").select(
+        "grp", F.lit("trend").alias("part"), "n", "r2", F.inline(F.array(end("x_min"), end("x_max"))))
+    return points.unionByName(line)
+
+
 def trend_line(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:
     """(grp, n, slope, intercept, r2, x_min, x_max): least-squares line per colour group."""
     rows = scatter_points(df, x, y, hue)
@@ -181,15 +222,17 @@ def hierarchy(df: DataFrame, path: list[str], values: str | None = None) -> Data
     )
 
 
-def radar(df: DataFrame, category: str, metrics: list[str], k: int | None = 8) -> DataFrame:
-    """(category, metric, mean, scaled): group means over the largest group mean; first k categories.
+def radar(df: DataFrame, category: str, metrics: list[str], k: int | None = None) -> DataFrame:
+    """(category, metric, mean, scaled): group means over the largest group mean; `k` keeps the first k categories.
 
-    The maximum is taken over all categories before the first k are kept.
+    The maximum is taken over all categories before the first k are kept; one category alone is not compared.
     """
     means = df.where(col(category).isNotNull()).groupBy(col(category).cast("string").alias("category")).agg(
         *[F.avg(as_double(df, m)).alias(f"m{i}") for i, m in enumerate(metrics)]
     )
-    top = means.agg(*[F.max(f"m{i}").alias(f"t{i}") for i in range(len(metrics))]).first()
+    top = means.agg(F.count(F.lit(1)).alias("n"), *[F.max(f"m{i}").alias(f"t{i}") for i in range(len(metrics))]).first()
+    if top["n"] < 2:
+        raise ValueError("Insufficient data for this chart type")
     first = means.orderBy("category").limit(k) if k is not None else means
     entries = []
     for i, m in enumerate(metrics):
@@ -336,6 +379,48 @@ def qq_points(df: DataFrame, column: str, task_rows: int = TASK_ROWS, min_rows:
     return with_norm_ppf(ranked, place, "theoretical").select("rank", "theoretical", F.col("value").alias("sample"))
 
 
+def qq_thinned(df: DataFrame, column: str, points: int = 1000, ends: int = 50, task_rows: int = TASK_ROWS,
+               min_rows: int = 3) -> DataFrame:
+    """(rank, theoretical, sample): the QQ points at chosen ranks, each with its exact value.
+
+    `points` ranks are spaced evenly from the first to the last, and the `ends` outermost ranks of either side are
+    all there, where a normal plot is read.  A run of equal values finds its own ranks among them by integer
+    arithmetic, so neither runs nor ranks are written out in full.
+    """
+    rows = df.select(as_double(df, column).alias(column)).where(col(column).isNotNull())
+    n = rows.count()
+    if n < max(min_rows, 2):
+        raise ValueError("Insufficient data for this chart type")
+    steps, span = max(1, min(points, n) - 1), n - 1
+    runs = value_ranks(rows, [column], n, task_rows).select(
+        "value", (F.col("below") + 1).cast("long").alias("first"), (F.col("below") + F.col("ties")).cast("long").alias("last"))
+    # rank i of the even ones is 1 + floor(i * span / steps)
+    even_from = F.expr(f"((first - 1) * {steps}L + {span - 1}L) div {span}L")
+    even_to = F.expr(f"(last * {steps}L - 1) div {span}L")
+    upto = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    even = F.transform(upto(even_from, F.least(even_to, F.lit(steps).cast("long"))), lambda i: (i * F.lit(span) - F.pmod(i * F.lit(span), F.lit(steps))) / F.lit(steps) + 1).cast("array<bigint>")
+    first_ones = upto(F.col("first"), F.least(F.col("last"), F.lit(min(ends, n)).cast("long")))
+    last_ones = upto(F.greatest(F.col("first"), F.lit(max(n - ends + 1, 1)).cast("long")), F.col("last"))
+    ranked = runs.select("value", F.explode(F.array_distinct(F.concat(even, first_ones, last_ones))).alias("rank"))
+    place = filliben(F.col("rank").cast("double"), F.lit(float(n)))
+    return with_norm_ppf(ranked, place, "theoretical").select("rank", "theoretical", F.col("value").alias("sample"))
+
+
+def qq(df: DataFrame, column: str, points: int = 1000, task_rows: int = TASK_ROWS, min_rows: int = 3) -> DataFrame:
+    """(part, rank, theoretical, sample): all that a QQ chart shows.
+
+    part "point" has the thinned points, "line" the two ends of the least-squares line through all points.
+    """
+    drawn = qq_thinned(df, column, points, task_rows=task_rows, min_rows=min_rows).select(F.lit("point").alias("part"), "rank", "theoretical", "sample")
+    line = qq_line(df, column, task_rows, min_rows)
+    n = F.col("n").cast("double")
+    ends = with_norm_ppf(line.where("slope is not null").select("slope", "intercept", F.explode(F.array(filliben(F.lit(1.0), n), filliben(n, n))).alias("p")),
+                         F.col("p"), "theoretical")
+    return drawn.unionByName(ends.select(
+        F.lit("line").alias("part"), F.lit(None).cast("long").alias("rank"), "theoretical",
+        (F.col("intercept") + F.col("slope") * F.col("theoretical")).alias("sample")))
+
+
 def qq_line(df: DataFrame, column: str, task_rows: int = TASK_ROWS, min_rows: int = 3) -> DataFrame:
     """One row: n, slope, intercept and r of the least-squares line through the QQ points."""
     points = qq_points(df, column, task_rows, min_rows)
@@ -422,7 +507,7 @@ def _request(df: DataFrame, spec: dict, order_by) -> DataFrame | None:
     if kind == "scatter":
         x, y, hue = spec.get("x", ""), spec.get("y", ""), spec.get("hue")
         both = x in df.columns and y in df.columns
-        return trend_line(df, x, y, hue if hue in df.columns else None) if both else None
+        return scatter(df, x, y, hue if hue in df.columns else None) if both else None
     if kind == "heatmap":
         return heatmap(df) if len(columns_of(df, "numeric")) >= 2 else None
     if kind == "bar":
@@ -438,7 +523,7 @@ def _request(df: DataFrame, spec: dict, order_by) -> DataFrame | None:
         metrics = _numeric(df, spec.get("metrics", []))
         category = spec.get("categories", "")
         return radar(df, category, metrics) if category in df.columns and metrics else None
-    return qq_line(df, column) if numbers else None
+    return qq(df, column) if numbers else None
 
 
 CHART_TYPES = ["histogram", "boxplot", "scatter", "heatmap", "bar", "area", "sunburst", "radar", "violin",

@@ -243,3 +243,44 @@ def test_full_runs(spark):
     run = full.analyse(df, "regression", target="v", order_by=["id"])
     assert run.regression.fit.target == "v" and "ACF / PACF: Residuals" in run.charts
     assert {"model_summary", "coefficients", "acf_pacf", "assumptions"} <= set(run.regression.tables)
+
+
+def test_thinned_points_keep_outliers_and_copies_in_count(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(0, 1, 4000), rng.normal(0, 1, 4000)
+    x[:1500] = y[:1500] = 0.25  # a hot point
+    x[3999], y[3999] = 50.0, -50.0
+    df = spark.createDataFrame(pd.DataFrame({"x": [*x, np.inf, np.nan], "y": [*y, 0.0, 1.0]})).repartition(7)
+    got = cd.scatter_thinned(df, "x", "y", grid=50).toPandas()
+    assert got["n"].sum() == 4001 and not got.duplicated(["cell_x", "cell_y"]).any()
+    assert ((got["x"] == 50.0) & (got["y"] == -50.0) & (got["n"] == 1)).any() and np.isinf(got["x"]).any()
+    assert set(zip(got["x"], got["y"])) <= {*zip(x, y), (np.inf, 0.0)}
+    again = cd.scatter_thinned(df.repartition(3), "x", "y", grid=50).toPandas()
+    assert sorted(map(tuple, got.values)) == sorted(map(tuple, again.values))
+    more = cd.scatter_thinned(df, "x", "y", grid=50, per_cell=4).toPandas()
+    assert more.groupby(["cell_x", "cell_y"]).size().max() <= 4 and len(more) > len(got)
+    assert cd.scatter_thinned(df.where("false"), "x", "y").count() == 0
+    same = spark.createDataFrame([(2.0, 2.0)] * 3, "x double, y double")
+    assert cd.scatter_thinned(same, "x", "y").collect()[0]["n"] == 3
+    parts = cd.scatter(df.where("abs(x) < 9"), "x", "y").toPandas()
+    assert len(parts[parts["part"] == "trend"]) == 2 and len(parts) > 100
+
+
+@pytest.mark.parametrize("n,points,ends", [(3, 1000, 50), (40, 10, 2), (6000, 100, 5), (6000, 7000, 50)])
+def test_thinned_qq_points_are_exact(skewed, n, points, ends):
+    frame, df = skewed
+    df = df.where(f"id < {n}")
+    full = cd.qq_points(df, "x").toPandas().set_index("rank")
+    got = cd.qq_thinned(df, "x", points, ends, task_rows=300).toPandas().set_index("rank").sort_index()
+    steps = max(1, min(points, n) - 1)
+    want = {1 + i * (n - 1) // steps for i in range(steps + 1)} | set(range(1, min(ends, n) + 1)) | set(range(max(1, n - ends + 1), n + 1))
+    assert got.index.tolist() == sorted(want)
+    assert got["sample"].tolist() == full["sample"].reindex(got.index).tolist()
+    assert got["theoretical"].tolist() == pytest.approx(full["theoretical"].reindex(got.index).tolist())
+    parts = cd.qq(df, "x", points).toPandas()
+    assert (parts["part"] == "line").sum() == 2
+
+
+def test_radar_needs_two_groups(spark):
+    with pytest.raises(ValueError):
+        cd.radar(spark.createDataFrame([("a", 1.0)], "g string, v double"), "g", ["v"])
