@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -9,8 +11,11 @@ from pyspark.sql import functions as F
 from registry.base import (
     DIRTY_SQL, PEOPLE_SQL, REG_SQL, dirty_orders, p_chi2, people, query, rd, reg_lines, rounded, table,
 )
+from registry.cleaning import CONFIG, STAGES
 from registry.modelling import BP, CLOSED_FORM, MOMENTS
+from registry.profiling import DETECTED, mask_sql
 from registry.testing import _chi, _kw, _pairs_sql, _with_p, ranks_sql
+from statloom.functions.frames import scratch_dir
 from statloom.operators.groups import compare_groups, labelled
 from statloom.plans import charts, full, general
 
@@ -88,6 +93,24 @@ def full_run(spark, sf):
     return full.analyse(people(spark, sf), load_as="people.csv", order_by=["id"]).manifest
 
 
+@query("full_run_masked_file", f"with {PEOPLE_SQL} select id, "
+       + ", ".join(f"{mask_sql(t, c)} as {c}" for c, t in DETECTED.items()) + ", segment from people")
+def full_run_masked_file(spark, sf):
+    """The masked file that the full run writes, read back."""
+    folder = os.path.join(scratch_dir(spark), f"full-run-{uuid.uuid4().hex}")
+    run = full.analyse(people(spark, sf), order_by=["id"], write_to=folder, name="people", chart_limits=charts.ONE_PAGE)
+    return spark.read.parquet(run.files["masked"])
+
+
+@query("full_run_cleaned_file", f"""with {STAGES} select o_orderkey, {rd('o_totalprice', 4)} as o_totalprice, o_orderpriority, o_orderstatus,
+  custkey_text, orderdate_text from s6""")
+def full_run_cleaned_file(spark, sf):
+    """The cleaned file that the full run writes, read back."""
+    folder = os.path.join(scratch_dir(spark), f"full-run-{uuid.uuid4().hex}")
+    run = full.analyse(dirty_orders(spark, sf), "regression", CONFIG, target="o_totalprice", order_by=["o_orderkey"], write_to=folder, name="orders")
+    return rounded(spark.read.parquet(run.files["cleaned"]), 4)
+
+
 @query("full_regression_run", f"""
 with {DIRTY_SQL}, rows as (select distinct o_orderkey, o_totalprice, custkey_text from dirty_orders),
 middle as (select median(o_totalprice) as m from rows),

@@ -16,7 +16,7 @@ from statloom.operators.regression import OLSFit, fit_ols
 from statloom.operators.roles import analysis_roles
 from statloom.plans.charts import chart_tables, regression_tables
 from statloom.plans.general import Findings, GeneralRun, findings, general_tests
-from statloom.sources.writers import load_tables
+from statloom.sources.writers import load_tables, write_cleaned, write_masked
 
 
 @dataclass
@@ -56,15 +56,21 @@ class FullRun:
     regression: RegressionRun | None = None
     manifest: DataFrame | None = None
     charts: dict[str, DataFrame] = field(default_factory=dict)
+    files: dict[str, str] = field(default_factory=dict)
 
 
 def analyse(df: DataFrame, mode: str = "general", cleaning: dict | None = None, target: str | None = None,
-            order_by: list[str] | None = None, load_as: str | None = None, design: dict | None = None) -> FullRun:
+            order_by: list[str] | None = None, load_as: str | None = None, design: dict | None = None,
+            write_to: str | None = None, name: str = "table", fmt: str = "parquet", salt: str | None = None,
+            chart_limits: dict | None = None) -> FullRun:
     """Run everything on one table.
 
     mode "general" runs the test battery and chart selection, "regression" the
     OLS analysis.  `load_as` is the file name that a database load is named
-    after; without it nothing is loaded.  Sample rows need `order_by`.
+    after; without it nothing is loaded.  Sample rows need `order_by`.  `write_to`
+    is the folder for the cleaned and, where personal data was found, the masked
+    file; `files` holds their paths.  `chart_limits` bounds the charts of a kind
+    (see `charts.LIMITS`).
     """
     if mode not in ("general", "regression"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -80,13 +86,18 @@ def analyse(df: DataFrame, mode: str = "general", cleaning: dict | None = None,
     # every later operator scans this table, so it is written once
     done = Cleaned(cut(done.df, "cleaned"), done.report)
     run = FullRun(tables, done, pii_map(done.df))
+    if write_to:
+        run.files["cleaned"] = write_cleaned(done.df, write_to, name, fmt)
+        masked = write_masked(done.df, write_to, name, fmt, run.pii, salt)
+        if masked:
+            run.files["masked"] = masked
     if load_as:
-        run.manifest = load_tables(done.df, load_as, design, pii=run.pii)
+        run.manifest = load_tables(done.df, load_as, design, pii=run.pii, salt=salt)
     if mode == "regression":
         run.regression = regression_run(done.df, target, order_by, written=True)
         run.charts = regression_tables(run.regression.fit)
     else:
         run.general = general_tests(done.df)
         run.findings = findings(done.df)
-        run.charts = chart_tables(done.df, run.findings)
+        run.charts = chart_tables(done.df, run.findings, chart_limits)
     return run

@@ -74,6 +74,10 @@ def table_name(raw: str) -> str:
     return (f"t_{name}" if name[:1].isdigit() else name)[:64]
 
 
+#: Names of tables never hold two underscores in a row, so these parts cannot meet one.
+STAGED, LOADED = "__staged_", "loaded__"
+
+
 def _own(name: str) -> str:
     if not re.fullmatch(DATABASE_PREFIX + r"[a-z0-9_]+", name):
         raise ValueError(f"refusing to touch database {name!r}: not created here")
@@ -116,25 +120,76 @@ def designed_tables(df: DataFrame, design: dict | None, default: str) -> list[tu
 MANIFEST = "db_name string, table_name string, columns string, column_count int, row_count long, total_rows long, rationale string"
 
 
+def _tables_of(spark: SparkSession, db: str) -> list[str]:
+    return [t.name for t in spark.catalog.listTables(db)] if spark.catalog.databaseExists(db) else []
+
+
+def stage_tables(df: DataFrame, filename: str, design: dict | None = None) -> DataFrame:
+    """Write the tables of a load beside those of the last one, then the manifest as the sign that all are there.
+
+    A load that fails on the way takes its tables back; nobody has seen them.
+    """
+    spark, db, run = df.sparkSession, database_name(filename), uuid.uuid4().hex[:12]
+    if not spark.catalog.databaseExists(db):
+        create_database(spark, db)
+    loaded = []
+    try:
+        for name, frame in designed_tables(df, design, re.sub(r"\.csv$", "", os.path.basename(filename))):
+            staged = f"`{db}`.`{name}{STAGED}{run}`"
+            frame.write.mode("overwrite").format("parquet").saveAsTable(staged)
+            rows = spark.table(staged).count()  # from file footers
+            loaded.append((db, name, ", ".join(frame.columns), len(frame.columns), rows))
+        manifest = _manifest(spark, loaded, design)
+        manifest.coalesce(1).write.format("parquet").saveAsTable(f"`{db}`.`{LOADED}{run}`")
+    except BaseException:
+        for table in _tables_of(spark, db):
+            if table.endswith(run):
+                spark.sql(f"DROP TABLE IF EXISTS `{db}`.`{table}`")
+        raise
+    return manifest
+
+
+def settle_load(spark: SparkSession, filename: str) -> bool:
+    """Bring the database of a file into one state after a load, whether or not that came to its end.
+
+    A load whose manifest stands is swapped in table by table: the old one is dropped, the new one takes its name, and
+    tables that the load does not have go.  Repeating that from any point gives the same database, so a driver lost
+    in between is made good by the next call.  Staged tables without a manifest are dropped.  True if a load came in.
+    """
+    db = _own(database_name(filename))
+    tables = set(_tables_of(spark, db))
+    signs = [t for t in tables if t.startswith(LOADED)]
+    for sign in signs:
+        run = sign.removeprefix(LOADED)
+        names = {r["table_name"] for r in spark.table(f"`{db}`.`{sign}`").collect()}  # a row per table of the design
+        for old in [t for t in tables if "__" not in t and t not in names]:
+            spark.sql(f"DROP TABLE IF EXISTS `{db}`.`{old}`")
+        for name in sorted(names):
+            if (staged := f"{name}{STAGED}{run}") in tables:
+                spark.sql(f"DROP TABLE IF EXISTS `{db}`.`{name}`")
+                spark.sql(f"ALTER TABLE `{db}`.`{staged}` RENAME TO `{db}`.`{name}`")
+        spark.sql(f"DROP TABLE `{db}`.`{sign}`")
+    for left in [t for t in _tables_of(spark, db) if STAGED in t]:
+        spark.sql(f"DROP TABLE IF EXISTS `{db}`.`{left}`")
+    return bool(signs)
+
+
 def load_tables(df: DataFrame, filename: str, design: dict | None = None, mask: bool = True,
                 pii: dict[str, str] | None = None, salt: str | None = None) -> DataFrame:
-    """Load the frame into a fresh database and return the manifest, one row per table.
+    """Load the frame into the database of its file name and return the manifest, one row per table.
 
-    Personal data is masked unless mask=False.
+    Personal data is masked unless mask=False.  The tables are staged first and swapped in when all of them are
+    written, so a load that fails leaves those of the last one as they were.  One load of a file name at a time.
     """
     spark = df.sparkSession
     if df.isEmpty():
         raise ValueError("Cannot load an empty DataFrame.")
     if mask:
         df = mask_columns(df, pii_map(df) if pii is None else pii, salt)
-    df = sanitise_columns(df)
-    db = create_database(spark, database_name(filename))
-    loaded = []
-    for name, frame in designed_tables(df, design, re.sub(r"\.csv$", "", os.path.basename(filename))):
-        frame.write.mode("overwrite").format("parquet").saveAsTable(f"`{db}`.`{name}`")
-        rows = spark.table(f"`{db}`.`{name}`").count()  # from file footers
-        loaded.append((db, name, ", ".join(frame.columns), len(frame.columns), rows))
-    return _manifest(spark, loaded, design)
+    settle_load(spark, filename)
+    manifest = stage_tables(sanitise_columns(df), filename, design)
+    settle_load(spark, filename)
+    return manifest
 
 
 def plan_manifest(df: DataFrame, filename: str, design: dict | None = None) -> DataFrame:

@@ -108,6 +108,31 @@ def test_load_masks_and_replaces(spark):
         writers.load_tables(df.limit(0), "staff.csv")
 
 
+def test_a_failed_load_leaves_the_last_one(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, 3.0)], "a long, b double")
+    design = {"tables": [{"name": "left", "source_columns": ["a"]}, {"name": "right", "source_columns": ["b"]}]}
+    db = writers.load_tables(df, "pairs.csv", design).first()["db_name"]
+    seen = lambda: sorted(t.name for t in spark.catalog.listTables(db))
+    rows = lambda t: sorted(r[0] for r in spark.table(f"`{db}`.`{t}`").collect())
+    bad = df.selectExpr("a + 10 as a", "if(a > 1, cast(raise_error('lost') as double), b) as b")
+    with pytest.raises(Exception, match="lost"):
+        writers.load_tables(bad, "pairs.csv", design)
+    assert seen() == ["left", "right"] and rows("left") == [1, 2] and rows("right") == [2.0, 3.0]
+
+    # the driver is lost after the manifest: the next look at the database ends the swap, from wherever it stood
+    newer = {"tables": [{"name": "left", "source_columns": ["a"]}, {"name": "third", "source_columns": ["b"]}]}
+    writers.stage_tables(df.selectExpr("a + 20 as a", "b"), "pairs.csv", newer)
+    assert rows("left") == [1, 2]
+    spark.sql(f"DROP TABLE `{db}`.left")
+    assert writers.settle_load(spark, "pairs.csv")
+    assert seen() == ["left", "third"] and rows("left") == [21, 22] and rows("third") == [2.0, 3.0]
+
+    # staged tables without a manifest were never loaded
+    df.write.saveAsTable(f"`{db}`.left{writers.STAGED}dead")
+    assert not writers.settle_load(spark, "pairs.csv") and seen() == ["left", "third"]
+    assert not writers.settle_load(spark, "never loaded.csv")
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "Ann")], "id long, name string")
     assert spark.read.parquet(writers.write_cleaned(df, str(tmp_path), "p")).count() == 1

@@ -232,12 +232,14 @@ def test_findings_select_charts(spark):
     assert len(tables) == len(kinds) and all(t.count() > 0 for t in tables.values())
 
 
-def test_full_runs(spark):
+def test_full_runs(spark, tmp_path):
     rng = np.random.default_rng(7)
     frame = pd.DataFrame({"id": range(60), "email": [f"u{i}@x.org" for i in range(60)], "v": rng.normal(size=60),
                           "w": rng.normal(size=60), "g": rng.choice(["a", "b"], 60)})
     df = spark.createDataFrame(frame)
-    run = full.analyse(df, load_as="sixty.csv", order_by=["id"])
+    run = full.analyse(df, load_as="sixty.csv", order_by=["id"], write_to=str(tmp_path), name="sixty")
+    assert spark.read.parquet(run.files["cleaned"]).count() == spark.read.parquet(run.files["masked"]).count() == 60
+    assert spark.read.parquet(run.files["masked"]).where("email like 'u%@x.org'").count() == 0
     assert run.pii == {"email": "email"} and run.manifest.first()["row_count"] == 60
     assert run.general.totals().first()["total_tests_run"] >= 3
     run = full.analyse(df, "regression", target="v", order_by=["id"])
