@@ -25,10 +25,10 @@ from statloom.llm.common import fresh, on_workers
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TEXT = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 DROPPED = RAW_TEXT | frozenset(
-    "head nav footer aside form button select option input svg math canvas object audio video map dialog menu".split())
+    "head nav footer aside button select option input svg math canvas object audio video map dialog menu".split())
 BLOCKS = frozenset(
     "html body main article section div header footer aside nav p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre "
-    "figure figcaption table caption thead tbody tfoot tr td th address fieldset details summary center hgroup hr".split())
+    "figure figcaption form table caption thead tbody tfoot tr td th address fieldset details summary center hgroup hr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p blockquote pre".split())
 #: A line outside the core is like the core's if it has this share of the length of the core's middle line.
@@ -41,15 +41,24 @@ CLOSES = {
 }
 #: Elements whose end tag may be left out.
 OPEN_ENDED = frozenset("p li dt dd tr td th thead tbody tfoot".split())
-#: Words in a class or id that mark a part as not belonging to the article.
+#: Names in a class or id that mark a part as not belonging to the article.
 UNWANTED = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner comment comments "
     "disqus respond reply replies nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars widget widgets "
     "footer header masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social related recommended recommendations pagination pager skip toolbar "
     "copyright disclaimer legal hidden".split())
+#: Words that may stand beside them in a name: "comment-list" and "sidebar-left" are such parts, "share-price" is not.
+PLAIN = frozenset(
+    "area bar block box btn button buttons card cards container count form group icon icons inner item items label left line "
+    "link links list main panel region right row side site slot space title top bottom tool tools unit wrap wrapper zone page "
+    "global primary secondary mobile desktop js module component news more read".split())
+#: Words for the article itself: "post-comments" is an unwanted part of it, "post-header" holds its headline.
+OWN = frozenset("article articles post posts entry story stories content section text body".split())
+HEADERS = frozenset("header banner masthead".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-WORD = re.compile(r"[a-z0-9]+")
+WORD = re.compile(r"[a-z]+")
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 MARKUP = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|--!>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?P<shut>>)?",
     re.S)
@@ -70,6 +79,15 @@ class Node:
         return [x for x in self.parts if isinstance(x, Node)]
 
 
+def unwanted_name(name: str) -> bool:
+    """Whether a class or id says, as a whole, that its part does not belong to the article."""
+    words = WORD.findall(CAMEL.sub("-", name).lower())
+    marks = UNWANTED.intersection(words)
+    if not marks or not marks.union(PLAIN, OWN).issuperset(words):
+        return False
+    return not (marks <= HEADERS and OWN.intersection(words))
+
+
 def unwanted(tag: str, attrs: str, open_tags: list[str]) -> bool:
     """Whether an element and all it holds are left out."""
     if tag in DROPPED:
@@ -79,12 +97,13 @@ def unwanted(tag: str, attrs: str, open_tags: list[str]) -> bool:
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
     for m in ATTRIBUTE.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            # in names like "post-header" the last word says what it is
-            if any(words and (words[0] in UNWANTED or words[-1] in UNWANTED) for words in map(WORD.findall, value.split())):
+            if any(map(unwanted_name, value.split())):
                 return True
-        elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+            continue
+        value = value.lower()
+        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
@@ -109,7 +128,7 @@ def parse(page: str) -> Node:
     """The tree of a page without its unwanted parts; forgiving about missing end tags."""
     root = node = Node("body", None)
     open_tags = ["body"]
-    at, low = 0, None
+    at, low, forms = 0, None, []
 
     def close(upto: int):
         nonlocal node
@@ -203,12 +222,29 @@ def parse(page: str) -> Node:
             continue
         child = Node(tag, node)
         node.parts.append(child)
+        if tag == "form":
+            forms.append(child)
         if not m["attrs"].endswith("/") or tag in BLOCKS or tag in ("a", "b", "i", "span", "em", "strong"):
             node = child
             open_tags.append(tag)
+    if forms:
+        drop_forms(root, forms)
     return root
 
 
+def drop_forms(root: Node, forms: list[Node]) -> None:
+    """Take out the forms that are forms; one around the article, or around most of the page in paragraphs, is a container."""
+    nodes = weigh(root)
+    prose: dict[int, int] = {}
+    for node in reversed(nodes):
+        prose[id(node)] = node.chars if node.tag in PARAGRAPHS or node.tag in HEADINGS else sum(prose[id(k)] for k in node.children)
+    named = {id(n) for n in nodes if n.tag in ("article", "main")}
+    for form in forms:
+        holds = any(id(n) in named for n in _ordered(form)) if named else form.chars * 2 > root.chars and prose[id(form)] * 2 > form.chars
+        if not holds:
+            form.parent.parts = [x for x in form.parent.parts if x is not form]
+
+
 def _ordered(root: Node) -> list[Node]:
     """All nodes, parents before children; no recursion, as pages may nest thousands deep."""
     out, stack = [], [root]

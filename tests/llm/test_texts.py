@@ -197,3 +197,26 @@ def test_digests_are_those_of_the_library():
     codec = bpe.codec(RANKS, public_tokenizers.PATTERN)
     assert hashlib.sha256(codec.decode(codec.encode("été\n\n x"))).hexdigest() == hashlib.sha256("été\n\n x".encode()).hexdigest()
     assert base64.b64decode("YQ==") in codec.ranks
+
+
+def test_names_mark_a_part_only_as_a_whole():
+    for name in ("ad", "ad-slot", "comment-list", "comments", "post-comments", "sidebar-left", "sidebarLeft", "shareButtons", "site-header",
+                 "comment-42", "main-menu", "related-articles", "cookie-notice", "entry-footer"):
+        assert html_text.unwanted_name(name), name
+    for name in ("share-price", "related-work", "legal-basis", "post-header", "article-header", "section-banner", "hidden-gems", "adult", "lead", "42", "-"):
+        assert not html_text.unwanted_name(name), name
+    text = "A sentence that goes on for long enough to count as article text, with some more words behind it. " * 3
+    want = "\n".join(["Head", text.strip(), "Basis of it", text.strip()])
+    inside = f"<h1>Head</h1><p class='related-work'>{text}</p><p id='legal-basis'>Basis of it</p><p>{text}</p>"
+    assert html_text.main_text(f"<body><div class='share-price'><article>{inside}<div class='ad-slot'>buy</div></article></div></body>") == want
+
+
+def test_a_form_around_the_page_is_a_container():
+    text = "A sentence that goes on for long enough to count as article text, with some more words behind it. " * 3
+    body = f"<h1>Head</h1><p>{text}</p><p>{text}</p>"
+    want = "\n".join(["Head", text.strip(), text.strip()])
+    field = "<form><label>Your name and a long explanation of what it is for</label><input name=n><button>Send</button></form>"
+    for page in (f"<form id='aspnetForm'><nav>menu</nav><div>{body}</div><input type=hidden></form>", f"<form><article>{body}</article></form>",
+                 f"<article>{body}{field}</article>", f"<div>{body}</div>{field}", f"<form><form><article>{body}</article></form>{field}"):
+        assert html_text.main_text(f"<html><body>{page}</body></html>") == want, page
+    assert html_text.main_text(f"<body>{field}</body>") == ""
