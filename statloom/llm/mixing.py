@@ -1,8 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame functions only.
 
 Token counts are added up per cell (source x language x topic).  Raking scales the cells to the target share of
-each margin in turn, again and again, until all margins agree; the raked weight of a cell over its tokens is the
-cell's sampling rate.  Rates are scaled so that a given share of all tokens is expected to be kept, no rate above
+each margin in turn, a given number of times (`residual` tells how far off the margins then are); the raked weight of
+a cell over its tokens is the cell's sampling rate.  Rates are scaled so that a given share of all tokens is expected to be kept, no rate above
 `top_rate`, or else so that the highest one is `top_rate`.  Every document is kept with the probability of its
 cell, by a hash of its id, so the sample is the same on every run.
 """
@@ -79,6 +79,17 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 8, margi
     return work
 
 
+def residual(raked: DataFrame, targets: dict[str, DataFrame], margins=MARGINS) -> float:
+    """The largest distance of a margin's share from its target after raking."""
+    total = raked.agg(F.sum("weight")).first()[0] or 0.0
+    worst = 0.0
+    for m in margins:
+        share = F.coalesce(F.col("got") / F.lit(total or 1.0), F.lit(0.0))
+        off = raked.groupBy(m).agg(F.sum("weight").alias("got")).join(targets[m], m, "full").select(F.abs(share - F.coalesce("target", F.lit(0.0))).alias("d"))
+        worst = max(worst, off.agg(F.max("d")).first()[0] or 0.0)
+    return worst
+
+
 def scale_for(raked: DataFrame, keep: float, top_rate: float = 1.0) -> float | None:
     """The c for which cells sampled at min(top_rate, c * ratio) keep the share `keep` of all tokens; None if only
     `top_rate` for every cell comes near it.

@@ -142,7 +142,7 @@ def op5(spark, sf):
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-SWEEPS, TEMPER = 8, 0.9
+SWEEPS, TEMPER, KEEP = 8, 0.9, 0.7
 
 
 def _mixing_sql() -> str:
@@ -170,7 +170,12 @@ cells as (select source, lang, topic, cast(sum(tokens) as bigint) as tokens from
 {targets},
 {", ".join(steps)},
 ratios as (select *, case when tokens > 0 then weight / tokens end as ratio from {last}),
-rates as (select source, lang, topic, coalesce(least(1.0, ratio / (select max(ratio) from ratios)), 1.0) as rate from ratios)
+-- with the k largest ratios kept whole, the others share what is left; the first k at which none of them would pass 1
+steps as (select ratio, sum(tokens) over () as whole, coalesce(sum(tokens) over above, 0) as capped, sum(weight) over rest as weight
+  from ratios where tokens > 0 window above as (order by ratio desc, source, lang, topic rows between unbounded preceding and 1 preceding),
+  rest as (order by ratio desc, source, lang, topic rows between current row and unbounded following)),
+scale as (select max(({KEEP} * whole - capped) / weight) filter (({KEEP} * whole - capped) / weight * ratio < 1) as c from steps where weight > 0),
+rates as (select source, lang, topic, coalesce(least(1.0, ratio * c), case when ratio > 0 or ratio is null then 1.0 else 0.0 end) as rate from ratios, scale)
 select n.doc_id, r.source, r.lang, r.topic, round(r.rate, 6) as rate
 from named n join rates r on r.source = n.source and r.lang = n.lang and r.topic = n.topic
 where cast(concat('0x', substr(md5(concat('mix:', cast(n.doc_id as varchar))), 1, 8)) as bigint) / 4294967296.0 < r.rate"""
@@ -179,7 +184,7 @@ where cast(concat('0x', substr(md5(concat('mix:', cast(n.doc_id as varchar))), 1
 @query("op6_mix_sources", _mixing_sql())
 def op6(spark, sf):
     docs = table(spark, sf, "documents").withColumn("topic", mixing.topic_of(F.col("text")))
-    kept = mixing.mix(docs, topic=F.col("topic"), temper=TEMPER, sweeps=SWEEPS)
+    kept = mixing.mix(docs, topic=F.col("topic"), temper=TEMPER, sweeps=SWEEPS, keep=KEEP)
     return kept.select(
         "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), "topic", F.round("rate", 6).alias("rate"))
 

@@ -186,6 +186,7 @@ def test_raking_meets_every_margin(spark):
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long").groupBy(*mixing.MARGINS).agg(F.sum("tokens").alias("tokens"))
     targets = {m: mixing.tempered(cells, m, 0.5) for m in mixing.MARGINS}
     raked = mixing.rake(cells, targets, 12)
+    assert mixing.residual(raked, targets) < 1e-3 < mixing.residual(mixing.rake(cells, targets, 1), targets) + 1e-3
     for m in mixing.MARGINS:
         got = {r[m]: r["w"] for r in raked.groupBy(m).agg(F.sum("weight").alias("w")).collect()}
         assert all(abs(got[r[m]] - r["target"]) < 1e-6 for r in targets[m].collect())
