@@ -113,6 +113,10 @@ class Codec:
                 out.append(rank)
         return out
 
+    def encode(self, text: str) -> bytes:
+        """The ids of one text as little-endian unsigned 32-bit integers."""
+        return np.array(self.ids(text), dtype="<u4").tobytes()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.entry.__getitem__, array("I", ids)))
 
