@@ -42,10 +42,10 @@ def csv_scan_with_gaps(spark, sf):
 @query("csv_scan_split", f"""
 select doc_id, case when text in ({TOKENS}) then null else text end as text, lang, n_chars from documents""")
 def csv_scan_split(spark, sf):
-    """One large file with quoted line breaks, read in many ranges."""
+    """Large files with quoted line breaks, each read in many ranges."""
     path = _folder(spark, "csv")
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", F.col("n_chars").cast("long").alias("n_chars"))
-    docs.coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    docs.write.option("header", True).option("escape", '"').csv(path)
     usual = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")

@@ -3,10 +3,12 @@
 import csv
 import io
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import types as T
 
+from registry import sources
 from statloom.sources import quoted, readers
 
 
@@ -95,3 +97,22 @@ def test_states_at_line_ends():
              ('"a","b', False, True), ('"a"x,"b"', False, False), ('c",d,"e', True, True), ('', True, True), ('', False, False), ('""', False, False), ('"""', False, True)]
     for line, before, after in cases:
         assert quoted.ends_inside(line, before) is after, line
+
+
+def test_the_split_scan_writes_its_files_side_by_side(spark, tmp_path, monkeypatch):
+    """No task writes, and so reads, the whole table: its rows go to as many files as the table has parts."""
+    seen = []
+    usual = readers.read_csv
+    monkeypatch.setattr(readers, "read_csv", lambda spark, path: seen.append(path) or usual(spark, path))
+    rows = [(i, f'line {i}\nof "{i % 7}",\n\nend', "en", 20 + i) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars int").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    (bytes_each, open_cost) = (spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "4k")
+    try:
+        got = sorted(map(tuple, sources.csv_scan_split(spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_each)
+        spark.conf.set("spark.sql.files.openCostInBytes", open_cost)
+    assert got == rows
+    assert len(list(Path(seen[0]).glob("part-*.csv"))) >= 4
