@@ -1,7 +1,7 @@
 """URL filters from association rules, with DataFrame functions only.
 
-The URLs of labelled pages become sets of host and path tokens.  FP-growth finds the token combinations that go
-with the unwanted label; rules are kept by support and confidence, and a rule is dropped if a shorter one inside
+The URLs of labelled pages become sets of host and path tokens.  The token combinations that go with the unwanted
+label are counted by growing frequent ones, token by token; rules are kept by support and confidence, and a rule is dropped if a shorter one inside
 it is at least as confident.  Rules are matched through an inverted index: each rule hangs under its rarest
 token, a URL looks up its own tokens, and the full combination is then checked.
 """
@@ -10,11 +10,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.functions.frames import local_table
+from statloom.functions.frames import local_table, union_all
 from statloom.llm.common import col, cut, fresh, lower_ascii
 
 #: (host, path, verdict), fixed by the contract of the query.
@@ -54,37 +53,55 @@ def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return out
 
 
+def _grown(found: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+    """(row, tokens): sets of `size` tokens inside the rows, joined from sets one token smaller that are counted in `sets`."""
+    held = found.join(sets.select("tokens"), "tokens").select(
+        "row", "tokens", F.slice("tokens", 1, size - 2).alias("stem"), F.element_at("tokens", -1).alias("token"))
+    more = held.select("row", "stem", F.col("token").alias("next"))
+    pairs = held.join(more, ["row", "stem"]).where(F.col("token") < F.col("next")).select(
+        "row", F.concat("tokens", F.array("next")).alias("tokens"))
+    rest = sets.select(F.col("tokens").alias("rest"))
+    return pairs.withColumn("rest", F.slice("tokens", 2, size - 1)).join(rest, "rest", "left_semi").select("row", "tokens") if size > 2 else pairs
+
+
 def mine_rules(
     labelled: DataFrame, url_col: str, bad: Column, min_support: float = 0.005, min_rows: int = 4, min_confidence: float = 0.6,
-    max_size: int = 3, max_tokens: int = 10,
+    max_size: int = 3,
 ) -> DataFrame:
     """(tokens, support, confidence) of the kept rules "these tokens, therefore unwanted".
 
-    The model is fitted on all labelled rows, and on the `max_tokens` rarest frequent tokens of each of them, which
-    bounds the combinations; rules have at most `max_size` tokens.  Rules, once mined, are applied to every URL in full.
+    All token sets of at most `max_size` tokens of all labelled rows are counted, however many tokens a URL has: sets
+    grow by one token at a time inside the distinct token sets of the URLs.  A set is left where it cannot lead to a
+    kept rule: without the least support, or with as many rows as a set inside it, which is then as confident and
+    shorter, as it is for every set around both.
     """
     spark = labelled.sparkSession
     rows = labelled.select(col(url_col).alias("url"), F.coalesce(bad, F.lit(False)).alias("bad"))
-    rows = rows.select("bad", tokens_of(host_of(F.col("url")), path_of(F.col("url"))).alias("tokens")).withColumn(
-        "row", F.monotonically_increasing_id())
-    rows = cut(rows, "url-fit")
-    n = rows.count()
-    least = max(min_rows, math.ceil(n * min_support))
-    pairs = rows.select("row", "bad", F.explode("tokens").alias("token"))
-    frequent = pairs.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    rarest = Window.partitionBy("row").orderBy("n", "token")
-    items = pairs.join(frequent, "token").withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= max_tokens)
-    label = F.when(F.col("bad"), F.array(F.lit("!bad"))).otherwise(F.array().cast("array<string>"))
-    baskets = cut(items.groupBy("row", "bad").agg(F.collect_set("token").alias("tokens")).select(F.concat("tokens", label).alias("items")), "url-baskets")
-    if not baskets.take(1):
+    rows = rows.select(F.array_sort(tokens_of(host_of(F.col("url")), path_of(F.col("url")))).alias("tokens"), F.col("bad").cast("long").alias("bad"))
+    rows = cut(rows.groupBy("tokens").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).withColumn(
+        "row", F.monotonically_increasing_id()), "url-fit")
+    least = max(min_rows, math.ceil((rows.agg(F.sum("n")).first()[0] or 0) * min_support))
+    weights = rows.select("row", "n", "bad")
+    found = rows.select("row", F.explode(F.transform("tokens", lambda x: F.array(x))).alias("tokens"))
+    sets, levels = None, []
+    for size in range(1, max_size + 1):
+        if sets is not None:
+            found = _grown(found, sets, size)
+        counted = found.join(weights, "row").groupBy("tokens").agg(F.sum("n").alias("n"), F.sum("bad").alias("support")).where(
+            F.col("support") >= least)
+        if sets is not None:
+            inside = F.explode(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.filter("tokens", lambda x, i: i != k)))
+            fewest = counted.select("tokens", inside.alias("part")).join(
+                sets.select(F.col("tokens").alias("part"), F.col("n").alias("rows")), "part").groupBy("tokens").agg(
+                F.min("rows").alias("rows"), F.count("*").alias("parts"))
+            counted = counted.join(fewest, "tokens").where((F.col("n") < F.col("rows")) & (F.col("parts") == size)).select("tokens", "n", "support")
+        sets = cut(counted, "url-sets")
+        if not sets.take(1):
+            break
+        levels.append(sets)
+    if not levels:
         return local_table(spark, [], "tokens array<string>, support long, confidence double")
-    # the least support is met exactly: half a row below it
-    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / max(baskets.count(), 1), minConfidence=min_confidence).fit(baskets)
-    sets = cut(model.freqItemsets.where(F.size("items") <= max_size + 1), "url-sets")
-    whole = sets.where(~F.array_contains("items", "!bad")).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n"))
-    with_bad = sets.where(F.array_contains("items", "!bad") & (F.size("items") > 1)).select(
-        F.array_sort(F.array_remove("items", "!bad")).alias("tokens"), F.col("freq").alias("support"))
-    rules = whole.join(with_bad, "tokens").withColumn("confidence", F.col("support") / F.col("n")).where(
+    rules = union_all(levels).withColumn("confidence", F.col("support") / F.col("n")).where(
         F.col("confidence") >= min_confidence).select("tokens", "support", "confidence")
     rules = cut(rules, "url-rules")
     # a rule falls to any shorter rule inside it that is as confident; at most 2 ** max_size subsets each

@@ -1,3 +1,4 @@
+import itertools
 from collections import Counter
 
 import numpy as np
@@ -254,6 +255,30 @@ def test_mined_rules_block_what_the_labels_say(spark):
     assert url_rules.mine_rules(df.where("false"), "url", F.col("bad")).count() == 0
 
 
+def test_rules_of_urls_with_many_frequent_tokens_are_those_of_all_their_token_sets(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(240):
+        held = [t for t in ("spam", "pills") if rng.random() < 0.8] + [f"w{k}" for k in range(14) if rng.random() < 0.75] + ["same"]
+        rows.append((f"http://x.org/{'/'.join(held)}/{i}", "spam" in held and "pills" in held and rng.random() < 0.95))
+    sets = [({"h:x", "h:org", *(f"p:{t}" for t in url.split("/")[3:])}, bad) for url, bad in rows]
+    items = sorted(set().union(*(s for s, _ in sets)))
+    items = [t for t in items if sum(t in s for s, _ in sets) >= 60]
+    assert max(sum(t in s for t in items) for s, _ in sets) > 12
+    found = {}
+    for size in (1, 2, 3):
+        for c in itertools.combinations(items, size):
+            held = [bad for s, bad in sets if s.issuperset(c)]
+            if sum(held) >= 60 and sum(held) / len(held) >= 0.6:
+                found[c] = (sum(held), sum(held) / len(held))
+    kept = {c: v for c, v in found.items() if not any(
+        found.get(part, (0, 0))[1] >= v[1] for size in range(1, len(c)) for part in itertools.combinations(c, size))}
+    assert ("p:pills", "p:spam") in kept
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    got = url_rules.mine_rules(df, "url", F.col("bad"), min_support=0.25).collect()
+    assert {tuple(r["tokens"]): (r["support"], r["confidence"]) for r in got} == kept
+
+
 def test_rules_count_every_labelled_row_of_a_large_table(spark):
     n, k = 240_000, F.col("id")
     url = F.when(k % 3 == 0, "http://hot.example/x").when(k % 3 == 1, F.concat(F.lit("http://b.example/y/"), k.cast("string")))
