@@ -176,9 +176,15 @@ class TextIds:
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def _text_ids(path: str) -> TextIds:
+    """One per worker: words that its earlier tasks met are not encoded again; what it keeps is bounded (see `chunks`)."""
+    return TextIds(path)
+
+
 def _raw_blocks(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = TextIds(path)
+        ids_of = _text_ids(path)
         dtype = ids_of.dtype
         end, part = np.array([end_id], dtype=dtype).tobytes(), TaskContext.get().partitionId()
         docs, lengths, pieces, held, first, block = [], [], [], 0, 0, 0

@@ -220,3 +220,11 @@ def test_a_form_around_the_page_is_a_container():
                  f"<article>{body}{field}</article>", f"<div>{body}</div>{field}", f"<form><form><article>{body}</article></form>{field}"):
         assert html_text.main_text(f"<html><body>{page}</body></html>") == want, page
     assert html_text.main_text(f"<body>{field}</body>") == ""
+
+
+def test_words_of_earlier_tasks_are_not_encoded_again(monkeypatch):
+    texts = pa.array(["some words come back", None, "words come back again"])
+    first = [x.tolist() for x in huffman._text_ids(JSON)(texts)]
+    monkeypatch.setattr(huffman._text_ids(JSON).codes, "encode", lambda text: pytest.fail(text))
+    assert [x.tolist() for x in huffman._text_ids(JSON)(texts)] == first
+    assert [x.tolist() for x in huffman.TextIds(JSON)(texts)] == first
