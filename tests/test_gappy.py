@@ -10,6 +10,7 @@ import pytest
 from statloom.operators import correlation, normality
 from statloom.operators import gappy as coder
 from statloom.operators.gappy import gappy_spearman, present_moments
+from statloom.operators.ranks import Splits
 
 
 @pytest.fixture(scope="module")
@@ -133,3 +134,35 @@ def test_rows_travel_as_coded_differences_of_ranks(spark):
     for a, b in pairs:
         rows_of_both, r = expected(frame, a, b)
         assert got[a, b] == (rows_of_both, pytest.approx(r, abs=1e-10))
+
+
+@pytest.mark.parametrize(("task_rows", "round_bytes"), [(10**6, 100_000), (300, 100_000), (300, 1), (2, 100_000)])
+def test_columns_are_taken_in_rounds_that_leave_no_shuffle_files(gappy, spark, task_rows, round_bytes):
+    """The ranks of all pairs need not lie on disk together: any size of round gives the same result, and clears up behind it."""
+    frame, df = gappy
+    pairs = list(combinations(frame.columns, 2))
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen = spark.conf.get(setting), []
+    parts = coder._groups(len(frame.columns), int(frame.notna().to_numpy().sum()), round_bytes)
+    assert len(parts) > 1 and sorted(sum(parts, [])) == list(range(len(frame.columns)))
+    dealt = coder._dealt
+    coder._dealt = lambda *a: seen.append(spark.conf.get(setting)) or dealt(*a)
+    try:
+        got = {(r["x"], r["y"]): (r["n"], r["r"]) for r in gappy_spearman(df, pairs, task_rows, 1 << 20, round_bytes).collect()}
+    finally:
+        coder._dealt = dealt
+    assert len(seen) > len(parts) and set(seen) == {"true"} and spark.conf.get(setting) == before
+    assert list(got) == pairs
+    for a, b in pairs:
+        n, r = expected(frame, a, b)
+        assert got[a, b][0] == n and (got[a, b][1] is None) == (r is None) and (r is None or got[a, b][1] == pytest.approx(r, abs=1e-10)), (a, b)
+
+
+def test_buckets_follow_the_values():
+    points = [-2.0, 0.0, 1.5, np.inf]
+    value = np.sort(np.concatenate([np.random.default_rng(4).normal(0, 2, 500), points, points, [-np.inf, -9.0, 9.0]]))
+    for splits in (Splits([]), Splits(points, -9.0, np.inf), Splits(points, -9.0, np.inf, 5), Splits(points[:3], -np.inf, 9.0, 5)):
+        bucket = coder._buckets(value, splits)
+        assert (np.diff(bucket) >= 0).all()
+        assert ((bucket % 2 == 0) == np.isin(value, splits.points)).all()
+        assert all(len(set(value[bucket == b])) == 1 for b in np.unique(bucket[bucket % 2 == 0]))
